@@ -30,6 +30,9 @@ from paperloom.llm.common import (
 )
 
 
+ENTRIES = "digest BINARY, keep_id BIGINT, group_size BIGINT"
+
+
 class DigestIndex:
     """Digests of all texts seen so far, at ``path`` (a new scratch path by default)."""
 
@@ -41,7 +44,7 @@ class DigestIndex:
         self.filled = self._exists()
         if self.filled and not spark.catalog.tableExists(self.table):
             spark.sql(
-                f"CREATE TABLE {self.table} (digest BINARY, keep_id {self._id_type()}, group_size BIGINT) USING parquet "
+                f"CREATE TABLE {self.table} ({ENTRIES}) USING parquet "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
             )
 
@@ -50,12 +53,9 @@ class DigestIndex:
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
-    def _id_type(self) -> str:
-        return dict(self.spark.read.parquet(self.path).dtypes)["keep_id"]
-
     def entries(self) -> DataFrame:
         """The index as a plain table; a join with it can be dealt anew where it is skewed."""
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(ENTRIES).parquet(self.path)
 
     def unseen(self, groups: DataFrame) -> DataFrame:
         """Rows of ``groups`` (one per digest) that the index doesn't hold."""
@@ -81,7 +81,7 @@ class DigestIndex:
 def _digests(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return materialize(
         docs.select(
-            docs[doc_id].alias("doc_id"),
+            docs[doc_id].cast("long").alias("doc_id"),
             F.unhex(F.sha2(ascii_lower(docs[text]), 256)).alias("digest"),
             row_id(docs).alias("row"),
         ),
