@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -50,30 +50,39 @@ def build_revision(size: Column, created: Column, tag: Column, pipeline: Column)
     return F.concat_ws(":", F.coalesce(size, F.lit(0)).cast("string"), stamp, tag, pipeline)
 
 
-def needs_index(exists: Column, status: Column, source: Column, revision: Column, expected: Column, embedding_status: Column, provider: Column) -> Column:
-    """Whether a source has to be indexed (again) to match the expected revision."""
-    same_identity = content_identity(revision) == content_identity(expected)
-    have, want = revision_pipeline(revision), revision_pipeline(expected)
+def with_needs_index(df: DataFrame, expected: str = "revision", have: str = "have") -> DataFrame:
+    """``df`` (source, status, embedding_status, provider, exists, and the two revisions) with ``needs``.
+
+    Whether a source has to be indexed (again): rewrites of old pipeline names are compatible, and so are
+    permissions that were turned off. Step by step, so that each rewrite is computed once.
+    """
     starts = lambda c, p: F.startswith(c, F.lit(p))
     as_v11 = lambda c: F.when(starts(c, V10), F.concat(F.lit(V11), F.substring(c, F.lit(len(V10) + 1), F.length(c)))).otherwise(c)
-    skipped_same = (revision == expected) | (same_identity & (as_v11(have) == want) & ~source.rlike(RETRYABLE))
-    v10 = F.when(
-        starts(have, V9),
-        F.regexp_replace(F.concat(F.lit(V10), F.substring(have, F.lit(len(V9) + 1), F.length(have))), "^(.*?):embedding-", "$1:cloud-read-off:embedding-"),
-    ).otherwise(have)
-    v11 = as_v11(v10)
-    wanted = F.regexp_extract(want, ":embedding-(gemini|gateway):", 1)
-    auto = F.when((embedding_status == "ready") & (provider == wanted) & (wanted != ""), wanted).otherwise("auto")
-    resolved = F.when(F.contains(v11, F.lit(":embedding-auto:")), F.replace(v11, F.lit(":embedding-auto:"), F.concat(F.lit(":embedding-"), auto, F.lit(":")))).otherwise(v11)
-    reading = F.when(F.contains(want, F.lit(":cloud-read-off:")), F.replace(resolved, F.lit(":cloud-read-on:"), F.lit(":cloud-read-off:"))).otherwise(resolved)
-    final = F.when(F.contains(want, F.lit(":embedding-off:")), F.regexp_replace(reading, ":embedding-(auto|gemini|gateway):", ":embedding-off:")).otherwise(reading)
-    indexed = F.when(revision == expected, False).when(~same_identity, True).otherwise(final != want)
-    return (
-        F.when(~F.coalesce(exists, F.lit(False)), True)
-        .when(status == "skipped", ~F.coalesce(skipped_same, F.lit(False)))
-        .when(F.coalesce(status, F.lit("")) != "indexed", True)
+    swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b) if isinstance(b, str) else b)
+    c = F.col
+    steps = {
+        "n_same": content_identity(c(have)) == content_identity(c(expected)),
+        "n_have": revision_pipeline(c(have)),
+        "n_want": revision_pipeline(c(expected)),
+        "n_v10": F.when(starts(c("n_have"), V9), F.regexp_replace(F.concat(F.lit(V10), F.substring(c("n_have"), F.lit(len(V9) + 1), F.length("n_have"))), "^(.*?):embedding-", "$1:cloud-read-off:embedding-")).otherwise(c("n_have")),
+        "n_asked": F.regexp_extract("n_want", ":embedding-(gemini|gateway):", 1),
+        "n_auto": F.when((c("embedding_status") == "ready") & (c("provider") == c("n_asked")) & (c("n_asked") != ""), c("n_asked")).otherwise("auto"),
+        "n_v11": swap(as_v11(c("n_v10")), ":embedding-auto:", F.concat(F.lit(":embedding-"), c("n_auto"), F.lit(":"))),
+        "n_read": F.when(F.contains("n_want", F.lit(":cloud-read-off:")), swap(c("n_v11"), ":cloud-read-on:", ":cloud-read-off:")).otherwise(c("n_v11")),
+        "n_final": F.when(F.contains("n_want", F.lit(":embedding-off:")), F.regexp_replace("n_read", ":embedding-(auto|gemini|gateway):", ":embedding-off:")).otherwise(c("n_read")),
+        "n_skip": (c(have) == c(expected)) | (c("n_same") & (as_v11(c("n_have")) == c("n_want")) & ~c("source").rlike(RETRYABLE)),
+    }
+    out = df
+    for name, value in steps.items():
+        out = out.withColumn(name, value)
+    indexed = F.when(c(have) == c(expected), False).when(~c("n_same"), True).otherwise(c("n_final") != c("n_want"))
+    needs = (
+        F.when(~F.coalesce("exists", F.lit(False)), True)
+        .when(c("status") == "skipped", ~F.coalesce("n_skip", F.lit(False)))
+        .when(F.coalesce("status", F.lit("")) != "indexed", True)
         .otherwise(F.coalesce(indexed, F.lit(True)))
     )
+    return out.withColumn("needs", needs).drop(*steps)
 
 
 def citation_ids(answer: Column) -> Column:

@@ -49,7 +49,8 @@ def postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
 def lexical_scores(chunks: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """BM25 of each query and each chunk that shares a token: ``query_id, chunk_id, lexical``.
 
-    Repeated query tokens count once. Document frequencies and the mean length are over all chunks.
+    Repeated query tokens count once. Scores are rounded to 9 places, so that equal texts tie in whatever order their
+    terms are summed. Document frequencies and the mean length are over all chunks.
     """
     sized = chunks.select("chunk_id", F.size(T.search_tokens(F.col("text"))).alias("len"))
     n_chunks, mean = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
@@ -60,7 +61,7 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, k1: float = BM25_K1, b
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean or 1.0)))
     weighed = found.join(sized, "chunk_id").withColumn("w", F.col("tf") * (k1 + 1) / norm).select("token", "chunk_id", "w")
     matched = weighed.join(small(terms.join(idf, "token")), "token")
-    return matched.groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("w")).alias("lexical"))
+    return matched.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * F.col("w")), 9).alias("lexical"))
 
 
 def top_k(scored: DataFrame, score: str, k: int, by: str = "query_id", tie: str = "chunk_id") -> DataFrame:

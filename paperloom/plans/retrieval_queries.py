@@ -26,19 +26,19 @@ stat AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM c),
 q AS (SELECT DISTINCT item_id AS query_id, unnest({Q.tokens('text')}) AS token FROM benchmark),
 p AS (SELECT token, chunk_id, len, count(*) AS tf FROM (SELECT chunk_id, len(w) AS len, unnest(w) AS token FROM c) GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
-lex AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))) AS lexical
+lex AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 9) AS lexical
         FROM q JOIN p USING (token) JOIN df USING (token), stat GROUP BY query_id, chunk_id)
 """
 
 
 @query(f"""
 WITH {BM25_SQL}
-SELECT query_id, chunk_id, round(round(lexical, 9), 6) AS lexical, rank::INTEGER AS rank, 'S' || rank AS citation_id
+SELECT query_id, chunk_id, round(round(lexical, 9), 4) AS lexical, rank::INTEGER AS rank, 'S' || rank AS citation_id
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 9) DESC, chunk_id) AS rank FROM lex) WHERE rank <= 5
 """)
 def r01_lexical_search(spark, sf):
     scored = retrieval.lexical_scores(doc_chunks(spark, sf), benchmark_queries(spark, sf)).withColumn("lexical", F.round("lexical", 9))
-    return retrieval.cite(retrieval.top_k(scored, "lexical", 5)).withColumn("lexical", F.round("lexical", 6))
+    return retrieval.cite(retrieval.top_k(scored, "lexical", 5)).withColumn("lexical", F.round("lexical", 4))
 
 
 _CONTAINS_SQL = f"""
@@ -123,7 +123,7 @@ WITH {BM25_SQL},
 h AS (SELECT doc_id AS chunk_id, '0x' || sha256(text) AS content_hash FROM documents),
 pool AS (SELECT query_id, chunk_id, lexical AS score FROM lex UNION ALL SELECT query_id, chunk_id, lexical * 0.9 FROM lex),
 best AS (SELECT query_id, chunk_id, content_hash, score FROM pool JOIN h USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id, content_hash ORDER BY round(score, 9) DESC, chunk_id) = 1)
-SELECT query_id, chunk_id, round(round(score, 9), 6) AS score, rank::INTEGER AS rank
+SELECT query_id, chunk_id, round(round(score, 9), 4) AS score, rank::INTEGER AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM best) WHERE rank <= 8
 """)
 def u01_r05_merged_search(spark, sf):
@@ -132,7 +132,7 @@ def u01_r05_merged_search(spark, sf):
     told = scored.join(chunks.withColumn("content_hash", T.content_hash(F.col("text"))), "chunk_id").withColumn("score", F.round("lexical", 9))
     pool = told.select("query_id", "chunk_id", "document_id", "page_number", "content_hash", "text", "score")
     merged = retrieval.merge_pools(pool, pool.withColumn("score", F.round(F.col("score") * 0.9, 9)))
-    return merged.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return merged.select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
 @query(f"""
