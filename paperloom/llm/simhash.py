@@ -1,13 +1,18 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Fingerprints of 64 bits link when they differ in at most ``2 * t + 1`` bits, so
-one of their two halves differs in at most t bits. In each half the anchors are the codewords
+Fingerprints of 64 bits link when they differ in at most two bits, so one of
+their two halves differs in at most t = 1 bit. In each half the anchors are the codewords
 of the perfect [31,26] Hamming code on its first 31 bits, whose covering radius
 is 1: every fingerprint lies within 1 of an anchor, and one that differs from it
 in t bits lies within 1 + t of the same anchor. So each distinct fingerprint is
-replicated to all anchors within 1 + t per half (t = 1: 16 at most), and all
+replicated to all anchors within 1 + t per half (16 at most), and all
 links appear at some anchor, where the full 64 bits are compared.
 
+Wide fingerprints (``bits`` 256) are for shingle similarities down to 0.8, which 64 bits at a small distance can't
+tell: they are cut into eight words with the same anchors each and link up to a distance of 15 percent, which a
+similarity of 0.8 has on average. Pairs up to 15 bits apart always share an anchor (one of eight words differs in at
+most one bit); of pairs further apart those that do are linked.
+
 Rows are first reduced to distinct fingerprints, so exact copies never meet in an
 anchor. At an anchor with n fingerprints, pairs are compared up to a few hundred;
 beyond, each probes the sorted cell with the 64-bit patterns of at most two bits, work in
@@ -60,6 +65,35 @@ def simhash(text: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def wide_simhash(text: bytes, width: int, bits: int) -> bytes:
+    """As :func:`simhash`, with XXH3-128 under as many seeds as fill ``bits``."""
+    words = text.lower().split()
+    if not words:
+        return bytes(bits // 8)
+    joined, seeds, digest = b" ".join(words), range(SEED, SEED + bits // 128), xxhash.xxh3_128_digest
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.r_[0, ends[:-1] + 1].tolist()
+    ends = ends[min(width, len(words)) - 1 :].tolist()
+    ones, n = np.zeros(bits, np.int64), len(ends)
+    for at in range(0, n, _GROUP):
+        spans = [joined[a:b] for a, b in zip(starts[at : at + _GROUP], ends[at : at + _GROUP])]
+        raw = b"".join([digest(x, s) for x in spans for s in seeds])
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(spans), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n).tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, width: int, bits: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, fp, row`` of each row; fp is binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = [wide_simhash(t or b"", width, bits) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.binary()), batch.column("row")], names=["doc_id", "fp", "row"])
+
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), row_id(docs).alias("row"), docs[text].cast("string").cast("binary").alias("body"))
+    return rows.mapInArrow(run, "doc_id bigint, fp binary, row struct<file: string, pos: bigint>")
+
+
 def fingerprints(docs: DataFrame, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, fp, row`` of each row; fp is the fingerprint as a signed long."""
 
@@ -186,10 +220,92 @@ def _compare(distance: int):
     return run
 
 
+def _words(column: pa.Array, size: int) -> np.ndarray:
+    """A binary column of equal lengths as rows of ``size`` 64-bit words."""
+    n, at = len(column), column.offset
+    return np.frombuffer(column.buffers()[2], "<u8", n * size, 8 * at * size).reshape(n, size) if n else np.zeros((0, size), "<u8")
+
+
+def _binary(words: np.ndarray) -> pa.Array:
+    step = 8 * words.shape[1]
+    ends = np.arange(0, (len(words) + 1) * step, step, dtype=np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(words))])
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def _walk(cell: np.ndarray, distance: int) -> list[np.ndarray]:
+    """Members of each component of a cell. A member is compared only with those not reached yet, so a dense cell takes few passes."""
+    left, found = np.arange(len(cell)), []
+    while len(left):
+        reached, todo, left = [left[0]], [left[0]], left[1:]
+        while todo and len(left):
+            near = _apart(cell[left], cell[todo.pop()]) <= distance
+            reached += left[near].tolist()
+            todo += left[near].tolist()
+            left = left[~near]
+        if len(reached) > 1:
+            found.append(np.array(reached))
+    return found
+
+
+def wide_links(fps: DataFrame, bits: int, distance: int) -> DataFrame:
+    """``a, b``: links among distinct binary ``fp`` that connect all that share an anchor and differ in at most ``distance`` bits."""
+    size, low = bits // 64, np.uint64((1 << 31) - 1)
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = _words(batch.column("fp"), size)
+            for at in range(0, len(words), 5000):
+                some = words[at : at + 5000]
+                for part in range(2 * size):
+                    i, a = anchors(some[:, part // 2] >> np.uint64(32 * (part % 2)) & low)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64) * 2 * size + part), _binary(some[i])], names=["anchor", "fp"])
+
+    def chains(anchor: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        sizes = np.diff(np.r_[starts, len(anchor)])
+        place = np.arange(len(anchor)) - np.repeat(starts, sizes)
+        room, few = np.repeat(sizes, sizes) - place, np.repeat(sizes <= 8, sizes)
+        a, b = [], []
+        for step in range(1, 8):
+            i = np.flatnonzero(few & (room > step))
+            i = i[_apart(fp[i], fp[i + step]) <= distance]
+            a.append(i)
+            b.append(i + step)
+        for at in np.flatnonzero(sizes > 8):
+            for members in _walk(fp[starts[at] : starts[at] + sizes[at]], distance):
+                members = starts[at] + np.sort(members)
+                a.append(members[:-1])
+                b.append(members[1:])
+        return pa.RecordBatch.from_arrays([_binary(fp[np.concatenate(a)]), _binary(fp[np.concatenate(b)])], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_k, held_f = np.zeros(0, np.int64), np.zeros((0, size), "<u8")
+        for batch in batches:
+            k = np.r_[held_k, batch.column("anchor").to_numpy()]
+            f = np.concatenate([held_f, _words(batch.column("fp"), size)])
+            if not len(k):
+                continue
+            cut = np.searchsorted(k, k[-1])  # the last cell may go on
+            if cut:
+                yield chains(k[:cut], f[:cut])
+            held_k, held_f = k[cut:], f[cut:]
+        if len(held_k):
+            yield chains(held_k, held_f)
+
+    n = shuffle_partitions(fps.sparkSession)
+    cells = fps.select("fp").mapInArrow(replicate, "anchor bigint, fp binary").repartition(n, "anchor").sortWithinPartitions("anchor", "fp")
+    both = cells.mapInArrow(compare, "a binary, b binary")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """``a, b``: links among the distinct ``fp`` that connect all within ``distance`` (3 at most) bits of one another."""
-    if not 1 <= distance <= 3:
-        raise ValueError("two halves with anchors within 2 cover distances 1 to 3")
+    """``a, b``: links among the distinct ``fp`` that connect all within ``distance`` (1 or 2) bits of one another."""
+    if distance not in (1, 2):
+        raise ValueError("64-bit fingerprints link at a distance of 1 or 2")
     n = shuffle_partitions(fps.sparkSession)
     cells = fps.select("fp").mapInArrow(_replicate, "anchor bigint, fp bigint").repartition(n, "anchor").sortWithinPartitions("anchor")
     return cells.mapInArrow(_compare(distance), "a bigint, b bigint").distinct()
@@ -219,11 +335,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, bits: int = 64, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, fp, component_id, row`` of each row; component_id is the smallest id its links reach."""
-    found = materialize(fingerprints(with_row_id(docs), width, text, doc_id), "fingerprints")
+    if bits != 64 and bits % 128:
+        raise ValueError("bits: 64, or a multiple of 128")
+    docs = with_row_id(docs)
+    raw = fingerprints(docs, width, text, doc_id) if bits == 64 else wide_fingerprints(docs, width, bits, text, doc_id)
+    found = materialize(raw, "fingerprints")
     nodes = materialize(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")), "distinct-fingerprints")
-    edges = links(nodes, distance)
+    edges = links(nodes, distance) if bits == 64 else wide_links(nodes, bits, distance)
     whole = components(nodes.select(F.col("fp").alias("node")), edges)
     whole = materialize(whole.join(nodes.select(F.col("fp").alias("node"), "least"), "node"), "components")
     best = whole.groupBy("component").agg(F.min("least").alias("best"))
@@ -231,8 +351,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, text: st
     return found.join(named, "fp").select("doc_id", "fp", F.col("best.doc_id").alias("component_id"), "row", F.col("best.row").alias("best_row"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, distance: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that name their component, all columns."""
+def one_of_each(docs: DataFrame, width: int = 5, distance: int = 38, bits: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that name their component, all columns. By default a similarity of five-word shingles of about 0.8 links."""
     docs = with_row_id(docs)
-    rows = near_duplicates(docs, width, distance, text, doc_id)
+    rows = near_duplicates(docs, width, distance, bits, text, doc_id)
     return keep_rows(docs, rows.filter(F.col("row").eqNullSafe(F.col("best_row"))).select("row"))

@@ -123,11 +123,47 @@ def test_simhash_matches_brute_force(spark, width):
     want = brute_components([r[0] for r in rows], [fps[r[1]] for r in rows], 2)
     seen = Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in got)
     assert seen == Counter((r[0], fps[r[1]], c) for r, c in zip(rows, want))
-    one = rows_of(simhash.one_of_each(table(spark, rows), width=width))
+    one = rows_of(simhash.one_of_each(table(spark, rows), width=width, distance=2, bits=64))
     assert sorted(r["doc_id"] or -1 for r in one) == sorted(c or -1 for c in set(want))
     assert rows_of(simhash.near_duplicates(table(spark, []))) == []
 
 
+def shingles(text, width=5):
+    w = lower(text).split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
+def test_wide_simhash(spark):
+    """All within 15 bits link, none beyond 38 but by others; copies with few edits are one component, others their own."""
+    rng = random.Random(5)
+    rows = list(ROWS)
+    for g in range(12):
+        base = words(500, 1000 + g, 3000).split()
+        for k in range(6):
+            copy = list(base)
+            for _ in range(k):
+                copy[rng.randrange(500)] = f"edit{rng.random()}"
+            rows.append((1000 + 10 * g + k, " ".join(copy)))
+    rows += [(5000 + i, words(300, 7000 + i, 3000)) for i in range(40)]
+    got = rows_of(simhash.near_duplicates(table(spark, rows), bits=256, distance=38))
+    fps = [int.from_bytes(simhash.wide_simhash(lower(t), 5, 256), "big") for _, t, *_ in rows]
+    floor, ceiling = ([(d, c) for (d, *_), c in zip(rows, brute_components([r[0] for r in rows], fps, n))] for n in (15, 38))
+    mine = defaultdict(set)
+    for r in got:
+        mine[r["component_id"]].add(r["doc_id"])
+    block = {d: c for c, ds in mine.items() for d in ds}
+    for pairs, inside in ((floor, lambda a, b: block[a] == block[b]), ):
+        for a, ca in pairs:
+            for b, cb in pairs:
+                assert ca != cb or inside(a, b)
+    top = dict(ceiling)
+    assert all(len({top[d] for d in ds}) == 1 for ds in mine.values())
+    assert all(block[1000 + 10 * g + k] == 1000 + 10 * g for g in range(12) for k in range(6))
+    assert all(block[5000 + i] == 5000 + i for i in range(40))
+    one = rows_of(simhash.one_of_each(table(spark, rows)))
+    assert sorted(r["doc_id"] or -1 for r in one) == sorted(c or -1 for c in mine)
+
+
 def test_anchors_cover():
     rng = np.random.default_rng(0)
     words31 = rng.integers(0, 1 << 31, 200, dtype=np.uint64)
@@ -418,7 +454,7 @@ def test_pipeline_stages(spark):
             texts = [lower(r[0]) for r in kept.select("text").collect()]
             assert len(set(texts)) == len(texts)
         if name == "near_dedup":
-            fps = [brute_simhash(r[0], 5) for r in kept.select("text").collect()]
-            assert all((a ^ b).bit_count() > 2 for i, a in enumerate(fps) for b in fps[:i])
+            fps = [int.from_bytes(simhash.wide_simhash((r[0] or "").encode(), 5, 256), "big") for r in kept.select("text").collect()]
+            assert all((a ^ b).bit_count() > 15 for i, a in enumerate(fps) for b in fps[:i])
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
     assert pieces.agg(F.sum("length")).first()[0] == sum(len(ids_of(WORD, r[0])) for r in kept.select("text").collect())
