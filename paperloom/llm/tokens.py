@@ -10,14 +10,20 @@ text.
 
 from __future__ import annotations
 
+import gc
 from array import array
 
+import numpy as np
 from tokenizers import Tokenizer
 
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 _encoders: dict[tuple, "Encoder"] = {}
 
 
+#: Words of letters that are encoded in one call, to be told apart by the tokens that begin or end one.
+_TOGETHER = 64
+
+
 class _Memo(dict):
     """Chunks seen before; ``extra`` has the rest of the current batch."""
 
@@ -37,11 +43,33 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.lower, self.limit = spaced, lower, limit
+        marks = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            marks[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
+        self.marks = marks
         self.inner, self.first, self.ends = _Memo({} if spaced else {"": b""}), _Memo({"": b""}), {}
 
     def _library(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _words(self, words: list[str], prefix: str) -> list[bytes]:
+        """The ids of words of letters, many to a call: a token of the vocabulary shows where each begins or ends."""
+        if bool(prefix) != self.spaced:
+            return self._library([prefix + w for w in words])
+        out: list[bytes] = []
+        groups = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+        joined = [prefix + " ".join(g) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.marks[ids]) + (not self.spaced)
+            cuts = [*at.tolist(), len(ids)] if self.spaced else [0, *at.tolist()]
+            if len(cuts) != len(g) + 1 or cuts[0] or cuts[-1] != len(ids):
+                out += self._library([prefix + w for w in g])
+            else:
+                raw = ids.tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def _learn(self, memo: _Memo, missing: set[str], prefix: str) -> None:
         """Make ``memo`` answer for every chunk of ``missing``."""
         cut = {}
@@ -49,7 +77,10 @@ class Encoder:
             stem = c.rstrip(_PUNCTUATION)
             cut[c] = stem if stem.isalpha() else c
         todo = [s for s in set(cut.values()) if s not in memo]
-        found = dict(zip(todo, self._library([prefix + s for s in todo])))
+        plain = [s for s in todo if s.isalpha()]
+        other = [s for s in todo if not s.isalpha()]
+        found = dict(zip(plain, self._words(plain, prefix)))
+        found.update(zip(other, self._library([prefix + s for s in other])))
         ends = [e for e in {c[len(s) :] for c, s in cut.items()} if e and e not in self.ends]
         fresh_ends = dict(zip(ends, self._library(ends)))
         if len(self.ends) < 10_000:
@@ -80,6 +111,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, nothing added."""
+        gc.disable()  # nothing here is cyclic, and the memo is long to traverse
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.spaced:
             if self.lower:  # the library lower-cases letter by letter, which differs for a final sigma
                 texts = [t if "Σ" in t else t.lower() for t in texts]
