@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.functions import vectors as V
+from paperloom.session import kept
 
 # Fixed values.
 BM25_K1, BM25_B = 1.2, 0.75
@@ -39,23 +40,29 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+def token_table(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, tokens`` as a scratch table, so that texts are tokenised once."""
+    return kept(chunks.select("chunk_id", T.search_tokens(F.col("text")).alias("tokens")), "tokens")
+
+
+def postings(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """``token, chunk_id, tf`` for the tokens of ``terms`` alone."""
     wanted = small(terms.select("token").distinct())
-    words = chunks.select("chunk_id", F.explode(T.search_tokens(F.col("text"))).alias("token"))
+    words = tokens.select("chunk_id", F.explode("tokens").alias("token"))
     return words.join(wanted, "token").groupBy("token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lexical_scores(chunks: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def lexical_scores(chunks: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B, tokens: DataFrame | None = None) -> DataFrame:
     """BM25 of each query and each chunk that shares a token: ``query_id, chunk_id, lexical``.
 
     Repeated query tokens count once. Scores are rounded to 9 places, so that equal texts tie in whatever order their
     terms are summed. Document frequencies and the mean length are over all chunks.
     """
-    sized = chunks.select("chunk_id", F.size(T.search_tokens(F.col("text"))).alias("len"))
+    tokens = tokens if tokens is not None else token_table(chunks)
+    sized = tokens.select("chunk_id", F.size("tokens").alias("len"))
     n_chunks, mean = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
     terms = query_terms(queries).select("query_id", "token")
-    found = postings(chunks, terms)
+    found = kept(postings(tokens, terms), "postings")
     df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("token", F.log(1 + (n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean or 1.0)))
@@ -89,11 +96,12 @@ def semantic_scores(vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
     return joined.select("query_id", "chunk_id", V.cosine(F.col("vector"), F.col("query_vector")).alias("cosine"))
 
 
-def coverage_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def coverage_scores(chunks: DataFrame, queries: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """``query_id, chunk_id, coverage`` where it isn't zero: an equi join on tokens."""
     terms = query_terms(queries)
     total = terms.groupBy("query_id").agg(F.sum("n").alias("total"))
-    found = postings(chunks, terms).select("token", "chunk_id").join(small(terms), "token")
+    tokens = tokens if tokens is not None else token_table(chunks)
+    found = postings(tokens, terms).select("token", "chunk_id").join(small(terms), "token")
     hits = found.groupBy("query_id", "chunk_id").agg(F.sum("n").alias("hits"))
     return hits.join(small(total), "query_id").select("query_id", "chunk_id", (F.col("hits") / F.col("total")).alias("coverage"))
 
@@ -111,7 +119,7 @@ def contains_pairs(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     body = chunks.select("chunk_id", T.normalize_search_text(F.col("text")).alias("body"))
     tokens = body.select("chunk_id", F.explode(F.array_distinct(F.split("body", r"[^\p{L}\p{N}]+"))).alias("word"))
     asked = inner.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
-    wanted = tokens.join(small(asked.select("word").distinct()), "word")
+    wanted = kept(tokens.join(small(asked.select("word").distinct()), "word"), "words")
     df = wanted.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rarest = asked.join(df, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "word")).alias("m")).select("query_id", F.col("m.word").alias("word"))
     candidates = wanted.join(small(rarest), "word").select("query_id", "chunk_id")
@@ -127,7 +135,8 @@ def hybrid_scores(chunks: DataFrame, queries: DataFrame, cosines: DataFrame | No
     The ``depth`` best lexical hits, the cosine where there is one (0 to 1 above its floor), token coverage,
     containment of the query and a title (``document_id, title``) that the query names.
     """
-    lexical = top_k(lexical_scores(chunks, queries), "lexical", depth)
+    tokens = token_table(chunks)
+    lexical = top_k(lexical_scores(chunks, queries, tokens=tokens), "lexical", depth)
     most = Window.partitionBy("query_id")
     lexical = lexical.select("query_id", "chunk_id", (LEXICAL * F.col("lexical") / F.greatest(F.lit(1.0), F.max("lexical").over(most)) + RANK / F.col("rank")).alias("part"), F.lit(1).alias("has_lexical"), F.lit(0).alias("has_semantic"))
     parts = [lexical]
@@ -135,7 +144,7 @@ def hybrid_scores(chunks: DataFrame, queries: DataFrame, cosines: DataFrame | No
         part = SEMANTIC * F.greatest(F.lit(0.0), (F.col("cosine") - COSINE_FLOOR) / (1 - COSINE_FLOOR))
         parts.append(cosines.select("query_id", "chunk_id", part.alias("part"), F.lit(0).alias("has_lexical"), F.lit(1).alias("has_semantic")))
     none = [F.lit(0).alias("has_lexical"), F.lit(0).alias("has_semantic")]
-    parts.append(coverage_scores(chunks, queries).select("query_id", "chunk_id", (COVERAGE * F.col("coverage")).alias("part"), *none))
+    parts.append(coverage_scores(chunks, queries, tokens).select("query_id", "chunk_id", (COVERAGE * F.col("coverage")).alias("part"), *none))
     parts.append(contains_pairs(chunks, queries).select("query_id", "chunk_id", F.lit(EXACT).alias("part"), *none))
     if titles is not None:
         normal = queries.select("query_id", T.normalize_search_text(F.col("query")).alias("q"))

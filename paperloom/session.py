@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -41,3 +41,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         root = _own_root[0]
     root = root or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/paperloom/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a scratch table: computed once, with a short plan, whatever executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.functions.text import SHARD_STOP_WORDS
-from paperloom.session import scratch_path
+from paperloom.session import kept
 
 # Fixed values.
 TARGET_BYTES, LEAST_BYTES, KEYWORDS = 384 * 1024, 64 * 1024, 96
@@ -102,7 +102,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 8, least
     from paperloom.operators import retrieval
 
     ranked = rank_shards(spark.read.parquet(f"{path}/manifest"), queries).filter(F.col("rank") <= MOST_READS)
-    ranked = _kept(ranked)
+    ranked = kept(ranked, "ranked")
     chunks = spark.read.parquet(f"{path}/chunks")
     asked, found, depth = queries, None, 0
     while depth < MOST_READS:
@@ -117,7 +117,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 8, least
         scored = covered.unionByName(exact).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
         own = part.select("chunk_id", "document_id", "shard_id").join(F.broadcast(chosen.select(F.col("query_id").alias("q"), "shard_id")), "shard_id")
         scored = scored.join(own, (scored.chunk_id == own.chunk_id) & (F.col("query_id") == F.col("q"))).select("query_id", scored.chunk_id, "document_id", "score").filter(F.col("score") >= least)
-        scored = _kept(scored)
+        scored = kept(scored, "scored")
         found = scored if found is None else found.unionByName(scored)
         good = found.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") >= WEAK)
         asked = asked.join(good.select("query_id"), "query_id", "left_anti")
@@ -130,13 +130,6 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 8, least
     return retrieval.top_k(capped, "score", k)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` as a scratch table, so that each round's plan is short."""
-    path = scratch_path(df.sparkSession, "search")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read_proof(observations: DataFrame) -> DataFrame:
     """Per snapshot: accesses, distinct shards, hits, misses, bytes; network bytes are null if any miss wasn't measured."""
     miss = ~F.col("cache_hit")
