@@ -20,12 +20,16 @@ empty result; other columns are kept as they are.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import materialize, shuffle_partitions
 
 MAX_BROADCAST_SOURCES = 10_000
+#: Above this rate exp(-rate) comes near the least double; counts are found in a range around the mean.
+CENTRED_RATE = 500.0
 
 
 def _uniform(*parts: Column) -> Column:
@@ -48,8 +52,36 @@ def poisson_cdf(rate: Column) -> Column:
     return terms["cdf"]
 
 
+def centred_quantile(rate: Column, u: Column) -> Column:
+    """The least count whose P(at most that count) is over ``u``, for rates above ``CENTRED_RATE``.
+
+    P(count = k) starts from its logarithm 12 standard deviations under the mean (with Stirling's series, the large terms
+    cancelled), below which no double tells the sum from zero, and goes on by its recurrence as far above.
+    """
+    first = F.floor(rate - 12 * F.sqrt(rate)).cast("long")
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("long")
+    k = first.cast("double")
+    log_p = (k - rate) - k * F.log1p((k - rate) / rate) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k)
+    p = F.exp(log_p)
+    found = F.aggregate(
+        F.sequence(first + 1, last),
+        F.struct(p.alias("p"), p.alias("below"), F.when(p <= u, first + 1).otherwise(first).alias("count")),
+        lambda acc, k: F.struct(
+            (acc["p"] * rate / k).alias("p"),
+            (acc["below"] + acc["p"] * rate / k).alias("below"),
+            F.when(acc["below"] + acc["p"] * rate / k <= u, k + 1).otherwise(acc["count"]).alias("count"),
+        ),
+    )
+    return found["count"].cast("int")
+
+
+def poisson_quantile(rate: Column, cdf: Column, u: Column) -> Column:
+    """Count at the uniform number ``u``; ``cdf`` is that of :func:`source_rates`."""
+    return F.when(rate > CENTRED_RATE, centred_quantile(rate, u)).otherwise(F.size(F.filter(cdf, lambda c: c <= u)))
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, budget: float = 1.0, by: str = "chars", source: str = "source", text: str = "text") -> DataFrame:
-    """``src, rate, cdf``: the mean repetitions of a document of each source.
+    """``src, rate, cdf``: the mean repetitions of a document of each source; cdf is null above ``CENTRED_RATE``.
 
     ``weights`` gives target shares (sources not named get none); without it, a
     source's share is its size to the power ``alpha``. ``budget`` is the size of the
@@ -70,7 +102,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
     else:
         rate = F.when(F.col("size") > 0, F.col("share") / totals["share"] * budget * totals["size"] / F.col("size")).otherwise(0.0)
     rates = sizes.select("src", rate.alias("rate"))
-    return materialize(rates.withColumn("cdf", poisson_cdf(F.col("rate"))), "source-rates")
+    return materialize(rates.withColumn("cdf", F.when(F.col("rate") <= CENTRED_RATE, poisson_cdf(F.col("rate")))), "source-rates")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, budget: float = 1.0, by: str = "chars", seed: int = 0, source: str = "source", text: str = "text", doc_id: str = "doc_id", extras: bool = False) -> DataFrame:
@@ -85,7 +117,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
         rates = F.broadcast(rates)
     found = rows.join(rates, F.col("doc_src").eqNullSafe(F.col("src")))
     u = _uniform(F.lit(seed), F.col("key"))
-    counted = found.withColumn("u", u).withColumn("times", F.size(F.filter("cdf", lambda c: c <= F.col("u"))))
+    counted = found.withColumn("u", u).withColumn("times", poisson_quantile(F.col("rate"), F.col("cdf"), F.col("u")))
     copies = counted.filter("times > 0").select("doc", "key", "rate", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
     mix_key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce("key", F.lit("")), F.col("copy")))
     mixed = copies.withColumn("mix_key", mix_key).repartition(shuffle_partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")

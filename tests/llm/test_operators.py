@@ -407,6 +407,27 @@ def test_mixing(spark):
     assert rows_of(mixing.mix(table(spark, []))) == []
 
 
+@pytest.mark.parametrize("rate", [1, 499, 700, 1000, 50000])
+def test_mixing_of_high_rates(spark, rate):
+    """The quantile of each number at the rate, against sums of exact logarithms; counts have the rate's mean and variance."""
+    us = [0.0, 1e-9, 0.5, 1 - 1e-9] + [(i + 0.5) / 300 for i in range(300)]
+    df = spark.createDataFrame([(u, float(rate)) for u in us], "u double, rate double")
+    df = df.withColumn("cdf", F.when(F.col("rate") <= mixing.CENTRED_RATE, mixing.poisson_cdf(F.col("rate"))))
+    got = [r[0] for r in df.select(mixing.poisson_quantile(F.col("rate"), F.col("cdf"), F.col("u"))).collect()]
+    last = math.ceil(rate + 12 * math.sqrt(rate) + 40)
+    logs = np.array([k * math.log(rate) - rate - math.lgamma(k + 1) for k in range(last + 1)])
+    below = np.cumsum(np.exp(logs))
+    for u, n in zip(us, got):
+        if u:
+            # the logarithms are good to some 1e-9 at 50,000
+            assert np.searchsorted(below, u - 2e-9, "right") <= n <= np.searchsorted(below, u + 2e-9, "right"), u
+    assert abs(np.mean(got[4:]) - rate) < 0.02 * rate ** 0.5 + 0.01 and abs(np.var(got[4:]) / rate - 1) < 0.05
+    docs = table(spark, [(i, "x" * 100000, "big") for i in range(40)] + [(1000 + i, "ab", "small") for i in range(3)])
+    many = mixing.mix(docs, weights={"big": 4000006 - 6 * rate, "small": 6 * rate}, extras=True)
+    per = many.filter("doc.source = 'small'").groupBy("doc.doc_id").count().collect()
+    assert all(abs(r["count"] - rate) < 6 * rate ** 0.5 + 1 for r in per) and (rate < 100 or len(per) == 3)
+
+
 def test_brown_lm(spark):
     rows = [(i, " ".join(f"{'abc'[k % 3]}{(i * 7 + k * k) % 25}" for k in range(60))) for i in range(200)] + ROWS
     docs = table(spark, rows).withColumn("held_out", F.lit("clash"))
