@@ -8,16 +8,17 @@ in t bits lies within 1 + t of the same anchor. So each distinct fingerprint is
 replicated to all anchors within 1 + t per half (16 at most), and all
 links appear at some anchor, where the full 64 bits are compared.
 
-Wide fingerprints (``bits`` 256) are for shingle similarities down to 0.8, which 64 bits at a small distance can't
-tell: they are cut into eight words with the same anchors each and link up to a distance of 15 percent, which a
-similarity of 0.8 has on average. Pairs up to 15 bits apart always share an anchor (one of eight words differs in at
-most one bit); of pairs further apart those that do are linked.
+Wide fingerprints (``bits`` 256, of distinct shingles) are for shingle similarities down to 0.8, which 64 bits at a small
+distance can't tell: they are cut into eight words with the same anchors each. Pairs up to 15 bits apart always share an
+anchor (one of eight words differs in at most one bit); of pairs further apart those that do are found. Their distance
+only picks candidates: with a ``similarity``, a pair links if its sets of distinct shingles, read from the texts, are that
+similar.
 
 Rows are first reduced to distinct fingerprints, so exact copies never meet in an
 anchor. At an anchor with n fingerprints, pairs are compared up to a few hundred;
 beyond, each probes the sorted cell with the 64-bit patterns of at most two bits, work in
 proportion to n. An anchor emits the chain that connects what it has linked, under
-n rows, never all pairs. Chains are joined into components by minimum labels,
+n rows, never all pairs. (Wide: a tree, and of each member the pairs with its ``NEAREST``.) Chains are joined into components by minimum labels,
 written to a scratch table in each round.
 
 Defined results: null text counts as empty, a text without words has fingerprint
@@ -43,6 +44,10 @@ SEED = 42
 PAIRWISE = 512
 #: Shingle bits are summed in groups of this many.
 _GROUP = 4096
+#: At an anchor, a wide fingerprint is a candidate with so many of the nearest others, which are all in cells up to one more.
+NEAREST = 8
+#: The nearest are sought among so many fingerprints of a cell, in their order, at a time.
+SLICE = 4096
 
 
 def simhash(text: bytes, width: int) -> int:
@@ -65,20 +70,27 @@ def simhash(text: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def wide_simhash(text: bytes, width: int, bits: int) -> bytes:
-    """As :func:`simhash`, with XXH3-128 under as many seeds as fill ``bits``."""
+def shingles(text: bytes, width: int) -> set[bytes]:
+    """The distinct ``width``-word shingles of a text; a shorter one is its own, one without words has none."""
     words = text.lower().split()
     if not words:
-        return bytes(bits // 8)
-    joined, seeds, digest = b" ".join(words), range(SEED, SEED + bits // 128), xxhash.xxh3_128_digest
+        return set()
+    joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.r_[0, ends[:-1] + 1].tolist()
-    ends = ends[min(width, len(words)) - 1 :].tolist()
-    ones, n = np.zeros(bits, np.int64), len(ends)
+    return {joined[a:b] for a, b in zip(starts, ends[min(width, len(words)) - 1 :].tolist())}
+
+
+def wide_simhash(text: bytes, width: int, bits: int) -> bytes:
+    """As :func:`simhash` of distinct shingles, with XXH3-128 under as many seeds as fill ``bits``."""
+    found, seeds, digest = list(shingles(text, width)), range(SEED, SEED + bits // 128), xxhash.xxh3_128_digest
+    if not found:
+        return bytes(bits // 8)
+    ones, n = np.zeros(bits, np.int64), len(found)
     for at in range(0, n, _GROUP):
-        spans = [joined[a:b] for a, b in zip(starts[at : at + _GROUP], ends[at : at + _GROUP])]
-        raw = b"".join([digest(x, s) for x in spans for s in seeds])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(spans), -1), axis=1).sum(0, dtype=np.int64)
+        some = found[at : at + _GROUP]
+        raw = b"".join([digest(x, s) for x in some for s in seeds])
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(some), -1), axis=1).sum(0, dtype=np.int64)
     return np.packbits(2 * ones > n).tobytes()
 
 
@@ -236,23 +248,40 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def _walk(cell: np.ndarray, distance: int) -> list[np.ndarray]:
-    """Members of each component of a cell. A member is compared only with those not reached yet, so a dense cell takes few passes."""
-    left, found = np.arange(len(cell)), []
+def _tree(cell: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``distance`` that connect a cell's components. A member is compared only with those not reached yet, so a dense cell takes few passes."""
+    left, a, b = np.arange(len(cell)), [], []
     while len(left):
-        reached, todo, left = [left[0]], [left[0]], left[1:]
+        todo, left = [left[0]], left[1:]
         while todo and len(left):
-            near = _apart(cell[left], cell[todo.pop()]) <= distance
-            reached += left[near].tolist()
+            at = todo.pop()
+            near = _apart(cell[left], cell[at]) <= distance
+            a.append(np.full(near.sum(), at))
+            b.append(left[near])
             todo += left[near].tolist()
             left = left[~near]
-        if len(reached) > 1:
-            found.append(np.array(reached))
-    return found
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _nearest(cell: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each member of a cell with its nearest ones within ``distance``."""
+    a, b = [], []
+    for start in range(0, len(cell), SLICE):
+        some = cell[start : start + SLICE]
+        most = min(NEAREST, len(some) - 1)
+        for at in range(0, len(some) if most else 0, 64):
+            apart = _apart(some[at : at + 64, None], some[None])
+            own = np.arange(len(apart))
+            apart[own, at + own] = 1 << 30
+            near = np.argpartition(apart, most - 1, axis=1)[:, :most]
+            i, j = np.nonzero(np.take_along_axis(apart, near, 1) <= distance)
+            a.append(start + at + i)
+            b.append(start + near[i, j])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def wide_links(fps: DataFrame, bits: int, distance: int) -> DataFrame:
-    """``a, b``: links among distinct binary ``fp`` that connect all that share an anchor and differ in at most ``distance`` bits."""
+    """``a, b``: pairs among distinct binary ``fp`` that share an anchor and differ in at most ``distance`` bits; they connect all such."""
     size, low = bits // 64, np.uint64((1 << 31) - 1)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,10 +305,10 @@ def wide_links(fps: DataFrame, bits: int, distance: int) -> DataFrame:
             a.append(i)
             b.append(i + step)
         for at in np.flatnonzero(sizes > 8):
-            for members in _walk(fp[starts[at] : starts[at] + sizes[at]], distance):
-                members = starts[at] + np.sort(members)
-                a.append(members[:-1])
-                b.append(members[1:])
+            cell = fp[starts[at] : starts[at] + sizes[at]]
+            for i, j in (_tree(cell, distance), _nearest(cell, distance)):
+                a.append(starts[at] + i)
+                b.append(starts[at] + j)
         return pa.RecordBatch.from_arrays([_binary(fp[np.concatenate(a)]), _binary(fp[np.concatenate(b)])], names=["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,6 +331,30 @@ def wide_links(fps: DataFrame, bits: int, distance: int) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float, text: str = "text") -> DataFrame:
+    """The ``edges`` whose texts' sets of distinct shingles have a Jaccard similarity of ``similarity`` at least.
+
+    ``nodes(fp, least)`` names a row of ``docs`` for each fingerprint; only texts that an edge names are read into sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                some = batch.slice(at, 100)
+                sets = [np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) for x in shingles(t or b"", width)), np.uint64)).view(np.int64) for t in some.column("body").to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([some.column("fp"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["fp", "shingles"])
+
+    linked = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    named = nodes.join(linked, "fp", "left_semi").select("fp", F.col("least.row.file").alias("f"), F.col("least.row.pos").alias("p"))
+    rows = docs.select(row_id(docs).alias("row"), docs[text].cast("string").cast("binary").alias("body"))
+    texts = rows.join(named, (F.col("row.file") == F.col("f")) & (F.col("row.pos") == F.col("p"))).select("fp", "body")
+    sets = materialize(texts.mapInArrow(run, "fp binary, shingles array<bigint>"), "shingles")
+    pairs = edges.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b")), "b")
+    counted = pairs.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
+    return counted.filter(F.col("both") + 1e-6 >= similarity * (F.col("sizes") - F.col("both"))).select("a", "b")
+
+
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     """``a, b``: links among the distinct ``fp`` that connect all within ``distance`` (1 or 2) bits of one another."""
     if distance not in (1, 2):
@@ -335,8 +388,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, bits: int = 64, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, fp, component_id, row`` of each row; component_id is the smallest id its links reach."""
+def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, bits: int = 64, similarity: float | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, fp, component_id, row`` of each row; component_id is the smallest id its links reach.
+
+    Wide fingerprints with a ``similarity`` link where the texts' distinct shingles confirm it.
+    """
     if bits != 64 and bits % 128:
         raise ValueError("bits: 64, or a multiple of 128")
     docs = with_row_id(docs)
@@ -344,6 +400,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, bits: in
     found = materialize(raw, "fingerprints")
     nodes = materialize(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")), "distinct-fingerprints")
     edges = links(nodes, distance) if bits == 64 else wide_links(nodes, bits, distance)
+    if bits > 64 and similarity is not None:
+        edges = confirmed(materialize(edges, "candidates"), nodes, docs, width, similarity, text)
     whole = components(nodes.select(F.col("fp").alias("node")), edges)
     whole = materialize(whole.join(nodes.select(F.col("fp").alias("node"), "least"), "node"), "components")
     best = whole.groupBy("component").agg(F.min("least").alias("best"))
@@ -351,8 +409,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, bits: in
     return found.join(named, "fp").select("doc_id", "fp", F.col("best.doc_id").alias("component_id"), "row", F.col("best.row").alias("best_row"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, distance: int = 38, bits: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that name their component, all columns. By default a similarity of five-word shingles of about 0.8 links."""
+def one_of_each(docs: DataFrame, width: int = 5, distance: int = 38, bits: int = 256, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that name their component, all columns. By default a similarity of distinct five-word shingles of 0.8 links; with 64 bits their distance does."""
     docs = with_row_id(docs)
-    rows = near_duplicates(docs, width, distance, bits, text, doc_id)
+    rows = near_duplicates(docs, width, distance, bits, similarity, text, doc_id)
     return keep_rows(docs, rows.filter(F.col("row").eqNullSafe(F.col("best_row"))).select("row"))

@@ -164,6 +164,31 @@ def test_wide_simhash(spark):
     assert sorted(r["doc_id"] or -1 for r in one) == sorted(c or -1 for c in mine)
 
 
+def test_one_of_each_keeps_texts_that_share_a_repeated_line(spark):
+    """A line that decides most bits of both texts, and pairs a little below the similarity, aren't near copies."""
+    line = words(14, 1, 3000)
+    texts = [words(64, 50 + i, 3000) + f" {line}" * 20 for i in range(2)]
+    base = words(204, 77, 3000).split()
+    texts += [" ".join(base), " ".join(base[:-25] + words(25, 78, 3000).split()), " ".join(base[:-15] + words(15, 79, 3000).split())]
+    likeness = lambda i, j: len(shingles(texts[i]) & shingles(texts[j])) / len(shingles(texts[i]) | shingles(texts[j]))
+    assert likeness(0, 1) < 0.25 and 0.7 < likeness(2, 3) < 0.8 < likeness(2, 4) and likeness(3, 4) < 0.8
+    got = rows_of(simhash.one_of_each(table(spark, list(enumerate(texts)))))
+    assert {0, 1, 2, 3} <= {r["doc_id"] for r in got}
+
+
+def test_confirmed_links_are_exact(spark):
+    texts = [words(40 + i // 10, i // 10, 3000).replace(" ", " x ", i % 10) for i in range(60)] + [None, "", "a b", "A  b"]
+    docs = simhash.with_row_id(table(spark, list(enumerate(texts))))
+    rows = simhash.wide_fingerprints(docs, 5, 256)
+    nodes = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("least")).localCheckpoint()
+    fp = {r["least"]["doc_id"]: bytes(r["fp"]) for r in nodes.collect()}
+    pairs = [(i, j) for i in fp for j in fp if i < j]
+    edges = spark.createDataFrame([(fp[i], fp[j]) for i, j in pairs], "a binary, b binary")
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in simhash.confirmed(edges, nodes, docs, 5, 0.8).collect()}
+    sets = {i: shingles(texts[i]) for i in fp}
+    assert got == {(fp[i], fp[j]) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])} and got
+
+
 def test_anchors_cover():
     rng = np.random.default_rng(0)
     words31 = rng.integers(0, 1 << 31, 200, dtype=np.uint64)
