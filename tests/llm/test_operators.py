@@ -176,6 +176,23 @@ def test_one_of_each_keeps_texts_that_share_a_repeated_line(spark):
     assert {0, 1, 2, 3} <= {r["doc_id"] for r in got}
 
 
+def test_near_copies_are_found_down_to_the_similarity(spark):
+    """Pairs of 0.8 to 0.86, against brute-force similarity: nearly all link; pairs of 0.74 to 0.8 don't."""
+    rng, rows, near, far = random.Random(3), [], [], []
+    for g in range(240):
+        base = words(rng.randrange(60, 500), 20000 + g, 3000).split()
+        k = round(len(base) * (0.08 + 0.06 * g / 240))
+        pair = [" ".join(base), " ".join(base[:-k] + words(k, 30000 + g, 3000).split())]
+        one, other = map(shingles, pair)
+        (near if 5 * len(one & other) >= 4 * len(one | other) else far).append(g)
+        rows += [(10 * g + i, t) for i, t in enumerate(pair)]
+    kept = {r["doc_id"] for r in rows_of(simhash.one_of_each(table(spark, rows)))}
+    found = sum(10 * g + 1 not in kept for g in near)
+    print("found", found, "of", len(near))
+    assert len(near) > 80 and len(far) > 60 and found >= 0.97 * len(near)
+    assert all({10 * g, 10 * g + 1} <= kept for g in far)
+
+
 def test_confirmed_links_are_exact(spark):
     texts = [words(40 + i // 10, i // 10, 3000).replace(" ", " x ", i % 10) for i in range(60)] + [None, "", "a b", "A  b"]
     docs = simhash.with_row_id(table(spark, list(enumerate(texts))))
