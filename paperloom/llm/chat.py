@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import shuffle_partitions
-from paperloom.llm.tokens import encoder
+from paperloom.llm.tokens import as_bytes, encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "conv_id bigint, turn_index bigint, role string, token_offset bigint, loss_start bigint, loss_end bigint, ids array<int>"
@@ -56,27 +56,27 @@ def format_turns(turns: DataFrame, vocabulary: str, conv_id: str = "conv_id", tu
     """A row per turn: its ids, its first position in the conversation, and the span under the loss mask (empty where none)."""
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary, True)
-        size = coder.tokenizer.get_vocab_size(with_added_tokens=True)
-        start, end = (np.array([size + i], "<u4").tobytes() for i in (0, 1))
-        newline = coder.encode(["\n"])[0]
-        conv, index, at = object(), 0, 0
-        for batch in batches:
-            roles = [r or "" for r in batch.column("role").to_pylist()]
-            heads = coder.encode([_role(r) + "\n" for r in roles])
-            bodies = coder.encode([escape(t or "") for t in batch.column("text").to_pylist()])
-            rows = []
-            for c, r, head, body in zip(batch.column("conv_id").to_pylist(), roles, heads, bodies):
-                if c != conv:
-                    conv, index, at = c, 0, 0
-                segments = [start, head, body, end, newline]
-                places = at + np.cumsum([0] + [len(s) // 4 for s in segments])
-                learn = r in loss_roles
-                rows.append((c, index, r, at, int(places[2]), int(places[3] if learn else places[2]), np.frombuffer(b"".join(segments), "<i4")))
-                index, at = index + 1, int(places[-1])
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            names = ["conv_id", "turn_index", "role", "token_offset", "loss_start", "loss_end", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+        with encoder(vocabulary, True) as coder:
+            size = coder.tokenizer.get_vocab_size(with_added_tokens=True)
+            start, end = (np.array([size + i], "<u4").tobytes() for i in (0, 1))
+            newline = coder.encode(["\n"])[0].tobytes()
+            conv, index, at = object(), 0, 0
+            for batch in batches:
+                roles = [r or "" for r in batch.column("role").to_pylist()]
+                heads = as_bytes(*coder.encode([_role(r) + "\n" for r in roles]))
+                bodies = as_bytes(*coder.encode([escape(t or "") for t in batch.column("text").to_pylist()]))
+                rows = []
+                for c, r, head, body in zip(batch.column("conv_id").to_pylist(), roles, heads, bodies):
+                    if c != conv:
+                        conv, index, at = c, 0, 0
+                    segments = [start, head, body, end, newline]
+                    places = at + np.cumsum([0] + [len(s) // 4 for s in segments])
+                    learn = r in loss_roles
+                    rows.append((c, index, r, at, int(places[2]), int(places[3] if learn else places[2]), np.frombuffer(b"".join(segments), "<i4")))
+                    index, at = index + 1, int(places[-1])
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                names = ["conv_id", "turn_index", "role", "token_offset", "loss_start", "loss_end", "ids"]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
 
     rows = turns.select(turns[conv_id].cast("long").alias("conv_id"), turns[turn].cast("long").alias("turn"), turns[role].cast("string").alias("role"), turns[text].cast("string").alias("text"))
     dealt = rows.repartition(shuffle_partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -87,7 +87,8 @@ def read_back(formatted: DataFrame, vocabulary: str) -> DataFrame:
     """Digests of each conversation, decoded from the ids and masks of :func:`format_turns`."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary, True).tokenizer
+        with encoder(vocabulary, True) as found:
+            coder = found.tokenizer
         size = coder.get_vocab_size(with_added_tokens=True)
         conv, state, done = object(), None, []
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import materialize
 from paperloom.llm.token_store import slices
-from paperloom.llm.tokens import encoder
+from paperloom.llm.tokens import as_bytes, encoder
 
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, part int, sequence int, offset bigint, ids binary"
 _LAST = 1 << 62
@@ -96,8 +95,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 4096, wi
     """Pieces ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` (ids: little-endian unsigned 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, packer = encoder(vocabulary, spaced, lower), TaskContext.get().partitionId(), Packer(size, windows)
-        end = np.array([end_id], "<u4").tobytes()
+        part, packer = TaskContext.get().partitionId(), Packer(size, windows)
 
         def emitted() -> pa.RecordBatch:
             rows, packer.out = packer.out, []
@@ -109,13 +107,14 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 4096, wi
             names = ["doc_id", "start", "length", "doc_tokens", "part", "sequence", "offset", "ids"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-        for batch in batches:
-            for a, b in slices(batch, "text"):
-                piece = batch.slice(a, b - a)
-                for doc, ids in zip(piece.column("doc_id").to_pylist(), coder.encode(piece.column("text").to_pylist())):
-                    ids += end
-                    packer.add((doc, len(ids) // 4), ids)
-                yield emitted()
+        with encoder(vocabulary, spaced, lower) as coder:
+            for batch in batches:
+                for a, b in slices(batch, "text"):
+                    piece = batch.slice(a, b - a)
+                    found = as_bytes(*coder.encode(piece.column("text").to_pylist(), end_id))
+                    for doc, ids in zip(piece.column("doc_id").to_pylist(), found):
+                        packer.add((doc, len(ids) // 4), ids)
+                    yield emitted()
         packer.finish()
         yield emitted()
 

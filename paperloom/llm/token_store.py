@@ -50,20 +50,19 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, t
     """Encode every text and write the dataset at ``path`` in ascending id order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, at = encoder(vocabulary, spaced), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for a, b in slices(batch, "text"):
-                piece = batch.slice(a, b - a)
-                data = [x + end for x in coder.encode(piece.column("text").to_pylist())]
-                sizes = np.array([len(x) // 4 for x in data], np.int64)
-                ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(data), "<i4")))
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(np.full(len(data), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), ids],
-                    names=["doc_id", "part", "start_in_part", "n_tokens", "ids"],
-                )
-                at += int(ends[-1])
+        part, at = TaskContext.get().partitionId(), 0
+        with encoder(vocabulary, spaced) as coder:
+            for batch in batches:
+                for a, b in slices(batch, "text"):
+                    piece = batch.slice(a, b - a)
+                    found, ends = coder.encode(piece.column("text").to_pylist(), end_id)
+                    sizes = np.diff(ends, prepend=0)
+                    ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(found.view(np.int32)))
+                    yield pa.RecordBatch.from_arrays(
+                        [piece.column("doc_id"), pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), ids],
+                        names=["doc_id", "part", "start_in_part", "n_tokens", "ids"],
+                    )
+                    at += int(ends[-1])
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(files or shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
