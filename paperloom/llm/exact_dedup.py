@@ -1,21 +1,25 @@
 """Exact deduplication by a persistent digest index.
 
 The index is a table of ``digest binary, keep_id, group_size`` that is bucketed
-and sorted by digest. A batch is reduced to one digest per distinct text before
-it meets the index, the sort-merge anti-join leaves the digests that are new,
-and those are appended. Only 32-byte digests, ids and counts are shuffled, never
-texts, and a digest that a third of all rows share is counted map-side.
+and sorted by digest; the number of its buckets is stored beside it. A batch is
+reduced to one digest per distinct text before it meets the index, the sort-merge
+anti-join leaves the digests that are new, and those are appended. Only 32-byte
+digests, ids and counts are shuffled, never texts, and a digest that a third of
+all rows share is counted map-side.
 
 Defined results: null text counts as empty; texts are equal when identical
-after lower-casing A-Z; of equal texts the largest ``doc_id`` stays (null ids
-lose to any other); of repeated rows with one id, exactly one stays; an empty
-table gives an empty result; other columns are ignored whatever their names.
+after lower-casing A-Z, whole, however long; of equal texts the largest
+``doc_id`` stays (null ids lose to any other); of repeated rows with one id,
+exactly one stays; an empty table gives an empty result; other columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,29 +33,39 @@ from paperloom.llm.common import (
     with_row_id,
 )
 
-
 ENTRIES = "digest BINARY, keep_id BIGINT, group_size BIGINT"
 
 
 class DigestIndex:
-    """Digests of all texts seen so far, at ``path`` (a new scratch path by default)."""
+    """Digests of all texts seen so far, at ``path`` (a new scratch path by default).
+
+    ``buckets`` is chosen when the index is made, by default as many as shuffle partitions; an index
+    that exists has its own number, and another one is refused.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or scratch_path(spark, "digests")
-        self.buckets = buckets or shuffle_partitions(spark)
         self.table = "digests_" + hashlib.md5(self.path.encode()).hexdigest()[:16]
-        self.filled = self._exists()
-        if self.filled and not spark.catalog.tableExists(self.table):
+        stored = self._stored_buckets() if path else None
+        if stored and buckets and stored != buckets:
+            raise ValueError(f"the index at {self.path} has {stored} buckets, not {buckets}")
+        self.buckets = stored or buckets or shuffle_partitions(spark)
+        if not stored:
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).coalesce(1).write.json(f"{self.path}/_index")
+        if not spark.catalog.tableExists(self.table):
             spark.sql(
                 f"CREATE TABLE {self.table} ({ENTRIES}) USING parquet "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
             )
 
-    def _exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def _stored_buckets(self) -> int | None:
+        """The number in ``_index``, which readers of the table skip as a hidden file."""
+        try:
+            found = self.spark.read.schema("buckets int").json(f"{self.path}/_index").first()
+        except AnalysisException:  # no such path
+            return None
+        return found["buckets"]
 
     def entries(self) -> DataFrame:
         """The index as a plain table; a join with it can be dealt anew where it is skewed."""
@@ -59,8 +73,6 @@ class DigestIndex:
 
     def unseen(self, groups: DataFrame) -> DataFrame:
         """Rows of ``groups`` (one per digest) that the index doesn't hold."""
-        if not self.filled:
-            return groups
         known = self.spark.table(self.table).select("digest")
         return groups.join(known.hint("merge"), "digest", "left_anti")
 
@@ -75,7 +87,6 @@ class DigestIndex:
             .mode("append")
             .saveAsTable(self.table, format="parquet")
         )
-        self.filled = True
 
 
 def _digests(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -94,36 +105,44 @@ def _groups(digests: DataFrame) -> DataFrame:
     return digests.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
 
 
-def decide(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _admit(index: DigestIndex, groups: DataFrame) -> DataFrame:
+    """The ``groups`` that are new to the index, which then holds them."""
+    fresh = materialize(index.unseen(groups), "digest-fresh")
+    index.append(fresh.select("digest", F.col("best.doc_id").alias("keep_id"), "group_size"))
+    return fresh
+
+
+def decide(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id", batches: int = 1) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest.
 
-    ``group_size`` counts the rows of this batch; a text that an earlier batch
-    brought has that batch's ``keep_id`` and no row kept.
+    ``group_size`` counts the rows of ``docs``; a text that the index held before has the ``keep_id`` of that time and no
+    row kept. With more ``batches`` the rows come in as many ranges of ids, the highest first, each deduplicated against
+    the index as the ones before have left it; the result is the same.
     """
     index = index or DigestIndex(docs.sparkSession)
     digests = _digests(with_row_id(docs), text, doc_id)
-    groups = materialize(_groups(digests), "digest-groups")
-    fresh = materialize(index.unseen(groups), "digest-fresh") if index.filled else groups
-    index.append(fresh.select("digest", F.col("best.doc_id").alias("keep_id"), "group_size"))
-    known = index.entries().select("digest", "keep_id").join(groups.select("digest", "group_size", "best"), "digest")
-    if fresh is not groups:
-        known = known.join(fresh.select("digest", F.lit(True).alias("won")), "digest", "left")
-    else:
-        known = known.withColumn("won", F.lit(True))
-    known = materialize(known, "digest-known")
-    return digests.join(known, "digest").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.coalesce("won", F.lit(False)) & F.col("row").eqNullSafe(F.col("best.row"))).alias("kept"),
-        "digest",
-    )
+    cuts = []
+    if batches > 1:
+        shares = F.array(*[F.lit(i / batches) for i in range(1, batches)])
+        cuts = sorted(set(digests.agg(F.percentile_approx("doc_id", shares)).first()[0] or []))
+    batch = F.lit(0)
+    for cut in cuts:
+        batch = batch + F.when(F.col("doc_id") > cut, 1).otherwise(0)
+    groups = [materialize(_groups(digests.filter(batch == i) if cuts else digests), "digest-groups") for i in range(len(cuts), -1, -1)]
+    fresh = [_admit(index, g) for g in groups]
+    won = functools.reduce(DataFrame.unionByName, fresh).select("digest", "best")
+    sizes = functools.reduce(DataFrame.unionByName, groups)
+    if cuts:
+        sizes = sizes.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+    known = index.entries().select("digest", "keep_id").join(sizes.select("digest", "group_size"), "digest")
+    known = materialize(known.join(won, "digest", "left"), "digest-known")
+    kept = F.col("best").isNotNull() & F.col("row").eqNullSafe(F.col("best.row"))
+    return digests.join(known, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
 def survivors(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, all columns; their digests join the index."""
     index = index or DigestIndex(docs.sparkSession)
     docs = with_row_id(docs)
-    fresh = materialize(index.unseen(_groups(_digests(docs, text, doc_id))), "digest-fresh")
-    index.append(fresh.select("digest", F.col("best.doc_id").alias("keep_id"), "group_size"))
+    fresh = _admit(index, _groups(_digests(docs, text, doc_id)))
     return keep_rows(docs, fresh.select(F.col("best.row").alias("row")))

@@ -62,7 +62,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.decide(read(spark, sf_dir, "documents"))
+    found = exact_dedup.decide(read(spark, sf_dir, "documents"), batches=2)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -147,18 +147,21 @@ shared AS (
          sum(CASE WHEN size > 0 THEN pow(size, 0.5) END) OVER () AS all_share FROM sized),
 rates AS (
   SELECT src, CASE WHEN size > 0 AND all_share > 0 THEN share / all_share * 1.0 * all_size / size ELSE 0 END AS rate FROM shared),
+begun AS (  -- where the sum starts: below, no double tells it from zero
+  SELECT src, rate, CASE WHEN rate > 500 THEN floor(rate - 12 * sqrt(rate)) ELSE 0 END::BIGINT AS least FROM rates),
 cdf AS (
-  SELECT src, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS below FROM rates
+  SELECT src, rate, least, least AS k, p, p AS below
+  FROM (SELECT *, CASE WHEN least > 0 THEN exp(least * ln(rate) - rate - lgamma(least + 1)) ELSE exp(-rate) END AS p FROM begun)
   UNION ALL
-  SELECT src, rate, k + 1, p * rate / (k + 1), below + p * rate / (k + 1) FROM cdf
-  WHERE k < CAST(ceil(rate + 12 * sqrt(rate) + 40) AS INTEGER)),
+  SELECT src, rate, least, k + 1, p * rate / (k + 1), below + p * rate / (k + 1) FROM cdf
+  WHERE k < CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT)),
 drawn AS (
   SELECT doc_id, source, text,
          CAST('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u
   FROM documents),
-steps AS (SELECT src, rate, list(below) AS steps FROM cdf GROUP BY src, rate),
+steps AS (SELECT src, rate, least, list(below) AS steps FROM cdf GROUP BY src, rate, least),
 counted AS (
-  SELECT doc_id, source, text, rate, len(list_filter(steps, lambda c: c <= u)) AS times
+  SELECT doc_id, source, text, rate, least + len(list_filter(steps, lambda c: c <= u)) AS times
   FROM drawn JOIN steps ON source IS NOT DISTINCT FROM src),
 copies AS (SELECT doc_id, source, text, rate, unnest(generate_series(1, times)) AS copy FROM counted)
 SELECT doc_id, source, copy::INTEGER AS copy, round(rate, 9) AS rate,
