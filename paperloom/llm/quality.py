@@ -3,15 +3,17 @@
 Features are indicators of byte n-grams (1 to 4) of the whole text, hashed to
 ``2**BITS`` places. Each is scaled by its class log-count ratio, counted over all
 labelled rows, and a linear hinge-loss model is fitted to the scaled, normalised
-indicators by dual coordinate descent, on at most ``max_rows`` labelled rows (the
-smallest hashes of their ids, half of either class where there are enough). Only
-the weights are broadcast, ``2**BITS`` numbers.
-
-Defined results: null text counts as empty and gets the score of no features; a
-null label, or one without a document, is not learnt from; repeated labels count
-each time; without labels of both classes every score is 0.5; repeated rows get
-one row each; an empty table gives an empty result; other columns are ignored
-whatever their names.
+indicators by dual coordinate descent, on at most ``max_rows`` labelled rows with
+``max_features`` features in all (the smallest hashes of their ids, half of either
+class where there are enough). Texts become features in the tasks that read them;
+only those of the sample are brought together, and only the weights are broadcast,
+``2**BITS`` numbers.
+
+Defined results: null text counts as empty and gets the score of no features; long
+texts are read whole, in pieces; a null label, or one without a document, is not
+learnt from; repeated labels count each time; without labels of both classes every
+score is 0.5; a score of 0.5 counts as good; repeated rows get one row each; an
+empty table gives an empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import materialize
+
 BITS = 18
-#: Up to this many labels (about 100 MB) are broadcast; more are joined by sort-merge.
-MAX_BROADCAST_LABELS = 1_000_000
+#: Labels are broadcast while they take at most so many bytes; more are joined by sort-merge.
+BROADCAST_BYTES = 32 << 20
+#: Of a label in a broadcast table.
+LABEL_BYTES = 48
 #: Long texts are read in pieces of this many bytes.
 PIECE = 1 << 18
 
@@ -78,14 +84,25 @@ def hinge_fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cos
 
 
 def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    small = marks.count() <= MAX_BROADCAST_LABELS
+    small = marks.count() * LABEL_BYTES <= BROADCAST_BYTES
     return rows.join(F.broadcast(marks) if small else marks, F.col("id") == F.col("mark_id")).select("id", "label", "body")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, cost: float = 1.0, epochs: int = 8, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> tuple[np.ndarray, np.ndarray, float]:
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(1 << BITS, bool)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            some = batch.slice(at, 200)
+            found = [features(t, seen).astype(np.int32) for t in some.column("body").to_pylist()]
+            sizes = [len(f) for f in found]
+            places = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([some.column("o"), some.column("label"), places, pa.array(sizes, pa.int64())], names=["o", "label", "places", "n"])
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features: int = 32_000_000, cost: float = 1.0, epochs: int = 8, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> tuple[np.ndarray, np.ndarray, float]:
     """``ratio, weights, bias`` from the documents that ``labels`` marks 0 or 1."""
     draw = F.pmod(F.xxhash64(F.lit("sample"), "mark_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    marks = labels.select(labels[doc_id].alias("mark_id"), labels[label].cast("int").alias("label")).filter("label IN (0, 1)").withColumn("draw", draw)
+    marks = labels.select(labels[doc_id].alias("mark_id"), labels[label].cast("int").alias("label")).filter("label IN (0, 1) AND mark_id IS NOT NULL")
     rows = docs.select(docs[doc_id].alias("id"), F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias("body"))
     counted = _marked(rows, marks).select("body", "label").mapInArrow(_count, "place bigint, n0 bigint, n1 bigint")
     counts = counted.groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # 2**BITS rows at most
@@ -99,23 +116,28 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, cost: float
     ratio[counts.place.to_numpy()] = np.log(p / (totals[1] + 2)) - np.log(q / (totals[0] + 2))
     few = int(min(totals.min(), max_rows // 2))
     want = {int(np.argmin(totals)): few, int(np.argmax(totals)): max_rows - few} if totals[0] != totals[1] else {0: few, 1: few}
-    picked = None
-    for c, n in want.items():  # a little more than n by their hashes, then exactly n of those
-        some = marks.filter((F.col("label") == c) & (F.col("draw") <= 1.1 * n / totals[c] + 20 / totals[c]))
-        some = _marked(rows, some).withColumn("o", F.xxhash64("id")).orderBy("o", "id", "body").limit(n)
-        picked = some if picked is None else picked.unionByName(some)
+    # a little more than the rows wanted by a hash of their ids, whatever the number of labels, then exactly those
+    chance = F.when(F.col("label") == 1, (1.1 * want[1] + 20) / totals[1]).otherwise((1.1 * want[0] + 20) / totals[0])
+    some = rows.join(F.broadcast(marks.filter(draw <= chance)), F.col("id") == F.col("mark_id"))
+    sample = materialize(some.select(F.xxhash64("id").alias("o"), "label", "body").mapInArrow(_featured, "o bigint, label int, places array<int>, n bigint"), "sample")
+    order = Window.partitionBy("label").orderBy("o", "places")
+    sample = sample.withColumn("r", F.row_number().over(order)).withColumn("held", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    limit = F.when(F.col("label") == 1, want[1]).otherwise(want[0])
+    picked = sample.filter((F.col("r") <= limit) & ((F.col("held") <= max_features // 2) | (F.col("r") == 1)))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, found, marks = np.zeros(1 << BITS, bool), [], []
+        found, marks = [], []
         for batch in batches:
-            found += [features(t, seen).astype(np.int32) for t in batch.column("body").to_pylist()]
+            lists = batch.column("places")
+            found += np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py())
             marks += batch.column("label").to_pylist()
         if found:
             w, bias = hinge_fit(found, np.array(marks), ratio, cost, epochs)
             place = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, place].astype(np.int64)), pa.array(np.r_[bias, w[place]])], names=["place", "weight"])
 
-    fitted = picked.select("label", "body").coalesce(1).mapInArrow(fit, "place bigint, weight double").toPandas()
+    one = picked.orderBy("label", "r").select("label", "places").coalesce(1)  # max_rows rows and max_features features at most
+    fitted = one.mapInArrow(fit, "place bigint, weight double").toPandas()
     weights = np.zeros(1 << BITS)
     inner = fitted[fitted.place >= 0]
     weights[inner.place.to_numpy()] = inner.weight.to_numpy()
