@@ -1,12 +1,16 @@
-"""Text functions: normalising, tokens, quality, hashes, excerpts. Native expressions only."""
+"""Text functions: normalising, tokens, quality, hashes, excerpts. Native expressions, but for :func:`nfc`."""
 
 from __future__ import annotations
 
 import functools
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from paperloom.functions.vectors import once
 
 # Fixed values.
 WS = "[\t\n\x0b\f\r    -     　﻿]"
@@ -41,11 +45,18 @@ def fold_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, *_folds()), "[̀-ͯ]", "")
 
 
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Composed letters; Spark has no expression for that."""
+    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
 def search_tokens(text: Column, stop: list[str] | None = None) -> Column:
-    """Folded words of two characters or more that aren't stop words, in order."""
-    words = F.split(fold_accents(normalize_search_text(text)), r"[^\p{L}\p{N}]+")
+    """Folded words of two characters or more that aren't stop words, in order. Only words with a letter beyond ASCII are folded."""
+    words = F.split(normalize_search_text(text), r"[^\p{L}\p{N}\u0300-\u036f]+")
+    plain = F.transform(words, lambda w: F.when(F.octet_length(w) > F.length(w), fold_accents(w)).otherwise(w))
     stops = F.array(*[F.lit(w) for w in (STOP_WORDS if stop is None else stop)])
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w))
+    return F.filter(plain, lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w))
 
 
 def content_hash(text: Column) -> Column:
@@ -60,17 +71,24 @@ def text_quality(text: Column) -> Column:
     """0 to 1: share of readable characters, diversity of words, and length."""
     spaced = F.regexp_replace(F.regexp_replace(text, rf"https?://[^{WS[1:-1]}]+", " "), r"\p{Cc}+", " ")
     cleaned = F.trim(F.regexp_replace(spaced, f"{WS}+", " "))
-    n = F.length(cleaned)
-    readable = F.regexp_count(cleaned, F.lit(r"[\p{L}\p{N}.,;:!?()'\"-]"))
-    words = F.regexp_extract_all(F.lower(cleaned), F.lit(r"([\p{L}\p{N}]{2,})"), F.lit(1))
-    diversity = F.least(F.lit(1.0), F.size(F.array_distinct(words)) / F.greatest(F.lit(8.0), F.size(words) * F.lit(0.35)))
+    parts = lambda c: F.struct(
+        F.length(c).alias("n"),
+        F.regexp_count(c, F.lit(r"[\p{L}\p{N}.,;:!?()'\"-]")).alias("readable"),
+        F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]{2,})"), F.lit(1)).alias("words"),
+    )
     a, b, c = QUALITY_WEIGHTS
-    return F.when(n < 24, 0.0).otherwise(readable / n * a + diversity * b + F.least(F.lit(1.0), n / 120.0) * c)
+
+    def score(p: Column) -> Column:
+        diversity = F.least(F.lit(1.0), F.size(F.array_distinct(p["words"])) / F.greatest(F.lit(8.0), F.size(p["words"]) * F.lit(0.35)))
+        return F.when(p["n"] < 24, 0.0).otherwise(p["readable"] / p["n"] * a + diversity * b + F.least(F.lit(1.0), p["n"] / 120.0) * c)
+
+    return once(once(cleaned, parts), score)
 
 
-def is_useful(text: Column) -> Column:
+def is_useful(text: Column, quality: Column | None = None) -> Column:
+    """Whether a text has words and quality enough; ``quality`` is its :func:`text_quality` where that is at hand."""
     words = F.regexp_count(text, F.lit(r"[\p{L}\p{N}]{2,}"))
-    return (words >= USEFUL_TOKENS) & (text_quality(text) >= USEFUL_QUALITY)
+    return (words >= USEFUL_TOKENS) & ((text_quality(text) if quality is None else quality) >= USEFUL_QUALITY)
 
 
 def collapse(text: Column) -> Column:

@@ -18,14 +18,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)), value).otherwise(0.0)
 
 
-def _with(value: Column, then) -> Column:
+def once(value: Column, then) -> Column:
     """``then(value)`` with the value computed once, even where a lambda uses it."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def l2_normalize(v: Column) -> Column:
     norm = F.sqrt(dot(v, v))
-    return _with(F.when(norm == 0, 1.0).otherwise(norm), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+    return once(F.when(norm == 0, 1.0).otherwise(norm), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 def quantize(v: Column) -> Column:
@@ -39,7 +39,7 @@ def quantize(v: Column) -> Column:
         scale = F.greatest(F.lit(1e-6), F.array_max(F.transform(unit, lambda x: F.abs(x)))) / 127
         return F.struct(unit.alias("unit"), scale.alias("scale"))
 
-    return _with(_with(l2_normalize(v), scaled), codes)
+    return once(once(l2_normalize(v), scaled), codes)
 
 
 def dequantize(q: Column) -> Column:

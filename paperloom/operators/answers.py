@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions import access as A
 from paperloom.functions import records as R
 from paperloom.functions import text as T
 
@@ -14,6 +15,9 @@ NUMBER_WORDS = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
     "không": 0, "một": 1, "hai": 2, "ba": 3, "bốn": 4, "năm": 5, "sáu": 6, "bảy": 7, "tám": 8, "chín": 9, "mười": 10,
 }
+EXCERPT_FORM = "nfc-lowercase-vi-whitespace-v1"
+READ_BY_MODEL = ["local_ocr", "cloud_vision", "cloud_video", "mixed"]
+HASH = r"(?i)^(0x)?[0-9a-f]{64}$"
 # End of fixed values.
 
 
@@ -74,11 +78,8 @@ def answer_contract(answer: Column, offered: Column, exact_facts: Column, allowe
     low = F.lower(answer)
     stem = lambda f: F.regexp_replace(F.lower(f), r"\.[^.]{1,5}$", "")
     stated = lambda f: F.contains(low, F.lower(f)) | ((F.length(stem(f)) >= 4) & F.contains(low, stem(f)))
-    leak = F.lit(False)
-    for mark in leak_marks:
-        leak = leak | F.contains(low, F.lit(mark.lower()))
     return (
-        F.when(leak, "leak")
+        F.when(A.holds_any(answer, leak_marks), "leak")
         .when((F.size(offered) > 0) & (F.size(cited) == 0), "missing_citation")
         .when(F.size(F.array_except(cited, offered)) > 0, "unknown_citation")
         .when(F.exists(exact_facts, lambda f: ~stated(f)), "missing_exact_fact")
@@ -100,3 +101,88 @@ def fill_citation_ids(sources: DataFrame) -> DataFrame:
     filled = open_rows.join(free, ["answer_id", "k"]).select("answer_id", "position", "number")
     kept = rows.filter("given IS NOT NULL").select("answer_id", "position", F.col("given").alias("number"))
     return kept.unionByName(filled).select("answer_id", "position", F.concat(F.lit("S"), F.col("number")).alias("citation_id"))
+
+
+def verification_scope(level: Column, method: Column) -> Column:
+    """What a source's level rests on."""
+    return (
+        F.when(level == "failed", "verification_failed")
+        .when(level == "indexed_only", "index_record_only")
+        .when(method.isin(READ_BY_MODEL), "source_bytes_only_ocr_not_independently_verified")
+        .when((level == "content_verified") & (method == "text_layer"), "text_layer_excerpt_reproduced_at_creation")
+        .otherwise("source_bytes_verified_at_creation")
+    )
+
+
+def receipt_audit(receipts: DataFrame, sources: DataFrame, integrity: DataFrame) -> DataFrame:
+    """Checks of each receipt against itself, one row per receipt: ``schema, receipt_id_check, envelope_digest, citations, excerpt_hashes,
+    declared_hashes, evidence_scope`` (pass, fail, unavailable or declared_only), ``n_errors`` and ``valid``.
+
+    ``receipts``: receipt_id, answer, body and declared_id (the canonical text and its SHA-256), payload and digest likewise.
+    ``sources``: receipt_id, citation_id, source, page_number, excerpt, level, method, indexed_root, current_root, recomputed_root, page_hash, chunk_hash.
+    ``integrity``: receipt_id, citation_id, source, page_number, excerpt_form, excerpt_sha256, citation_sha256, page_sha256, chunk_sha256, scope, method.
+    Rows meet by receipt and citation; a receipt's sources are counted, not gathered.
+    """
+    hashed = lambda c: c.rlike(HASH)
+    plain = T.normalize_hex
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    same = lambda a, b: plain(a).eqNullSafe(plain(b))
+    roots = F.array_compact(F.array(*[plain(F.col(c)) for c in ("indexed_root", "current_root", "recomputed_root")]))
+    wrong_hash = F.lit(False)
+    for c in ("indexed_root", "current_root", "recomputed_root", "page_hash", "chunk_hash"):
+        wrong_hash = wrong_hash | ok(~hashed(F.col(c)))
+    expected = citation_integrity(F.upper("citation_id"), F.col("source"), F.col("page_number"), F.col("excerpt"))
+    own = sources.select(
+        "*",
+        F.upper("citation_id").alias("cite"),
+        expected.alias("want"),
+        verification_scope(F.col("level"), F.col("method")).alias("want_scope"),
+        (wrong_hash | ((F.col("level") != "failed") & (F.size(F.array_distinct(roots)) > 1))).alias("hash_error"),
+        ((F.col("level") == "content_verified") & F.col("method").isin(READ_BY_MODEL)).alias("claim_error"),
+        (F.col("page_hash").isNotNull() | F.col("chunk_hash").isNotNull()).alias("declares"),
+    )
+    told = integrity.select("receipt_id", F.upper("citation_id").alias("cite"), F.struct(*[integrity[c] for c in integrity.columns if c != "receipt_id"]).alias("told"))
+    first = told.groupBy("receipt_id", "cite").agg(F.first("told").alias("told"))
+    cited = receipts.select("receipt_id", F.explode(R.citation_ids(F.col("answer"))).alias("cite"), F.lit(True).alias("is_cited"))
+    met = own.join(first, ["receipt_id", "cite"], "left").join(cited, ["receipt_id", "cite"], "left")
+    t, want = F.col("told"), F.col("want")
+    missing = t.isNull()
+    as_declared = lambda c: F.when(hashed(F.col(c)), plain(F.col(c)))
+    rows = met.select(
+        "receipt_id", "cite", "declares",
+        (~F.col("cite").rlike(r"^S[1-9]\d*$") | ok(F.col("claim_error")) | F.col("is_cited").isNull()).alias("citation_error"),
+        ok(F.col("hash_error")).alias("hash_error"),
+        (missing | ~ok((t["citation_id"] == F.col("cite")) & (t["source"] == F.col("source")) & (t["page_number"] == F.col("page_number")) & (t["citation_sha256"] == want["citation_sha256"]))).alias("binding_error"),
+        (missing | ~ok((t["excerpt_form"] == EXCERPT_FORM) & (t["excerpt_sha256"] == want["excerpt_sha256"]))).alias("excerpt_error"),
+        F.when(missing, F.col("declares")).otherwise(~same(t["page_sha256"], as_declared("page_hash")) | ~same(t["chunk_sha256"], as_declared("chunk_hash"))).alias("declared_error"),
+        (missing | ~ok(t["scope"].eqNullSafe(F.col("want_scope")) & t["method"].eqNullSafe(F.col("method")))).alias("scope_error"),
+    )
+    kinds = ["citation_error", "hash_error", "binding_error", "excerpt_error", "declared_error", "scope_error"]
+    per = rows.groupBy("receipt_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cite").alias("n_cites"), F.bool_or("declares").alias("declares"), *[F.count_if(F.col(k)).alias(k) for k in kinds])
+    records = integrity.groupBy("receipt_id").agg(F.count(F.lit(1)).alias("n_records"))
+    known = own.select("receipt_id", "cite").distinct().withColumn("known", F.lit(True))
+    strays = cited.join(known, ["receipt_id", "cite"], "left").groupBy("receipt_id").agg(F.count(F.lit(1)).alias("n_cited"), F.count_if(F.col("known").isNull()).alias("n_stray"))
+    joined = receipts.join(per, "receipt_id", "left").join(records, "receipt_id", "left").join(strays, "receipt_id", "left")
+    joined = joined.na.fill(0, ["n", "n_cites", "n_records", "n_cited", "n_stray", *kinds]).na.fill(False, ["declares"])
+    right = lambda text, digest: ok(plain(digest) == F.sha2(text, 256))
+    verdict = lambda bad: F.when(bad, "fail").otherwise("pass")
+    c = F.col
+    schema = ok(hashed(c("declared_id")) & hashed(c("digest")) & c("answer").isNotNull())
+    id_right, digest_right = right(c("body"), c("declared_id")), right(c("payload"), c("digest"))
+    repeated, uncited = c("n") - c("n_cites"), F.when((c("n") > 0) & (c("n_cited") == 0), 1).otherwise(0)
+    records_off = F.when(c("n_records") != c("n"), 1).otherwise(0)
+    citation_errors = c("citation_error") + c("binding_error") + repeated + uncited + c("n_stray") + records_off
+    errors = citation_errors + c("hash_error") + c("excerpt_error") + c("declared_error") + c("scope_error")
+    errors = errors + F.when(schema, 0).otherwise(1) + F.when(id_right, 0).otherwise(1) + F.when(digest_right, 0).otherwise(1)
+    return joined.select(
+        "receipt_id",
+        verdict(~schema).alias("schema"),
+        verdict(~id_right).alias("receipt_id_check"),
+        verdict(~digest_right).alias("envelope_digest"),
+        verdict(citation_errors > 0).alias("citations"),
+        verdict(c("excerpt_error") > 0).alias("excerpt_hashes"),
+        F.when(c("hash_error") + c("declared_error") > 0, "fail").when(c("declares"), "declared_only").otherwise("unavailable").alias("declared_hashes"),
+        verdict(c("scope_error") > 0).alias("evidence_scope"),
+        errors.cast("bigint").alias("n_errors"),
+        (errors == 0).alias("valid"),
+    )

@@ -7,10 +7,12 @@ on the token keeps only the postings that some query asks for.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
@@ -23,15 +25,28 @@ LEXICAL, RANK, SEMANTIC, COVERAGE, EXACT, TITLE = 0.36, 0.12, 0.46, 0.2, 0.85, 0
 COSINE_FLOOR, SCORE_FLOOR = 0.2, 0.03
 SELECT_FLOOR, SELECT_SHARE, PER_DOCUMENT, PER_PAGE, SAME = 0.16, 0.22, 4, 2, 0.86
 FUZZY, FUZZY_MIN, FUZZY_MAX, FUZZY_PAGE = 0.82, 3, 64, 50_000
+PACKAGE_COVERAGE, PACKAGE_EXACT, PACKAGE_SEMANTIC, PACKAGE_FLOOR = 0.42, 0.85, 0.5, 0.12
 # End of fixed values.
 
-#: A side of a join is broadcast up to this many rows.
-BROADCAST_ROWS = 100_000
+#: A side of a join is broadcast up to this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+
+
+def _width(name: str, kind: str) -> Column:
+    """About what a value takes in a row."""
+    if kind == "string":
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if kind.startswith("array"):
+        inner = F.aggregate(name, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16) if kind == "array<string>" else 8 * F.size(name)
+        return F.greatest(F.coalesce(inner, F.lit(0)), F.lit(0)) + 16
+    return F.lit(16)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``BROADCAST_BYTES`` in them."""
+    width = sum((_width(n, k) for n, k in df.dtypes), F.lit(0)).cast("bigint")
+    n, held = df.limit(rows + 1).select(width.alias("w")).agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -45,6 +60,21 @@ def token_table(chunks: DataFrame) -> DataFrame:
     return kept(chunks.select("chunk_id", T.search_tokens(F.col("text")).alias("tokens")), "tokens")
 
 
+def tolerant_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """``query_id, token``: the words of the vocabulary within one edit of a query's token.
+
+    Words one edit apart share a word with one letter left out, or are such a word of each other: an equi join on these keys, of the
+    distinct words alone, finds them all; the distance is then checked.
+    """
+    keys = lambda w: F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))))
+    words = tokens.select(F.explode("tokens").alias("token")).distinct()
+    spread = words.select("token", F.explode(F.array_distinct(keys(F.col("token")))).alias("key"))
+    asked = terms.select("query_id", F.col("token").alias("own")).distinct()
+    wanted = asked.select("own").distinct().select("own", F.explode(F.array_distinct(keys(F.col("own")))).alias("key"))
+    near = spread.join(small(wanted), "key").filter(F.levenshtein("token", "own") <= 1).select("token", "own").distinct()
+    return asked.join(near, "own").select("query_id", "token").distinct()
+
+
 def postings(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """``token, chunk_id, tf`` for the tokens of ``terms`` alone."""
     wanted = small(terms.select("token").distinct())
@@ -52,9 +82,11 @@ def postings(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     return words.join(wanted, "token").groupBy("token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lexical_scores(chunks: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B, tokens: DataFrame | None = None) -> DataFrame:
+def lexical_scores(chunks: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B, tokens: DataFrame | None = None, tolerance: int = 0) -> DataFrame:
     """BM25 of each query and each chunk that shares a token: ``query_id, chunk_id, lexical``.
 
+    With a ``tolerance`` of 1 a query's token also stands for the chunks' words within one edit, but for numbers of up to four digits, which are exact.
+
     Repeated query tokens count once. Scores are rounded to 9 places, so that equal texts tie in whatever order their
     terms are summed. Document frequencies and the mean length are over all chunks.
     """
@@ -62,6 +94,9 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, k1: float = BM25_K1, b
     sized = tokens.select("chunk_id", F.size("tokens").alias("len"))
     n_chunks, mean = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
     terms = query_terms(queries).select("query_id", "token")
+    if tolerance:
+        number = F.col("token").rlike(r"^\d{1,4}$")
+        terms = terms.filter(number).union(tolerant_terms(tokens, terms.filter(~number))).distinct()
     found = kept(postings(tokens, terms), "postings")
     df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("token", F.log(1 + (n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
@@ -125,7 +160,7 @@ def contains_pairs(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     candidates = wanted.join(small(rarest), "word").select("query_id", "chunk_id")
     exact = candidates.join(body, "chunk_id").join(small(normal), "query_id").filter(F.contains("body", "needle")).select("query_id", "chunk_id")
     short = inner.filter(F.size("words") == 0).select("query_id", "needle")
-    rest = body.join(small(short), F.contains("body", "needle")).select("query_id", "chunk_id")
+    rest = small(body).join(small(short), F.contains("body", "needle")).select("query_id", "chunk_id")
     return exact.unionByName(rest)
 
 
@@ -133,7 +168,7 @@ def hybrid_scores(chunks: DataFrame, queries: DataFrame, cosines: DataFrame | No
     """Score of each query and chunk with any signal, above the floor.
 
     The ``depth`` best lexical hits, the cosine where there is one (0 to 1 above its floor), token coverage,
-    containment of the query and a title (``document_id, title``) that the query names.
+    containment of the query and a title or alias (``document_id, title``) that the query holds.
     """
     tokens = token_table(chunks)
     lexical = top_k(lexical_scores(chunks, queries, tokens=tokens), "lexical", depth)
@@ -147,9 +182,9 @@ def hybrid_scores(chunks: DataFrame, queries: DataFrame, cosines: DataFrame | No
     parts.append(coverage_scores(chunks, queries, tokens).select("query_id", "chunk_id", (COVERAGE * F.col("coverage")).alias("part"), *none))
     parts.append(contains_pairs(chunks, queries).select("query_id", "chunk_id", F.lit(EXACT).alias("part"), *none))
     if titles is not None:
-        normal = queries.select("query_id", T.normalize_search_text(F.col("query")).alias("q"))
-        named = titles.select("document_id", T.normalize_search_text(F.col("title")).alias("t")).filter("t <> ''")
-        hits = named.join(small(normal), F.contains("q", "t")).select("query_id", "document_id").distinct()
+        asked = queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text"))
+        named = contains_pairs(asked, titles.select(F.col("title").alias("query_id"), F.col("title").alias("query")).distinct())
+        hits = titles.join(small(named.select(F.col("query_id").alias("title"), F.col("chunk_id").alias("query_id"))), "title").select("query_id", "document_id").distinct()
         parts.append(chunks.select("document_id", "chunk_id").join(hits, "document_id").select("query_id", "chunk_id", F.lit(TITLE).alias("part"), *none))
     every = parts[0]
     for part in parts[1:]:
@@ -159,6 +194,32 @@ def hybrid_scores(chunks: DataFrame, queries: DataFrame, cosines: DataFrame | No
     return scored.filter(F.col("score") > SCORE_FLOOR).select("query_id", "chunk_id", "score", method.alias("method"))
 
 
+def package_scores(chunks: DataFrame, queries: DataFrame, cosines: DataFrame | None = None) -> DataFrame:
+    """Score of each query and package chunk, from the floor on: coverage, containment and the cosine above its floor."""
+    tokens = token_table(chunks)
+    parts = [coverage_scores(chunks, queries, tokens).select("query_id", "chunk_id", (PACKAGE_COVERAGE * F.col("coverage")).alias("part"), F.lit(1).alias("l"), F.lit(0).alias("s"))]
+    parts.append(contains_pairs(chunks, queries).select("query_id", "chunk_id", F.lit(PACKAGE_EXACT).alias("part"), F.lit(1).alias("l"), F.lit(0).alias("s")))
+    if cosines is not None:
+        part = PACKAGE_SEMANTIC * F.greatest(F.lit(0.0), (F.col("cosine") - COSINE_FLOOR) / (1 - COSINE_FLOOR))
+        parts.append(cosines.select("query_id", "chunk_id", part.alias("part"), F.lit(0).alias("l"), F.lit(1).alias("s")))
+    every = functools.reduce(DataFrame.unionByName, parts)
+    scored = every.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"), F.max("l").alias("l"), F.max("s").alias("s"))
+    method = F.when((F.col("l") == 1) & (F.col("s") == 1), "hybrid").when(F.col("s") == 1, "semantic").otherwise("lexical")
+    return scored.filter(F.col("score") >= PACKAGE_FLOOR).select("query_id", "chunk_id", "score", method.alias("method"))
+
+
+def best_chunks(found: DataFrame, chunks: DataFrame, quotes: DataFrame) -> DataFrame:
+    """``query_id, document_id, page_number, chunk_index``: of the page where a quote was found, the chunk that holds it, else the one
+    that covers most of its tokens; the first of equal ones."""
+    asked = found.select("query_id", "document_id", "page_number").join(quotes.select("query_id", "query"), "query_id")
+    met = chunks.select("document_id", "page_number", "chunk_index", "text").join(small(asked), ["document_id", "page_number"])
+    needle, body = T.normalize_search_text(F.col("query")), T.normalize_search_text(F.col("text"))
+    cover = F.round(T.token_coverage(T.search_tokens(F.col("query")), T.search_tokens(F.col("text"))), 9)
+    best = F.max(F.struct((F.contains(body, needle) & (needle != "")).alias("holds"), cover.alias("cover"), (-F.col("chunk_index")).alias("back"))).alias("best")
+    picked = met.groupBy("query_id", "document_id", "page_number").agg(best)
+    return picked.select("query_id", "document_id", "page_number", (-F.col("best.back")).alias("chunk_index"), F.col("best.holds").alias("holds"))
+
+
 def select_diverse(scored: DataFrame, chunks: DataFrame, limit: int = 8, per_document: int = PER_DOCUMENT, per_page: int | None = PER_PAGE, same: float = SAME) -> DataFrame:
     """Walk each query's chunks by score: at most so many per document and page, no near copy of a chosen chunk of the document.
 
@@ -207,6 +268,15 @@ def merge_pools(local: DataFrame, remote: DataFrame, k: int = 8) -> DataFrame:
     return top_k(both.withColumn("copy", F.row_number().over(order)).filter("copy = 1").drop("copy", "merge_key"), "score", k)
 
 
+def fetch_pages(asked: DataFrame, local: DataFrame, remote: DataFrame, eligible: DataFrame) -> DataFrame:
+    """``document_id, page_number, raw_text`` of the asked pages of eligible documents: from the local pool, else from the other."""
+    key = ["document_id", "page_number"]
+    wanted = asked.select(*key).distinct().join(eligible.select("document_id").distinct(), "document_id", "left_semi")
+    here, there = local.select(*key, F.col("raw_text").alias("here")), remote.select(*key, F.col("raw_text").alias("there"))
+    found = wanted.join(here, key, "left").join(there, key, "left")
+    return found.select(*key, F.coalesce("here", "there").alias("raw_text")).filter("raw_text IS NOT NULL")
+
+
 def exact_quotes(pages: DataFrame, quotes: DataFrame) -> DataFrame:
     """``query_id, document_id, page_number``: the first page, in order of document and page, that holds the quote."""
     keyed = pages.select(F.struct("document_id", "page_number").alias("chunk_id"), F.col("raw_text").alias("text"))
@@ -214,23 +284,30 @@ def exact_quotes(pages: DataFrame, quotes: DataFrame) -> DataFrame:
     return found.select("query_id", "at.document_id", "at.page_number")
 
 
-def span_distance(query: list[str], page: list[str]) -> tuple[int, int, int]:
-    """Fewest token edits that turn the query into a span of the page, with the span's ends; the first best end wins."""
-    cost, begin = [0] * (len(page) + 1), list(range(len(page) + 1))
+def span_distance(query: np.ndarray, page: np.ndarray) -> tuple[int, int, int]:
+    """Fewest token edits that turn the query into a span of the page, with the span's ends; the first best end wins.
+
+    Tokens are numbers. A row of the table is three array operations; steps along a row are a running minimum. Of spans
+    with one end and as few edits, one that begins by a replacement is taken first, then one that skips a word of the page.
+    """
+    n = len(page)
+    places = np.arange(n + 1)
+    cost, begin = np.zeros(n + 1, np.int64), places.copy()
     for row, word in enumerate(query, 1):
-        new_cost, new_begin = [row], [0]
-        for j, other in enumerate(page, 1):
-            options = (
-                (cost[j - 1] + (word != other), begin[j - 1]),
-                (new_cost[j - 1] + 1, new_begin[j - 1]),
-                (cost[j] + 1, begin[j]),
-            )
-            least = min(o[0] for o in options)
-            new_cost.append(least)
-            new_begin.append(next(b for c, b in options if c == least))
-        cost, begin = new_cost, new_begin
-    end = min(range(1, len(page) + 1), key=lambda j: cost[j])
-    return cost[end], begin[end], end
+        swap = np.r_[n + row + 1, cost[:-1] + (page != word)]
+        drop = cost + 1
+        least = np.minimum(swap, drop)
+        least[0] = row
+        along = np.minimum.accumulate(least - places) + places
+        # a value that comes along the row began where the last one that doesn't did
+        by_swap = swap == along
+        from_left = ~by_swap & (along == np.r_[n + row + 1, along[:-1] + 1])
+        start = np.where(by_swap, np.r_[0, begin[:-1]], begin)
+        start[0] = 0
+        source = np.maximum.accumulate(np.where(from_left, 0, places))
+        begin, cost = start[source], along
+    end = 1 + int(np.argmin(cost[1:]))
+    return int(cost[end]), int(begin[end]), end
 
 
 def fuzzy_quotes(pages: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -252,7 +329,8 @@ def fuzzy_quotes(pages: DataFrame, quotes: DataFrame) -> DataFrame:
     def score(query: pd.Series, page: pd.Series) -> pd.Series:
         out = []
         for q, p in zip(query, page):
-            edits, start, end = span_distance(list(q), list(p))
+            numbers = np.unique(np.concatenate([q, p]), return_inverse=True)[1]
+            edits, start, end = span_distance(numbers[: len(q)], numbers[len(q) :])
             out.append(1 - edits / max(len(q), end - start) if start < end else 0.0)
         return pd.Series(out, dtype="float64")
 

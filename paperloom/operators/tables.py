@@ -175,6 +175,15 @@ def overwrite(df: DataFrame, path: str) -> None:
     fs.delete(as_path(old), True)
 
 
+def call_audit(calls: DataFrame, run: str, signature: list[str], order: list[str], limit: int) -> DataFrame:
+    """``calls`` (with ``known``: the tool exists) with ``status`` in call order: unknown, duplicate of a signature of the same run, over the run's limit, executed."""
+    copy = F.row_number().over(Window.partitionBy(run, *signature).orderBy(*order))
+    nth = F.row_number().over(Window.partitionBy(run).orderBy(*order))
+    counted = calls.withColumn("copy", copy).withColumn("nth", nth)
+    status = F.when(~F.col("known"), "unknown").when(F.col("copy") > 1, "duplicate").when(F.col("nth") > limit, "limit").otherwise("executed")
+    return counted.withColumn("status", status).drop("copy", "nth")
+
+
 def work_queue(items: DataFrame, tie: str = "source") -> DataFrame:
     """Rows ``is_new, pending, indexed, eligible`` in the order in which they are worked on."""
     place = (

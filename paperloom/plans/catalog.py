@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans import flow_queries, more_queries, question_queries, retrieval_queries, table_queries, text_queries  # noqa: F401  they register themselves
+from paperloom.plans import flow_queries, more_queries, question_queries, retrieval_queries, table_queries, text_queries, workspace_queries  # noqa: F401  they register themselves
 from paperloom.plans.registry import QUERIES, SQL
 
 

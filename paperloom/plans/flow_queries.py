@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import vectors as V
-from paperloom.operators import answers, embedding, ingest
+from paperloom.operators import answers, embedding, ingest, retrieval
 from paperloom.plans.registry import query, read
 from paperloom.plans.retrieval_queries import benchmark_queries
 from paperloom.plans.table_queries import _sharded
@@ -48,13 +48,19 @@ def x01_embed(spark, sf):
     return made.select("doc_id", F.round(F.sqrt(V.dot(F.col("vector"), F.col("vector"))), 3).alias("norm"))
 
 
-@query("""
-SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'leak' WHEN 1 THEN 'missing_citation' WHEN 2 THEN 'unknown_citation' WHEN 3 THEN 'missing_exact_fact' WHEN 4 THEN 'invalid_count_fact' ELSE 'valid' END AS reason
-FROM conversations
+@query(r"""
+WITH s AS (SELECT conv_id, turn, coalesce(text, '') || ' ' || CASE turn % 6 WHEN 0 THEN 'As the hidden policy says [S1]' WHEN 1 THEN 'report, 2 files' WHEN 2 THEN 'report, 2 files [S7]' WHEN 3 THEN '2 files [S1]'
+                 WHEN 4 THEN 'the report has five files [S2]' ELSE 'The REPORT has two files [S1]' END AS said FROM conversations),
+c AS (SELECT *, regexp_extract_all(said, '\[S(\d+)\]', 1) AS cited FROM s)
+SELECT conv_id, turn, CASE WHEN contains(lower(said), 'hidden policy') THEN 'leak' WHEN len(cited) = 0 THEN 'missing_citation' WHEN len(list_filter(cited, lambda x: x NOT IN ('1', '2'))) > 0 THEN 'unknown_citation'
+  WHEN NOT contains(lower(said), 'report') THEN 'missing_exact_fact' WHEN regexp_matches(lower(said), '(^|[^a-z0-9.,])(five|[013-9]|[0-9]{2,})\s+files?([^a-z0-9]|$)') THEN 'invalid_count_fact' ELSE 'valid' END AS reason
+FROM c
 """)
 def g03_answer_contract(spark, sf):
+    """Answers that hold a turn's whole text and one of six statements."""
     k = F.col("turn") % 6
-    said = F.when(k == 0, "As the hidden policy says [S1]").when(k == 1, "report, 2 files").when(k == 2, "report, 2 files [S7]").when(k == 3, "2 files [S1]").when(k == 4, "the report has five files [S2]").otherwise("The REPORT has two files [S1]")
+    end = F.when(k == 0, "As the hidden policy says [S1]").when(k == 1, "report, 2 files").when(k == 2, "report, 2 files [S7]").when(k == 3, "2 files [S1]").when(k == 4, "the report has five files [S2]").otherwise("The REPORT has two files [S1]")
+    said = F.concat_ws(" ", F.coalesce("text", F.lit("")), end)
     verdict = answers.answer_contract(said, F.array(F.lit("S1"), F.lit("S2")), F.array(F.lit("report.pdf")), F.array(F.lit(2)).cast("array<bigint>"), ["files?"], ["hidden policy"])
     return read(spark, sf, "conversations").select("conv_id", "turn", verdict.alias("reason"))
 
@@ -63,19 +69,20 @@ def g03_answer_contract(spark, sf):
 SELECT conv_id, count(*) AS n, count(*) % 2 = 0 AS consistent FROM conversations GROUP BY conv_id
 """)
 def g07_inventory_answer(spark, sf):
-    """Answers that state the right number of turns for even conversations and one more for odd ones."""
-    counted = read(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    said = F.concat(F.lit("There are "), F.col("n") + F.col("n") % 2, F.lit(" files."))
+    """Answers that begin with a whole turn and state the right number of turns for even conversations and one more for odd ones."""
+    counted = read(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("text"))
+    said = F.concat_ws(" ", "text", F.concat(F.lit("There are "), F.col("n") + F.col("n") % 2, F.lit(" files.")))
     stated = answers.count_facts(said, ["files?"])
     return counted.select("conv_id", "n", F.forall(stated, lambda x: x == F.col("n")).alias("consistent"))
 
 
-@query("SELECT doc_id AS document_id, 1 AS page_number FROM documents WHERE text IS NOT NULL")
+@query("""
+SELECT conv_id AS document_id, turn AS page_number, md5(text || CASE WHEN conv_id % 2 = 0 THEN '' ELSE ' (copy)' END) AS text_md5 FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)
+""")
 def r07_page_fetch(spark, sf):
-    """Pages of asked documents: here from the first pool, else from the second."""
-    pages = ingest.pages(read(spark, sf, "documents"))
-    asked = pages.select("document_id", "page_number")
-    local = pages.filter("document_id % 2 = 0").select("document_id", "page_number", F.col("raw_text").alias("here"))
-    remote = pages.select("document_id", "page_number", F.col("raw_text").alias("there"))
-    joined = asked.join(local, ["document_id", "page_number"], "left").join(remote, ["document_id", "page_number"], "left")
-    return joined.filter(F.coalesce("here", "there").isNotNull()).select("document_id", "page_number")
+    """The turns of eligible conversations as pages: of even ones from the first pool, else from the second."""
+    turns = read(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_number"), F.col("text").alias("raw_text"))
+    eligible = read(spark, sf, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("document_id"))
+    remote = turns.withColumn("raw_text", F.concat("raw_text", F.lit(" (copy)")))
+    found = retrieval.fetch_pages(turns, turns.filter("document_id % 2 = 0"), remote, eligible)
+    return found.select("document_id", "page_number", F.md5("raw_text").alias("text_md5"))

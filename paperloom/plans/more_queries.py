@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import names, records
@@ -80,23 +79,13 @@ def a13_call_timing(spark, sf):
     )
 
 
-@query("SELECT count(*) AS n_calls, sum(CASE WHEN html <> '' THEN 1 + length(html) // 24000 ELSE 0 END)::BIGINT AS vector_calls FROM pages")
-def a09_call_estimate(spark, sf):
-    """Vector calls take 20 chunks of 1,200 characters each."""
-    n = F.when(F.col("html") != "", 1 + F.floor(F.length("html") / 24000)).otherwise(0)
-    return read(spark, sf, "pages").agg(F.count(F.lit(1)).alias("n_calls"), F.sum(n).alias("vector_calls"))
-
-
 @query("""
 WITH e AS (SELECT event_id, user_id, event_type, props, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts, event_id) AS copy, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events)
 SELECT event_id, CASE WHEN event_type = 'error' THEN 'unknown' WHEN copy > 1 THEN 'duplicate' WHEN nth > 40 THEN 'limit' ELSE 'executed' END AS status FROM e
 """)
 def w10_call_audit(spark, sf):
-    by_call = Window.partitionBy("user_id", "event_type", "props").orderBy("ts", "event_id")
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = read(spark, sf, "events").withColumn("copy", F.row_number().over(by_call)).withColumn("nth", F.row_number().over(by_user))
-    status = F.when(F.col("event_type") == "error", "unknown").when(F.col("copy") > 1, "duplicate").when(F.col("nth") > 40, "limit").otherwise("executed")
-    return rows.select("event_id", status.alias("status"))
+    rows = read(spark, sf, "events").withColumn("known", F.col("event_type") != "error")
+    return tables.call_audit(rows, "user_id", ["event_type", "props"], ["ts", "event_id"], 40).select("event_id", "status")
 
 
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -116,7 +105,7 @@ def m02_override_metadata(spark, sf):
     return tables.override_metadata(have, user).withColumn("aliases", F.array_join("aliases", ","))
 
 
-@query("SELECT doc_id AS document_id, source AS owner, length(text) AS n, md5(text) AS raw_md5 FROM documents WHERE length(text) <= 5000000")
+@query("SELECT doc_id AS document_id, source AS owner, length(text) AS n, md5(text) AS raw_md5 FROM documents")
 def s02_pages(spark, sf):
     return ingest.pages(read(spark, sf, "documents")).select("document_id", "owner", F.length("raw_text").alias("n"), F.md5("raw_text").alias("raw_md5"))
 
@@ -140,15 +129,19 @@ def s10_key_backfill(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", again(again(old)).alias("workspace"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Mine' WHEN doc_id % 5 = 1 THEN 'Given' WHEN doc_id % 5 = 2 THEN 'A cover line' WHEN doc_id % 5 = 3 THEN 'My file ' || doc_id ELSE NULL END AS title,
-       CASE doc_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN 0.58 WHEN 3 THEN 0.35 END::DOUBLE AS confidence FROM documents
+@query(r"""
+WITH l AS (SELECT doc_id, source, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n|\s{2,}'), lambda x: trim(x, ' ')),
+             lambda x: length(x) BETWEEN 5 AND 80 AND NOT regexp_matches(lower(x), 'https?|nhà xuất bản') AND regexp_matches(x, '\S\s+\S') AND regexp_matches(x, '\p{L}'))[1] AS line FROM documents),
+c AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 1 THEN line END AS line FROM l)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || ' ' || doc_id WHEN line IS NOT NULL THEN upper(lower(line)[1]) || lower(line)[2:] ELSE upper(source[1]) || source[2:] || ' file ' || doc_id END AS title,
+       CASE WHEN doc_id % 3 = 0 THEN 0.95 WHEN line IS NOT NULL THEN 0.58 ELSE 0.35 END::DOUBLE AS confidence
+FROM c
 """)
 def p06_infer_title(spark, sf):
-    k = F.col("doc_id") % 5
-    cover = F.when(k == 2, F.lit("abc\nhttps://x.y/z here\na COVER line  more"))
-    name = F.when(k == 3, F.concat(F.lit("dir/My_FILE-"), "doc_id", F.lit(".pdf"))).otherwise("x/book.pdf")
-    title = names.infer_title(F.when(k == 0, "Mine"), F.when(k == 1, " Given "), cover, name)
+    """Titles given for some documents, the first fit line of the whole text for others, else from file names."""
+    k = F.col("doc_id") % 3
+    name = F.concat(F.lit("dir/"), "source", F.lit("_file-"), "doc_id", F.lit(".pdf"))
+    title = names.infer_title(F.lit(None).cast("string"), F.when(k == 0, F.concat_ws(" ", "source", "doc_id")), F.when(k == 1, F.col("text")), name)
     return read(spark, sf, "documents").select("doc_id", title.alias("t")).select("doc_id", F.col("t.value").alias("title"), F.col("t.confidence").alias("confidence"))
 
 
@@ -158,19 +151,27 @@ def p17_blob_url(spark, sf):
     return rows.select("p_partkey", names.blob_url(F.lit("https://h/v1/blobs"), F.col("owner"), F.col("name")).alias("url"))
 
 
-@query("""
-SELECT event_id, CASE user_id % 6 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'invalid_key' WHEN 2 THEN 'timeout' WHEN 3 THEN 'network' WHEN 4 THEN 'rate_limit' ELSE 'other' END AS kind FROM events
+@query(r"""
+WITH e AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 403 ELSE 200 END AS status, text || CASE conv_id % 4 WHEN 0 THEN ' Request timed out' WHEN 1 THEN ' fetch failed' WHEN 2 THEN ' Quota exceeded' ELSE '' END AS message FROM conversations)
+SELECT conv_id, turn, CASE
+  WHEN status = 429 OR regexp_matches(coalesce(message, ''), '(?i)(rate.?limit|quota|resource.?exhausted|too many requests)') THEN 'rate_limit'
+  WHEN status IN (401, 403) OR regexp_matches(coalesce(message, ''), '(?i)(api.?key|unauthori[sz]ed|permission)') THEN 'invalid_key'
+  WHEN regexp_matches(coalesce(message, ''), '(?i)(timeout|timed out|deadline)') THEN 'timeout'
+  WHEN regexp_matches(coalesce(message, ''), '(?i)(network|fetch failed|connection|offline)') THEN 'network' ELSE 'other' END AS kind FROM e
 """)
 def p32_classify_error(spark, sf):
-    k = F.col("user_id") % 6
-    status = F.when(k == 0, 429).when(k == 1, 403).otherwise(500)
-    message = F.when(k == 2, "Request timed out").when(k == 3, "fetch failed").when(k == 4, "Quota exceeded")
-    return read(spark, sf, "events").select("event_id", names.classify_error(status, message).alias("kind"))
+    """Every turn's text as a message, with a status and for most a phrase of an error."""
+    said, status = F.col("conv_id") % 4, F.col("turn") % 4
+    message = F.concat("text", F.when(said == 0, " Request timed out").when(said == 1, " fetch failed").when(said == 2, " Quota exceeded").otherwise(""))
+    code = F.when(status == 0, 429).when(status == 1, 500).when(status == 2, 403).otherwise(200)
+    return read(spark, sf, "conversations").select("conv_id", "turn", names.classify_error(code, message).alias("kind"))
 
 
 @query("""
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Source map: m.js' || chr(10) || chr(10) || 'Source files (2):' || chr(10) || 'a.ts' || chr(10) || 'b.ts' || chr(10) || chr(10) || '--- Source: a.ts ---' || chr(10) || 'x' || doc_id ELSE 'not json ' || doc_id END AS text FROM documents
+SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN 'Source map: m.js' || chr(10) || chr(10) || 'Source files (2):' || chr(10) || 'a.ts' || chr(10) || 'b.ts' || CASE WHEN trim(text, ' ') <> '' THEN chr(10) || chr(10) || '--- Source: a.ts ---' || chr(10) || trim(text, ' ') ELSE '' END ELSE text END) AS text_md5 FROM documents
 """)
 def s03_source_map(spark, sf):
-    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"version":3,"file":"m.js","sources":["a.ts","b.ts"],"sourcesContent":[" x'), "doc_id", F.lit('",""],"mappings":"AAA"}'))).otherwise(F.concat(F.lit("not json "), "doc_id"))
-    return read(spark, sf, "documents").select("doc_id", names.source_map_text(raw, F.lit("m.js.map")).alias("text"))
+    """Whole texts as the content of a source map, and as they are."""
+    made = F.to_json(F.struct(F.lit(3).alias("version"), F.lit("m.js").alias("file"), F.array(F.lit("a.ts"), F.lit("b.ts")).alias("sources"), F.array(F.col("text"), F.lit("")).alias("sourcesContent"), F.lit("AAA").alias("mappings")))
+    raw = F.when(F.col("doc_id") % 2 == 0, made).otherwise(F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", F.md5(names.source_map_text(raw, F.lit("m.js.map"))).alias("text_md5"))

@@ -41,6 +41,17 @@ def r01_lexical_search(spark, sf):
     return retrieval.cite(retrieval.top_k(scored, "lexical", 5)).withColumn("lexical", F.round("lexical", 4))
 
 
+@query(f"""
+WITH {BM25_SQL.replace("lex AS (", "v AS (SELECT DISTINCT token FROM p), qt AS (SELECT DISTINCT query_id, v.token FROM q JOIN v ON v.token = q.token OR (NOT regexp_full_match(q.token, '[0-9]{1,4}') AND abs(length(v.token) - length(q.token)) <= 1 AND levenshtein(translate(v.token, 'ßæœøđłþðı', 'ABCDEFGHI'), translate(q.token, 'ßæœøđłþðı', 'ABCDEFGHI')) <= 1)), lex AS (").replace("FROM q JOIN p USING (token) JOIN df", "FROM qt JOIN p USING (token) JOIN df")}
+SELECT query_id, chunk_id, round(lexical, 4) AS lexical, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, chunk_id) AS rank FROM lex) WHERE rank <= 16
+""")
+def r01_tolerant_search(spark, sf):
+    """As r01, with words within one edit; numbers stay exact. DuckDB counts edits of bytes, so the SQL gives letters beyond ASCII one byte each."""
+    scored = retrieval.lexical_scores(doc_chunks(spark, sf), benchmark_queries(spark, sf), tolerance=1)
+    return retrieval.top_k(scored, "lexical", 16).withColumn("lexical", F.round("lexical", 4))
+
+
 _CONTAINS_SQL = f"""
 SELECT item_id AS query_id, doc_id AS chunk_id
 FROM (SELECT item_id, {Q.norm('text')} AS needle FROM benchmark) JOIN (SELECT doc_id, {Q.norm('text')} AS body FROM documents WHERE text <> '')
@@ -88,8 +99,10 @@ qn AS (SELECT query_id, token, count(*) AS n FROM (SELECT item_id AS query_id, u
 cov AS (SELECT query_id, chunk_id, 0.2 * sum(n) / any_value(total) AS part, 0 AS l, 0 AS s
         FROM qn JOIN p USING (token) JOIN (SELECT query_id, sum(n) AS total FROM qn GROUP BY query_id) USING (query_id) GROUP BY query_id, chunk_id),
 ex AS (SELECT query_id, chunk_id, 0.85 AS part, 0 AS l, 0 AS s FROM ({_CONTAINS_SQL})),
+names AS (SELECT doc_id AS chunk_id, {Q.norm("array_to_string(list_slice(string_split(text, ' '), 2, 5), ' ')")} AS title FROM documents WHERE text <> '' UNION SELECT doc_id, {Q.norm('source')} FROM documents WHERE text <> ''),
+named AS (SELECT DISTINCT item_id AS query_id, chunk_id, 0.22 AS part, 0 AS l, 0 AS s FROM names JOIN (SELECT item_id, {Q.norm('text')} AS q FROM benchmark) ON title <> '' AND contains(q, title)),
 scored AS (SELECT query_id, chunk_id, sum(part) AS score, CASE WHEN max(l) = 1 AND max(s) = 1 THEN 'hybrid' WHEN max(s) = 1 THEN 'semantic' ELSE 'lexical' END AS method
-           FROM (SELECT * FROM top UNION ALL SELECT * FROM cos UNION ALL SELECT * FROM cov UNION ALL SELECT * FROM ex) GROUP BY query_id, chunk_id HAVING sum(part) > 0.03)
+           FROM (SELECT * FROM top UNION ALL SELECT * FROM cos UNION ALL SELECT * FROM cov UNION ALL SELECT * FROM ex UNION ALL SELECT * FROM named) GROUP BY query_id, chunk_id HAVING sum(part) > 0.03)
 """
 
 
@@ -98,7 +111,10 @@ def _hybrid(spark, sf):
     chunks, asked = doc_chunks(spark, sf), benchmark_queries(spark, sf)
     vectors = e.join(chunks.select("chunk_id"), F.col("vec_id") == F.col("chunk_id")).select("chunk_id", F.col("embedding").alias("vector"), F.col("label").alias("provider"))
     query_vectors = e.join(asked.select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query_vector"), F.col("label").alias("provider"))
-    return retrieval.hybrid_scores(chunks, asked, retrieval.semantic_scores(vectors, query_vectors)), chunks
+    docs = read(spark, sf, "documents").filter("text <> ''")
+    line = F.array_join(F.slice(F.split("text", " "), 2, 4), " ")  # four words of the text as a title, the source's name as an alias
+    titles = docs.select(F.col("doc_id").alias("document_id"), line.alias("title")).union(docs.select("doc_id", "source"))
+    return retrieval.hybrid_scores(chunks, asked, retrieval.semantic_scores(vectors, query_vectors), titles), chunks
 
 
 @query(f"""
@@ -121,7 +137,8 @@ def w01_diverse_selection(spark, sf):
 @query(f"""
 WITH {BM25_SQL},
 h AS (SELECT doc_id AS chunk_id, '0x' || sha256(text) AS content_hash FROM documents),
-pool AS (SELECT query_id, chunk_id, lexical AS score FROM lex UNION ALL SELECT query_id, chunk_id, lexical * 0.9 FROM lex),
+r AS (SELECT query_id, chunk_id, CASE WHEN chunk_id % 2 = 0 THEN lexical ELSE round(lexical * 0.9, 9) END AS score FROM lex),
+pool AS (SELECT query_id, chunk_id, score FROM r QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id % 2 ORDER BY score DESC, chunk_id) <= 16),
 best AS (SELECT query_id, chunk_id, content_hash, score FROM pool JOIN h USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id, content_hash ORDER BY round(score, 9) DESC, chunk_id) = 1)
 SELECT query_id, chunk_id, round(round(score, 9), 4) AS score, rank::INTEGER AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM best) WHERE rank <= 8
@@ -130,8 +147,10 @@ def u01_r05_merged_search(spark, sf):
     chunks = doc_chunks(spark, sf)
     scored = retrieval.lexical_scores(chunks, benchmark_queries(spark, sf))
     told = scored.join(chunks.withColumn("content_hash", T.content_hash(F.col("text"))), "chunk_id").withColumn("score", F.round("lexical", 9))
-    pool = told.select("query_id", "chunk_id", "document_id", "page_number", "content_hash", "text", "score")
-    merged = retrieval.merge_pools(pool, pool.withColumn("score", F.round(F.col("score") * 0.9, 9)))
+    rows = told.select("query_id", "chunk_id", "document_id", "page_number", "content_hash", "text", "score")
+    local = retrieval.top_k(rows.filter("chunk_id % 2 = 0"), "score", 16).drop("rank")
+    other = retrieval.top_k(rows.filter("chunk_id % 2 <> 0").withColumn("score", F.round(F.col("score") * 0.9, 9)), "score", 16).drop("rank")
+    merged = retrieval.merge_pools(local, other)
     return merged.select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 

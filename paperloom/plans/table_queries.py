@@ -416,10 +416,3 @@ SELECT conv_id AS document_id, count(*) AS page_count, avg(CASE WHEN length(trim
 def a03_multi_page_stats(spark, sf):
     rows = read(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).alias("page_number"), F.col("text").alias("raw_text"))
     return ingest.manifest_stats(rows, rows).select("document_id", "page_count", "text_coverage")
-
-
-@query(f"SELECT doc_id, instr(text, trim(substr(text, 30, 40))) AS at, length(trim(substr(text, 30, 40))) AS n FROM documents WHERE length({Q.collapse('text')}) > 100 AND trim(substr(text, 30, 40)) <> ''")
-def p29_highlight(spark, sf):
-    needle = F.trim(F.substring("text", 30, 40))
-    docs = read(spark, sf, "documents").filter((F.length(T.collapse(F.col("text"))) > 100) & (needle != ""))
-    return docs.select("doc_id", F.instr("text", needle).alias("at"), F.length(needle).alias("n"))

@@ -37,8 +37,8 @@ SELECT doc_id, round(q, 6) AS quality, n_words >= 5 AND q >= 0.68 AS useful
 FROM (SELECT doc_id, {Q.quality('text')} AS q, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]{{2,}}')) AS n_words FROM documents)
 """)
 def p04_text_quality(spark, sf):
-    q = T.text_quality(F.col("text"))
-    return read(spark, sf, "documents").select("doc_id", F.round(q, 6).alias("quality"), T.is_useful(F.col("text")).alias("useful"))
+    rows = read(spark, sf, "documents").select("doc_id", "text", T.text_quality(F.col("text")).alias("q"))
+    return rows.select("doc_id", F.round("q", 6).alias("quality"), T.is_useful(F.col("text"), F.col("q")).alias("useful"))
 
 
 @query()

@@ -1,50 +1,103 @@
 """Snapshots: chunks in shards of whole pages, with a manifest row per shard that says which to read.
 
 A workspace's pages are walked in order and a new shard begins where the next page would pass the target. That
-is a fold, so pages stream through sorted, as ids and sizes alone. A query ranks the manifest and reads only the
-chosen partitions.
+is a fold, so it is done in three steps that no workspace, however large, puts into one task: ranges of pages are
+folded from every place where a shard may begin in them, the ranges are chained by these results alone, and each
+range is numbered from where it truly begins. A query ranks the manifest and reads only the chosen shards.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.functions import vectors as V
 from paperloom.functions.text import SHARD_STOP_WORDS
 from paperloom.session import kept
 
 # Fixed values.
 TARGET_BYTES, LEAST_BYTES, KEYWORDS = 384 * 1024, 64 * 1024, 96
 FIRST_READS, MORE_READS, MOST_READS, WEAK = 3, 2, 9, 0.34
+SHARD_COVERAGE, SHARD_COSINE = 0.72, 0.28
+CHUNK_COVERAGE, CHUNK_EXACT, CHUNK_COSINE = 0.42, 0.85, 0.5
 # End of fixed values.
 
+#: Folders of a snapshot's chunks; a shard lies in one, sorted by its name.
+BUCKETS = 256
+
+
+def _following(sizes: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of pages' bytes, and for each place the first page of the next shard if one begins there."""
+    sums = np.r_[0, np.cumsum(sizes)]
+    places = np.arange(len(sizes))
+    fits = np.searchsorted(sums, sums[:-1] + target, "right") - 1
+    return sums, np.maximum(fits, places + 1)
+
 
 def assign_shards(chunks: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     """``chunks`` (with ``owner``) with ``shard_id``: a shard per about ``target`` bytes of a workspace, no page split."""
-    target = max(LEAST_BYTES, target)
-    pages = chunks.groupBy("owner", "document_id", "page_number").agg(F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
-    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    target, spark = max(LEAST_BYTES, target), chunks.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["owner", "document_id", "page_number"]
+    pages = chunks.groupBy(*keys).agg(F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
+    pages = kept(pages.repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id()), "pages")
+    kinds = dict(pages.dtypes)
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        """For each number of pages that may still belong to the shard before: shards begun here, and bytes in the last one."""
+        sizes = part.sort_values(keys[1:])["bytes"].to_numpy()
+        sums, after = _following(sizes, target)
+        count, rest = np.zeros(len(sizes) + 1, np.int64), np.zeros(len(sizes) + 1, np.int64)
+        for i in range(len(sizes) - 1, -1, -1):
+            j = after[i]
+            count[i] = 1 + count[j]
+            rest[i] = rest[j] if j < len(sizes) else sums[-1] - sums[i]
+        lead = np.arange(min(len(sizes), int(np.searchsorted(sums, target, "right"))) + 1)
+        return pd.DataFrame({"owner": part.owner.iloc[0], "part": part.part.iloc[0], "lead": lead, "lead_bytes": sums[lead], "begun": count[lead], "rest": rest[lead], "pages": len(sizes), "bytes": sums[-1]})
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, held, shard = object(), 0, 0
+    folded = pages.groupBy("owner", "part").applyInPandas(fold, f"owner {kinds['owner']}, part int, lead bigint, lead_bytes bigint, begun bigint, rest bigint, pages bigint, bytes bigint")
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Where each range begins: the bytes of the shard that is open there, and its number."""
+        owner, part, held, shard, ahead = object(), None, 0, -1, None
         for b in batches:
             out = []
-            for o, size in zip(b.owner, b.bytes):
+            for o, p, lead, lead_bytes, begun, rest, pages, size in b.itertuples(index=False):
                 if o != owner:
-                    owner, held, shard = o, 0, 0
-                if held and held + size > target:
-                    held, shard = 0, shard + 1
-                held += size
-                out.append(f"{o}:{shard:08d}")
-            yield pd.DataFrame({"document_id": b.document_id, "page_number": b.page_number, "shard_id": out})
-
-    ordered = pages.repartition(n, "owner").sortWithinPartitions("owner", "document_id", "page_number")
-    kinds = dict(pages.dtypes)
-    shards = ordered.mapInPandas(walk, f"document_id {kinds['document_id']}, page_number {kinds['page_number']}, shard_id string")
+                    owner, part, held, shard, ahead = o, None, 0, -1, None
+                if p != part:
+                    if ahead:
+                        held, shard = ahead[1], ahead[2]
+                    part, ahead = p, None
+                    out.append((o, p, held, shard))
+                # the longest lead that still fits is where the range's own shards begin
+                if (lead == 0 or held) and (lead == 0 or held + lead_bytes <= target):
+                    ahead = (lead, held + lead_bytes if lead == pages else rest, shard + begun)
+            yield pd.DataFrame(out, columns=["owner", "part", "held", "shard"])
+
+    linked = folded.repartition(n, "owner").sortWithinPartitions("owner", "part", "lead")
+    begun = kept(linked.mapInPandas(link, f"owner {kinds['owner']}, part int, held bigint, shard bigint"), "begun")
+
+    def number(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(keys[1:])
+        held, shard = int(part.held.iloc[0]), int(part.shard.iloc[0])
+        sums, after = _following(part["bytes"].to_numpy(), target)
+        numbers = np.full(len(part), shard)
+        at = max(0, int(np.searchsorted(sums, target - held, "right")) - 1) if held else 0
+        while at < len(part):
+            shard += 1
+            numbers[at : after[at]] = shard
+            at = after[at]
+        return pd.DataFrame({"document_id": part.document_id, "page_number": part.page_number, "shard_id": [f"{o}:{k:08d}" for o, k in zip(part.owner, numbers)]})
+
+    told = pages.join(begun, ["owner", "part"])
+    shards = told.groupBy("owner", "part").applyInPandas(number, f"document_id {kinds['document_id']}, page_number {kinds['page_number']}, shard_id string")
     return chunks.join(shards, ["document_id", "page_number"])
 
 
@@ -79,46 +132,120 @@ def layout_faults(shards: DataFrame) -> DataFrame:
     return told.filter((F.col("expected") != F.col("byte_offset")) | (F.col("number") != number))
 
 
-def write(sharded: DataFrame, path: str) -> None:
-    sharded.repartition("shard_id").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/chunks")
-    manifest(sharded).write.mode("overwrite").parquet(f"{path}/manifest")
+def totals(sharded: DataFrame) -> DataFrame:
+    """One row: documents, pages, chunks and bytes of a snapshot."""
+    pages = sharded.groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("text")).alias("b"))
+    return pages.agg(
+        F.count_distinct("document_id").alias("documents"), F.count(F.lit(1)).alias("pages"),
+        F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("chunks"), F.coalesce(F.sum("b"), F.lit(0)).cast("bigint").alias("bytes"),
+    )
+
+
+def centroids(vectors: DataFrame) -> DataFrame:
+    """``shard_id, provider, dimensions, scale, codes``: the quantised unit mean of each shard's largest group of vectors.
+
+    Groups are those of one provider and length (``shard_id, provider, vector``); of equal ones the first by name. Sums are by
+    dimension and taken map-side; they are rounded to nine places, so that their order doesn't matter.
+    """
+    rows = vectors.withColumn("dimensions", F.size("vector")).filter("dimensions > 0")
+    groups = rows.groupBy("shard_id", "provider", "dimensions").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("shard_id").orderBy(F.col("n").desc(), "provider", "dimensions")
+    largest = groups.withColumn("r", F.row_number().over(first)).filter("r = 1").select("shard_id", "provider", "dimensions")
+    cells = rows.join(largest, ["shard_id", "provider", "dimensions"]).select("shard_id", "provider", "dimensions", F.posexplode("vector").alias("at", "x"))
+    means = cells.groupBy("shard_id", "provider", "dimensions", "at").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("x"))
+    whole = means.groupBy("shard_id", "provider", "dimensions").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("mean"))
+    return whole.select("shard_id", "provider", "dimensions", V.quantize(F.col("mean")).alias("q")).select("shard_id", "provider", "dimensions", "q.scale", "q.codes")
+
+
+def write(sharded: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Chunks in ``buckets`` folders, each sorted by shard, documents and the manifest."""
+    bucket = F.pmod(F.xxhash64("shard_id"), F.lit(buckets)).cast("int")
+    placed = sharded.withColumn("bucket", bucket)
+    placed.repartition("bucket").sortWithinPartitions("bucket", "shard_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/chunks")
+    written = sharded.sparkSession.read.parquet(f"{path}/chunks")
+    manifest(written).write.mode("overwrite").parquet(f"{path}/manifest")
+    catalog = written.groupBy("document_id", "owner").agg(F.count_distinct("page_number").alias("pages"), F.count(F.lit(1)).alias("chunks"))
+    catalog.write.mode("overwrite").parquet(f"{path}/documents")
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """``document_id, owner, pages, chunks`` of a snapshot, without reading its chunks."""
+    return spark.read.parquet(f"{path}/documents")
 
 
-def rank_shards(shards: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, shard_id, score, rank``: share of the query's tokens among the shard's keywords; ties by number."""
+def load_shards(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """The chunks of the wanted shards (``shard_id``), or of all; folders without any are skipped at run time."""
+    chunks = spark.read.parquet(f"{path}/chunks")
+    if wanted is None:
+        return chunks.drop("bucket")
+    return chunks.join(wanted.select("shard_id", "bucket").distinct(), ["bucket", "shard_id"], "left_semi").drop("bucket")
+
+
+def shard_faults(spark: SparkSession, path: str) -> DataFrame:
+    """``shard_id, fault`` of shards whose bytes, chunks or content aren't those of the manifest, or that are missing."""
+    now = load_shards(spark, path).groupBy("shard_id").agg(
+        F.sum(F.octet_length("text")).cast("bigint").alias("now_bytes"), F.count(F.lit(1)).alias("now_chunks"),
+        F.bit_xor(F.xxhash64("document_id", "page_number", "text")).alias("now_hash"),
+    )
+    met = spark.read.parquet(f"{path}/manifest").join(now, "shard_id", "left")
+    fault = (
+        F.when(F.col("now_chunks").isNull(), "missing")
+        .when(F.col("now_chunks") != F.col("chunk_count"), "chunk_count")
+        .when(F.col("now_bytes") != F.col("byte_length"), "byte_length")
+        .when(F.col("now_hash") != F.col("content_hash"), "content_hash")
+    )
+    return met.select("shard_id", fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def rank_shards(shards: DataFrame, queries: DataFrame, means: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+    """``query_id, shard_id, score, rank``: 0.72 x the share of the query's tokens among the shard's keywords, 0.28 x the cosine
+    of its centroid (:func:`centroids`) and the query's vector of that provider (``query_id, provider, query_vector``); ties by number."""
+    from paperloom.operators import retrieval
+
     tokens = T.search_tokens(F.col("query"), SHARD_STOP_WORDS)
     asked = queries.select("query_id", F.size(tokens).alias("total"), F.explode(tokens).alias("token"))
     held = shards.select("shard_id", F.explode("keywords").alias("token"))
-    hits = held.join(asked, "token").groupBy("query_id", "shard_id").agg((F.count(F.lit(1)) / F.first("total")).alias("score"))
+    parts = held.join(retrieval.small(asked), "token").groupBy("query_id", "shard_id").agg((SHARD_COVERAGE * F.count(F.lit(1)) / F.first("total")).alias("score"))
+    if means is not None and query_vectors is not None:
+        told = means.select("shard_id", "provider", V.dequantize(F.struct("scale", "codes")).alias("mean")).join(retrieval.small(query_vectors), "provider")
+        near = told.select("query_id", "shard_id", (SHARD_COSINE * F.greatest(F.lit(0.0), V.cosine(F.col("mean"), F.col("query_vector")))).alias("score"))
+        parts = parts.unionByName(near.filter("score > 0")).groupBy("query_id", "shard_id").agg(F.sum("score").alias("score"))
+    parts = parts.withColumn("score", F.round("score", 9))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "shard_id")
-    return hits.withColumn("rank", F.row_number().over(order))
+    return parts.withColumn("rank", F.row_number().over(order))
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 8, least: float = 0.12, per_document: int = 4) -> DataFrame:
-    """Top chunks of each query from its best shards alone: three at first, two more while its best score is weak, nine at most.
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 8, least: float = 0.12, per_document: int = 4, vectors: DataFrame | None = None, means: DataFrame | None = None, query_vectors: DataFrame | None = None, exhaustive: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """Top chunks of each query from its best shards alone: three at first, two more while its best score is weak, nine at most (all if ``exhaustive``).
 
-    Scores: 0.42 x coverage + 0.85 if the chunk holds the query. Queries are a small table; a round is one Spark job.
+    Scores: 0.42 x coverage, 0.85 if the chunk holds the query, 0.5 x its cosine where ``vectors(chunk_id, provider, vector)`` and
+    ``query_vectors`` have one. Shards meet queries by joins; a round is one Spark job.
     """
     from paperloom.operators import retrieval
 
-    ranked = rank_shards(spark.read.parquet(f"{path}/manifest"), queries).filter(F.col("rank") <= MOST_READS)
-    ranked = kept(ranked, "ranked")
-    chunks = spark.read.parquet(f"{path}/chunks")
+    most = (1 << 31) - 1 if exhaustive else MOST_READS
+    shards = spark.read.parquet(f"{path}/manifest")
+    ranked = rank_shards(shards, queries, means, query_vectors).filter(F.col("rank") <= most)
+    ranked = kept(ranked.withColumn("bucket", F.pmod(F.xxhash64("shard_id"), F.lit(buckets)).cast("int")), "ranked")
     asked, found, depth = queries, None, 0
-    while depth < MOST_READS:
-        low, depth = depth, min(MOST_READS, depth + (MORE_READS if depth else FIRST_READS))
+    while depth < most:
+        low, depth = depth, most if exhaustive else min(most, depth + (MORE_READS if depth else FIRST_READS))
         chosen = ranked.join(asked.select("query_id"), "query_id", "left_semi").filter((F.col("rank") > low) & (F.col("rank") <= depth))
-        reads = [r[0] for r in chosen.select("shard_id").distinct().collect()]  # nine per query at most
-        if not reads:
+        chosen = kept(chosen.select("query_id", "shard_id", "bucket"), "chosen")
+        if chosen.isEmpty():
             break
-        part = chunks.filter(F.col("shard_id").isin(reads))
-        covered = retrieval.coverage_scores(part, asked).select("query_id", "chunk_id", (0.42 * F.col("coverage")).alias("score"))
-        exact = retrieval.contains_pairs(part, asked).select("query_id", "chunk_id", F.lit(0.85).alias("score"))
-        scored = covered.unionByName(exact).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
-        own = part.select("chunk_id", "document_id", "shard_id").join(F.broadcast(chosen.select(F.col("query_id").alias("q"), "shard_id")), "shard_id")
-        scored = scored.join(own, (scored.chunk_id == own.chunk_id) & (F.col("query_id") == F.col("q"))).select("query_id", scored.chunk_id, "document_id", "score").filter(F.col("score") >= least)
-        scored = kept(scored, "scored")
-        found = scored if found is None else found.unionByName(scored)
+        part = kept(load_shards(spark, path, chosen), "shards")
+        scored = [
+            retrieval.coverage_scores(part, asked).select("query_id", "chunk_id", (CHUNK_COVERAGE * F.col("coverage")).alias("score")),
+            retrieval.contains_pairs(part, asked).select("query_id", "chunk_id", F.lit(CHUNK_EXACT).alias("score")),
+        ]
+        if vectors is not None and query_vectors is not None:
+            near = retrieval.semantic_scores(vectors.join(part.select("chunk_id"), "chunk_id", "left_semi"), query_vectors.join(asked.select("query_id"), "query_id", "left_semi"))
+            scored.append(near.select("query_id", "chunk_id", (CHUNK_COSINE * F.greatest(F.lit(0.0), F.col("cosine"))).alias("score")))
+        summed = functools.reduce(DataFrame.unionByName, scored).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score")).filter(F.col("score") >= least)
+        told = summed.join(part.select("chunk_id", "document_id", "shard_id"), "chunk_id").join(chosen.select("query_id", "shard_id"), ["query_id", "shard_id"])
+        told = kept(told.select("query_id", "chunk_id", "document_id", "score"), "scored")
+        found = told if found is None else found.unionByName(told)
         good = found.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") >= WEAK)
         asked = asked.join(good.select("query_id"), "query_id", "left_anti")
         if asked.isEmpty():
@@ -130,6 +257,30 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 8, least
     return retrieval.top_k(capped, "score", k)
 
 
+class SnapshotProvider:
+    """A snapshot as a source of retrieval beside the local pool: load, search, quotes and pages, each a DataFrame."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def load(self) -> DataFrame:
+        return catalog(self.spark, self.path)
+
+    def search(self, queries: DataFrame, k: int = 8, **options) -> DataFrame:
+        return search(self.spark, self.path, queries, k, **options)
+
+    def pages(self) -> DataFrame:
+        """``document_id, page_number, raw_text``: each page's chunks in order."""
+        rows = load_shards(self.spark, self.path)
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))), lambda c: c["text"]), "\n")  # a page's chunks
+        return rows.groupBy("document_id", "page_number").agg(joined.alias("raw_text"))
+
+    def lookup_quotes(self, quotes: DataFrame) -> DataFrame:
+        from paperloom.operators import retrieval
+
+        return retrieval.exact_quotes(self.pages(), quotes)
+
+
 def read_proof(observations: DataFrame) -> DataFrame:
     """Per snapshot: accesses, distinct shards, hits, misses, bytes; network bytes are null if any miss wasn't measured."""
     miss = ~F.col("cache_hit")
