@@ -8,7 +8,7 @@ from paperloom.functions import access
 from paperloom.functions import text as T
 from paperloom.operators import answers, ingest, retrieval, workspace
 from paperloom.plans import sqltext as Q
-from paperloom.plans.registry import query, read
+from paperloom.plans.registry import SQL, query, read
 from paperloom.plans.retrieval_queries import _CONTAINS_SQL, BM25_SQL, benchmark_queries, doc_chunks
 from paperloom.plans.table_queries import _SHARD_SQL, _sharded
 from paperloom.session import scratch_path
@@ -355,10 +355,11 @@ def _drained(stream, spark, mode="append"):
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
-@query()
+@query(SQL["w09_rate_decisions"])
 def t02_rate_stream(spark, sf):
-    """The rate decisions of the whole events table as a stream; the tests hold them against w09's."""
-    return _drained(streams.rate_stream(_event_stream(spark, sf)), spark)
+    """The rate decisions of w09 over the events table as a stream."""
+    made = _drained(streams.rate_stream(_event_stream(spark, sf), limit=2, seconds=3600), spark)
+    return made.select(F.col("event_id").alias("event"), F.col("user_id").alias("key"), "allowed")
 
 
 @query("SELECT user_id AS source, event_type AS revision, 1::BIGINT AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")

@@ -7,6 +7,6 @@ from pyspark.sql import functions as F
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """``name, size, created_micros`` of all files under ``path``; Spark lists them and reads none."""
+    """``name, size, created_micros`` of all files under ``path`` but empty ones; Spark lists them and reads none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
     return files.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("created_micros"), "path")

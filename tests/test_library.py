@@ -3,17 +3,20 @@
 import glob
 import os
 import random
+import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from paperloom.functions import intents
 from paperloom.functions import records as R
 from paperloom.functions import text as T
 from paperloom.functions import vectors as V
 from paperloom.operators import answers, ingest, retrieval, tables
 from paperloom.plans import catalog
-from paperloom.sources import package, snapshot
+from paperloom.sources import inventory, package, snapshot
 from paperloom.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -115,10 +118,52 @@ def test_span_distance():
     for _ in range(60):
         page = [rng.choice("abcd") for _ in range(rng.randint(1, 14))]
         query = [rng.choice("abcd") for _ in range(rng.randint(3, 6))]
-        got = retrieval.span_distance(query, page)
+        got = retrieval.span_distance(np.array([ord(x) for x in query]), np.array([ord(x) for x in page]))
         assert got[0] == min(brute_span(query, page), len(query))
 
 
+def test_span_ends_hold_the_distance():
+    """The span that is named is as near as stated, and no other begins and ends nearer."""
+    rng = random.Random(5)
+    for _ in range(60):
+        page = [rng.choice("abc") for _ in range(rng.randint(1, 12))]
+        query = [rng.choice("abc") for _ in range(rng.randint(1, 6))]
+        edits, start, end = retrieval.span_distance(np.array([ord(x) for x in query]), np.array([ord(x) for x in page]))
+        table = np.arange(end - start + 1)
+        for i, q in enumerate(query, 1):
+            row = [i]
+            for j, x in enumerate(page[start:end], 1):
+                row.append(min(table[j - 1] + (q != x), row[-1] + 1, table[j] + 1))
+            table = np.array(row)
+        assert edits == table[-1] and 0 <= start <= end <= len(page)
+
+
+def test_tolerant_terms_are_all_within_one_edit(spark):
+    rng = random.Random(7)
+    vocabulary = sorted({"".join(rng.choice("abé") for _ in range(rng.randint(2, 5))) for _ in range(150)})
+    asked = vocabulary[::9] + ["abab", "éa"]
+    tokens = spark.createDataFrame([(0, vocabulary), (1, vocabulary[:5])], "chunk_id long, tokens array<string>")
+    terms = spark.createDataFrame(list(enumerate(asked)), "query_id long, token string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    got = {(r["query_id"], r["token"]) for r in retrieval.tolerant_terms(tokens, terms).collect()}
+    assert got == {(i, w) for i, a in enumerate(asked) for w in vocabulary if edits(a, w) <= 1}
+
+
+def test_small_checks_bytes(spark):
+    wide = spark.range(100).select("id", F.array_repeat(F.lit(1.0), 100_000).alias("vector"))
+    assert "broadcast" not in retrieval.small(wide)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in retrieval.small(wide.limit(3))._jdf.queryExecution().logical().toString().lower()
+
+
 def test_quote_lookup(spark):
     rng = random.Random(3)
     words = [f"word{i}" for i in range(300)]
@@ -141,6 +186,81 @@ def test_selection_caps(spark):
         assert len(mine) <= 4 and all(sum(r["page_number"] == p for r in mine) <= 2 for p in (0, 1))
 
 
+@pytest.mark.parametrize("partitions", [1, 5, 16])
+def test_shards_equal_a_fold(spark, partitions):
+    """Shards over many ranges of pages against a walk of all pages in order, with large and small pages."""
+    rng = random.Random(partitions)
+    rows = [(o, d, p, "x" * (rng.choice([1, 50, 900, 5000, 30000, 90000]) + rng.randrange(50))) for o, n in (("a", 120), ("b", 3), ("c", 1)) for d in range(n) for p in range(rng.randint(1, 2))]
+    docs = spark.createDataFrame([(o, hash(o) % 97 * 1000 + d, p, t) for o, d, p, t in rows], "owner string, document_id long, page_number int, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {(r["document_id"], r["page_number"]): r["shard_id"] for r in snapshot.assign_shards(docs, snapshot.LEAST_BYTES).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    owner = None
+    for r in sorted(docs.collect()):
+        if r["owner"] != owner:
+            owner, held, shard = r["owner"], 0, 0
+        if held and held + len(r["text"]) > snapshot.LEAST_BYTES:
+            held, shard = 0, shard + 1
+        held += len(r["text"])
+        assert got[r["document_id"], r["page_number"]] == f"{owner}:{shard:08d}"
+
+
+def test_snapshot_search_with_vectors(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "o", 1, i, f"words about topic{i} " + "filler " * 3000) for i in range(30)], "document_id long, owner string, page_number int, chunk_id long, text string")
+    path = f"file://{tmp_path}/snap"
+    sharded = snapshot.assign_shards(rows, snapshot.LEAST_BYTES)
+    snapshot.write(sharded, path)
+    assert snapshot.shard_faults(spark, path).isEmpty()
+    unit = lambda i: [1.0 if j == i else 0.0 for j in range(30)]
+    vectors = spark.createDataFrame([(i, "p", unit(i)) for i in range(30)], "chunk_id long, provider string, vector array<double>")
+    means = snapshot.centroids(vectors.join(sharded.select("chunk_id", "shard_id"), "chunk_id"))
+    asked = spark.createDataFrame([(1, "topic7"), (2, "nothing known")], "query_id long, query string")
+    told = spark.createDataFrame([(2, "p", unit(21))], "query_id long, provider string, query_vector array<double>")
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in snapshot.search(spark, path, asked, vectors=vectors, means=means, query_vectors=told).collect()}
+    assert got[1, 7] >= 1.27 - 1e-6 and got[2, 21] == 0.5
+    every = snapshot.search(spark, path, asked, exhaustive=True, vectors=vectors, means=means, query_vectors=told).collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in every} >= {(1, 7), (2, 21)}
+    one = snapshot.SnapshotProvider(spark, path)
+    assert one.load().count() == 30 and one.lookup_quotes(asked.filter("query_id = 1")).first()["document_id"] == 7
+    spark.read.parquet(f"{path}/manifest").withColumn("chunk_count", F.col("chunk_count") + 1).write.parquet(f"{path}/bad/manifest")
+    spark.read.parquet(f"{path}/chunks").write.partitionBy("bucket").parquet(f"{path}/bad/chunks")
+    assert {r["fault"] for r in snapshot.shard_faults(spark, f"{path}/bad").collect()} == {"chunk_count"}
+
+
+# Questions and the intents that they have.
+ROUTES = [
+    ("What is retrieval-augmented generation?", "general"), ("Blob storage là gì?", "general"), ("Explain how PDF compression works.", "general"), ("What is an image embedding?", "general"),
+    ("Summarize the causes of World War II.", "general"), ("Tell me a story about a fox.", "general"), ("Who wrote Hamlet?", "general"), ("“Knowledge is power” nghĩa là gì?", "general"),
+    ("Can you help me brainstorm?", "general"), ("What can an AI assistant do?", "general"), ("Summarize my indexed documents.", "summarize_study_guide"),
+    ("Tóm tắt tài liệu đã nạp của tôi.", "summarize_study_guide"), ("What does my PDF say about quorum?", "document_semantic"), ("Trong tài liệu của tôi, nó được mô tả thế nào?", "document_semantic"),
+    ("Find the exact quote “Every answer needs evidence” in my document.", "exact_quote"), ("Which page contains “Every answer needs evidence”?", "page_lookup"),
+    ("How many pages does my book have?", "metadata"), ("How many blobs does my wallet have?", "inventory"), ("Tell me story number 12 from my book.", "story_lookup"), ("Describe cover-art.webp.", "image"),
+    ("Describe the image I uploaded.", "image"), ("List the documents in my knowledge base.", "inventory"), ("What is my wallet address?", "wallet"), ("What is my OneUSD balance?", "wallet"),
+    ("What does it mean?", "general"), ("Nó mô tả điều gì?", "general"),
+    ("Which wallet is connected?", "wallet"), ("Kiểm tra số blob hiện tại của ví tôi", "inventory"), ("Tôi có sách Cổ học tinh hoa không?", "inventory"), ("Inspect indexed image blobs", "image"),
+    ("Which visible details support that description?", "image"), ("Open package.json and identify the main libraries used.", "document_semantic"), ("Explain what a wallet address is.", "general"),
+]
+# End of fixed values.
+
+
+def test_intents(spark):
+    rows = spark.createDataFrame(ROUTES + [(unicodedata.normalize("NFD", q), i) for q, i in ROUTES], "question string, want string")
+    got = rows.select("question", "want", intents.classify(F.col("question"), "apt|aptos|oneusd").alias("got"), intents.document_scoped(F.col("want")).alias("scoped")).collect()
+    assert [(r["question"], r["got"]) for r in got if r["got"] != r["want"]] == []
+    assert all(r["scoped"] == (r["want"] not in ("general", "wallet")) for r in got)
+    assert one(spark, intents.inventory_detail(F.lit("List all files"))) == "all" and one(spark, intents.inventory_detail(F.lit("Which files?"))) == "sample"
+
+
+def test_file_inventory(spark, tmp_path):
+    for name, n in (("a.txt", 5), ("b.bin", 3), ("empty", 0)):
+        (tmp_path / name).write_bytes(b"x" * n)
+    got = {r["name"]: r["size"] for r in inventory.file_inventory(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a.txt": 5, "b.bin": 3}
+
+
 def test_snapshot_round_trip_and_pruned_search(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text <> ''")
     rows = docs.select(F.lit("all").alias("owner"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.lit(1).alias("page_number"), "text")
