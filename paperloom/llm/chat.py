@@ -12,8 +12,9 @@ are dealt out and sorted by conversation and turn and stream through.
 
 Defined results: null text or role counts as empty; turns with one number are
 ordered by role, then text, nulls first, and repeated rows are turns of their
-own; null conversation ids are one conversation; an empty table gives an empty
-result; other columns are ignored whatever their names.
+own; null conversation ids are one conversation; a turn is held whole, however
+long, a conversation never; an empty table gives an empty result; other columns
+are ignored whatever their names.
 """
 
 from __future__ import annotations

@@ -13,9 +13,11 @@ sort-merge join that Spark splits where one source is hot. Native expressions
 throughout.
 
 Defined results: null text counts as empty, null source is a source of its own,
-null ids hash as the empty string; repeated rows have one count; sources without
-characters have rate 0 unless weights are by document; an empty table gives an
-empty result; other columns are kept as they are.
+null ids hash as the empty string; repeated rows, and rows of one id, have one
+count; a number on a step of the distribution gets the higher count; long texts
+count with all their characters; sources without characters have rate 0 unless
+weights are by document; an empty table gives an empty result; other columns are
+kept as they are, whatever their names.
 """
 
 from __future__ import annotations

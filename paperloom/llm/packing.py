@@ -8,9 +8,10 @@ full ones; what remains of it, less than one window, is carried with its ids and
 merged across partitions by a prefix sum over one total per partition.
 
 Defined results: null text counts as empty (the end id alone is packed); null
-ids and repeated rows are packed like any other; an empty table gives an empty
-result; other columns are ignored whatever their names. All sequences but the
-corpus' last are full.
+ids and repeated rows are packed like any other; long texts are cut into as many
+windows as they fill; of windows with equal room the oldest is taken; an empty
+table gives an empty result; other columns are ignored whatever their names. All
+sequences but the corpus' last are full.
 """
 
 from __future__ import annotations

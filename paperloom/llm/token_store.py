@@ -9,8 +9,9 @@ whole corpus is its place in its file plus the files before: only one total per
 file is gathered for that.
 
 Defined results: null text counts as empty (the end id alone); null ids come
-first; repeated ids follow one another, ordered by text; an empty table writes
-an empty dataset; other columns are ignored whatever their names.
+first; repeated ids follow one another, ordered by text; long texts are encoded
+whole, in pieces; an empty table writes an empty dataset; other columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
