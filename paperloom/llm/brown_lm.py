@@ -146,16 +146,22 @@ def count_pairs(docs: DataFrame, frequent: Broadcast, size: int, text: str = "te
     return raw.groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a small table of numbers, which come as Arrow batches."""
+    return [c.to_numpy() for c in df.toArrow().columns]
+
+
 def neighbours(pairs: DataFrame, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
     """For each symbol, how many of its right and of its left neighbours are of each class (symbols x classes, bounded)."""
     spark = pairs.sparkSession
     table = F.broadcast(spark.createDataFrame(list(enumerate(classes.tolist())), "symbol bigint, cls int"))
     told = pairs.join(table.select(F.col("symbol").alias("b"), F.col("cls").alias("cb")), "b").join(table.select(F.col("symbol").alias("a"), F.col("cls").alias("ca")), "a")
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("s"), F.col("cb").alias("k")), F.struct(F.lit(1).alias("side"), F.col("b").alias("s"), F.col("ca").alias("k"))))
-    summed = told.select("c", sides.alias("e")).groupBy("e.side", "e.s", "e.k").agg(F.sum("c").alias("c")).toPandas()
-    out = np.zeros((2, len(classes), n_classes))
-    out[tuple(summed[x].to_numpy(np.int64) for x in ("side", "s", "k"))] = summed.c
-    return out[0], out[1]
+    right, left = F.col("a") * n_classes + F.col("cb"), (F.col("b") + len(classes)) * n_classes + F.col("ca")
+    cells = told.select("c", F.explode(F.array(right.cast("int"), left.cast("int"))).alias("cell"))
+    cell, c = _columns(cells.groupBy("cell").agg(F.sum("c").alias("c")))
+    out = np.zeros(2 * len(classes) * n_classes)
+    out[cell] = c
+    return tuple(out.reshape(2, len(classes), n_classes))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -207,8 +213,8 @@ def exchange(classes: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n
     sides = []
     for x, y in ((a, b), (b, a)):
         order = np.flatnonzero(x != y)
-        order = order[np.argsort(x[order], kind="stable")]
-        sides.append((np.searchsorted(x[order], np.arange(n + 1)), y[order], c[order].astype(float)))
+        order = order[np.argsort(x[order], kind="stable")].astype(np.int32)
+        sides.append((np.searchsorted(x[order], np.arange(n + 1)), y[order], c[order]))
     bigrams = np.zeros((n_classes, n_classes))
     np.add.at(bigrams, (classes[a], classes[b]), c)
     state = _Classes(classes, bigrams, np.bincount(a, c, n), np.bincount(b, c, n))
@@ -339,12 +345,13 @@ def train(docs: DataFrame, classes: int = 64, exchange_share: float = 2e-5, look
     n, other = len(index), classes  # the symbol of all rarer words, and a class for it alone while others are exchanged
     pairs = materialize(count_pairs(docs, spark.sparkContext.broadcast(index), n + 1, text), "pairs")
     core = min(n, CORE)
-    inner = pairs.filter((F.col("a") < core) & (F.col("b") < core)).toPandas()
+    inner = _columns(pairs.filter((F.col("a") < core) & (F.col("b") < core)).select(*[F.col(x).cast("int") for x in "ab"], "c"))  # core x core rows at most
     at = np.r_[0, 1 + np.arange(n - 1) % (classes - 1), other].astype(np.int64)
-    at[:core] = exchange(at[:core], *(inner[x].to_numpy(np.int64) for x in "abc"), classes)
+    at[:core] = exchange(at[:core], *inner, classes)
+    del inner
     own = np.zeros(n + 1)
-    same = pairs.filter("a = b").toPandas()
-    own[same.a.to_numpy(np.int64)] = same.c
+    same, c = _columns(pairs.filter("a = b").select("a", "c"))
+    own[same] = c
     at[core:n] = classes + 1  # not in any class yet
     count = lambda x: neighbours(pairs, x, classes + 2)
     if core < n:
