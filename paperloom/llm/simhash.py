@@ -19,11 +19,12 @@ Rows are first reduced to distinct fingerprints, so exact copies never meet in a
 anchor. At an anchor with n fingerprints, pairs are compared up to a few hundred;
 beyond, each probes the sorted cell with the 64-bit patterns of at most two bits, work in
 proportion to n. An anchor emits the chain that connects what it has linked, under
-n rows, never all pairs. (Wide: a tree, and of each member the pairs with its ``NEAREST``.) Chains are joined into components by minimum labels,
+n rows, never all pairs. (Wide: of each member the pairs with its ``NEAREST``, then with its nearest of other components.) Chains are joined into components by minimum labels,
 written to a scratch table in each round.
 
 Defined results: null text counts as empty, a text without words has fingerprint
-zero, which links like any other; a null id can't name a component while another
+zero, which links like any other; long texts are read whole; a bit that is set in
+just half the hashes is not set; a null id can't name a component while another
 row of the component has an id; repeated rows get one row each; an empty table
 gives an empty result; other columns are ignored whatever their names.
 """
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import keep_rows, materialize, row_id, shuffle_partitions, with_row_id
@@ -46,8 +47,10 @@ SEED = 42
 PAIRWISE = 512
 #: Shingle bits are summed in groups of this many.
 _GROUP = 4096
-#: At an anchor, a wide fingerprint is a candidate with so many of the nearest others, which are all in cells up to one more.
+#: A wide fingerprint is a candidate with so many of the nearest others that share an anchor, in either round.
 NEAREST = 8
+#: So many of them come from one anchor with over ``NEAREST`` fingerprints; two that are near share many anchors.
+CELL_NEAREST = 3
 #: The nearest are sought among so many fingerprints of a cell, in their order, at a time.
 SLICE = 4096
 
@@ -191,6 +194,24 @@ def _links(cell: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def _whole_cells(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and their rows, cut between keys only: a cell over many batches is put together once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    join = lambda parts: tuple(map(np.concatenate, zip(*parts)))
+    for k, f in batches:
+        cut = np.searchsorted(k, k[-1]) if len(k) else 0  # the last cell may go on
+        if held and len(k) and k[0] != held[-1][0][-1]:
+            yield join(held)
+            held = []
+        if cut:
+            yield join([*held, (k[:cut], f[:cut])])
+            held = []
+        if len(k):
+            held.append((k[cut:], f[cut:]))
+    if held:
+        yield join(held)
+
+
 def _compare(distance: int):
     def chains(anchor: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         """Connecting links of whole cells, sorted by anchor."""
@@ -218,18 +239,8 @@ def _compare(distance: int):
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            k = np.r_[held_k, batch.column("anchor").to_numpy()]
-            f = np.r_[held_f, batch.column("fp").to_numpy().view(np.uint64)]
-            if not len(k):
-                continue
-            cut = np.searchsorted(k, k[-1])  # the last cell may go on
-            if cut:
-                yield chains(k[:cut], f[:cut])
-            held_k, held_f = k[cut:], f[cut:]
-        if len(held_k):
-            yield chains(held_k, held_f)
+        for k, f in _whole_cells((b.column("anchor").to_numpy(), b.column("fp").to_numpy().view(np.uint64)) for b in batches):
+            yield chains(k, f)
 
     return run
 
@@ -250,42 +261,35 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def _tree(cell: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within ``distance`` that connect a cell's components. A member is compared only with those not reached yet, so a dense cell takes few passes."""
-    left, a, b = np.arange(len(cell)), [], []
-    while len(left):
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
-            at = todo.pop()
-            near = _apart(cell[left], cell[at]) <= distance
-            a.append(np.full(near.sum(), at))
-            b.append(left[near])
-            todo += left[near].tolist()
-            left = left[~near]
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _nearest(cell: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each member of a cell with its nearest ones within ``distance``."""
-    a, b = [], []
+def _nearest(cell: np.ndarray, label: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of a cell with their nearest ones of another label within ``distance``. Where one label has most members, the others seek alone."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for start in range(0, len(cell), SLICE):
-        some = cell[start : start + SLICE]
-        most = min(NEAREST, len(some) - 1)
-        for at in range(0, len(some) if most else 0, 64):
-            apart = _apart(some[at : at + 64, None], some[None])
-            own = np.arange(len(apart))
-            apart[own, at + own] = 1 << 30
+        some, own = cell[start : start + SLICE], label[start : start + SLICE]
+        names, sizes = np.unique(own, return_counts=True)
+        if len(names) == 1:
+            continue
+        common = names[np.argmax(sizes)]
+        seekers = np.flatnonzero(own != common) if 2 * sizes.max() > len(some) else np.arange(len(some))
+        most = min(CELL_NEAREST, len(some) - 1)
+        for at in range(0, len(seekers), 64):
+            who = seekers[at : at + 64]
+            apart = _apart(some[who, None], some[None])
+            apart[own[who, None] == own[None]] = 1 << 30
             near = np.argpartition(apart, most - 1, axis=1)[:, :most]
             i, j = np.nonzero(np.take_along_axis(apart, near, 1) <= distance)
-            a.append(start + at + i)
+            a.append(start + who[i])
             b.append(start + near[i, j])
-    return np.concatenate(a), np.concatenate(b)
+    one, other = np.concatenate(a), np.concatenate(b)
+    codes = np.unique(np.minimum(one, other) * len(cell) + np.maximum(one, other))
+    return codes // len(cell), codes % len(cell)
 
 
 def wide_links(fps: DataFrame, bits: int, distance: int, sets: int = 1) -> DataFrame:
-    """``a, b``: pairs among distinct binary ``fp`` that share an anchor and differ in at most ``distance`` bits; they connect all such.
+    """``a, b``: pairs among distinct binary ``fp`` of different ``label`` that share an anchor and differ in at most ``distance`` bits.
 
-    Anchors are those of the bits in ``sets`` orders, one after the other; the shuffle files of each are removed at once.
+    Of each fingerprint's pairs the ``NEAREST`` closest are kept, and those that its partners keep. Anchors are those of the bits
+    in ``sets`` orders, one after the other; the shuffle files of each are removed at once.
     """
     spark, key = fps.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
@@ -294,60 +298,74 @@ def wide_links(fps: DataFrame, bits: int, distance: int, sets: int = 1) -> DataF
         found = [materialize(_wide_links(fps, bits, distance, k), "candidates") for k in range(sets)]
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return functools.reduce(DataFrame.unionByName, found).distinct()
+    return _closest(functools.reduce(DataFrame.unionByName, found).distinct())
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """``a, b`` of ``a, b, apart``: those among the ``NEAREST`` of either end. Spark trims each end's pairs map-side."""
+    ends = pairs.select("apart", F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))).alias("e"))
+    order = Window.partitionBy("own").orderBy("apart", "other")
+    kept = ends.select("e.own", "e.other", "apart").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= NEAREST)
+    return kept.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
 
 
 def _wide_links(fps: DataFrame, bits: int, distance: int, turn: int) -> DataFrame:
-    """The pairs by the anchors of one order of the bits: their own if ``turn`` is 0."""
+    """``a, b, apart``: the pairs by the anchors of one order of the bits: their own if ``turn`` is 0."""
     size, low = bits // 64, np.uint64((1 << 31) - 1)
     order = np.random.default_rng(turn).permutation(bits) if turn else np.arange(bits)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = _words(batch.column("fp"), size)
+            words, label = _words(batch.column("fp"), size), batch.column("label").to_numpy()
             for at in range(0, len(words), 5000):
-                some = words[at : at + 5000]
+                some, own = words[at : at + 5000], label[at : at + 5000]
                 dealt = np.ascontiguousarray(np.packbits(np.unpackbits(some.view(np.uint8), axis=1)[:, order], axis=1)).view("<u8") if turn else some
                 for part in range(2 * size):
                     i, a = anchors(dealt[:, part // 2] >> np.uint64(32 * (part % 2)) & low)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64) * 2 * size + part), _binary(some[i])], names=["anchor", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64) * 2 * size + part), _binary(some[i]), pa.array(own[i])], names=["anchor", "fp", "label"])
 
-    def chains(anchor: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def pairs(anchor: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        fp, label = np.ascontiguousarray(rows[:, :size]), rows[:, size]
         starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         sizes = np.diff(np.r_[starts, len(anchor)])
         place = np.arange(len(anchor)) - np.repeat(starts, sizes)
-        room, few = np.repeat(sizes, sizes) - place, np.repeat(sizes <= 8, sizes)
+        room, few = np.repeat(sizes, sizes) - place, np.repeat(sizes <= NEAREST, sizes)
         a, b = [], []
-        for step in range(1, 8):
+        for step in range(1, NEAREST):
             i = np.flatnonzero(few & (room > step))
-            i = i[_apart(fp[i], fp[i + step]) <= distance]
+            i = i[(_apart(fp[i], fp[i + step]) <= distance) & (label[i] != label[i + step])]
             a.append(i)
             b.append(i + step)
-        for at in np.flatnonzero(sizes > 8):
-            cell = fp[starts[at] : starts[at] + sizes[at]]
-            for i, j in (_tree(cell, distance), _nearest(cell, distance)):
-                a.append(starts[at] + i)
-                b.append(starts[at] + j)
-        return pa.RecordBatch.from_arrays([_binary(fp[np.concatenate(a)]), _binary(fp[np.concatenate(b)])], names=["a", "b"])
+        for at in np.flatnonzero(sizes > NEAREST):
+            cell = slice(starts[at], starts[at] + sizes[at])
+            i, j = _nearest(fp[cell], label[cell], distance)
+            a.append(starts[at] + i)
+            b.append(starts[at] + j)
+        one, other = fp[np.concatenate(a)], fp[np.concatenate(b)]
+        return pa.RecordBatch.from_arrays([_binary(one), _binary(other), pa.array(_apart(one, other).astype(np.int32))], names=["a", "b", "apart"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros((0, size), "<u8")
-        for batch in batches:
-            k = np.r_[held_k, batch.column("anchor").to_numpy()]
-            f = np.concatenate([held_f, _words(batch.column("fp"), size)])
-            if not len(k):
-                continue
-            cut = np.searchsorted(k, k[-1])  # the last cell may go on
-            if cut:
-                yield chains(k[:cut], f[:cut])
-            held_k, held_f = k[cut:], f[cut:]
-        if len(held_k):
-            yield chains(held_k, held_f)
+        rows = ((b.column("anchor").to_numpy(), np.c_[_words(b.column("fp"), size), b.column("label").to_numpy().view(np.uint64)]) for b in batches)
+        for k, f in _whole_cells(rows):
+            yield pairs(k, f)
 
     n = shuffle_partitions(fps.sparkSession)
-    cells = fps.select("fp").mapInArrow(replicate, "anchor bigint, fp binary").repartition(n, "anchor").sortWithinPartitions("anchor", "fp")
-    both = cells.mapInArrow(compare, "a binary, b binary")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cells = fps.select("fp", "label").mapInArrow(replicate, "anchor bigint, fp binary, label bigint").repartition(n, "anchor").sortWithinPartitions("anchor", "fp")
+    both = cells.mapInArrow(compare, "a binary, b binary, apart int")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").distinct()
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, width: int, bits: int, distance: int, sets: int, similarity: float | None, text: str = "text") -> DataFrame:
+    """``a, b``: links among the ``fp`` of ``nodes(fp, least)``: candidates by anchors, confirmed by the texts' shingles where a ``similarity`` is given.
+
+    First each fingerprint's nearest candidates are tried. Those that link make components, and in a second round each one's
+    nearest candidates of other components are.
+    """
+    confirm = lambda edges: edges if similarity is None else materialize(confirmed(materialize(edges, "candidates"), nodes, docs, width, similarity, text), "links")
+    first = confirm(wide_links(nodes.select("fp", F.xxhash64("fp").alias("label")), bits, distance, sets))
+    parts = components(nodes.select(F.col("fp").alias("node")), first)
+    named = materialize(parts.select(F.col("node").alias("fp"), F.xxhash64("component").alias("label")), "labels")
+    return first.unionByName(confirm(wide_links(named, bits, distance, sets)))
 
 
 def confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float, text: str = "text") -> DataFrame:
@@ -418,9 +436,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, bits: in
     raw = fingerprints(docs, width, text, doc_id) if bits == 64 else wide_fingerprints(docs, width, bits, text, doc_id)
     found = materialize(raw, "fingerprints")
     nodes = materialize(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")), "distinct-fingerprints")
-    edges = links(nodes, distance) if bits == 64 else wide_links(nodes, bits, distance, sets)
-    if bits > 64 and similarity is not None:
-        edges = confirmed(materialize(edges, "candidates"), nodes, docs, width, similarity, text)
+    edges = links(nodes, distance) if bits == 64 else similar_links(nodes, docs, width, bits, distance, sets, similarity, text)
     whole = components(nodes.select(F.col("fp").alias("node")), edges)
     whole = materialize(whole.join(nodes.select(F.col("fp").alias("node"), "least"), "node"), "components")
     best = whole.groupBy("component").agg(F.min("least").alias("best"))
