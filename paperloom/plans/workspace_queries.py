@@ -358,7 +358,7 @@ def _drained(stream, spark, mode="append"):
 @query(SQL["w09_rate_decisions"])
 def t02_rate_stream(spark, sf):
     """The rate decisions of w09 over the events table as a stream."""
-    made = _drained(streams.rate_stream(_event_stream(spark, sf), limit=2, seconds=3600), spark)
+    made = _drained(streams.rate_stream(_event_stream(spark, sf), limit=2, seconds=3600, expire=False), spark)
     return made.select(F.col("event_id").alias("event"), F.col("user_id").alias("key"), "allowed")
 
 

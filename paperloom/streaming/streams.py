@@ -20,14 +20,15 @@ def ingest_stream(spark: SparkSession, source: str, schema: str, chunks_path: st
     return cut.writeStream.format("parquet").option("path", chunks_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rate_stream(events: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
+def rate_stream(events: DataFrame, limit: int = 30, seconds: int = 60, expire: bool = True) -> DataFrame:
     """``event_id, user_id, allowed`` of a stream of events, with one window's end and count kept per user.
 
-    State goes when its window has been over for as long again, by processing time.
+    State goes when its window has been over for as long again, by processing time. A stream over what is there now doesn't
+    end while states may expire; with ``expire`` off it does.
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if expire and state.hasTimedOut:
             state.remove()
             return
         ends, count = state.get if state.exists else (0, 0)
@@ -39,11 +40,12 @@ def rate_stream(events: DataFrame, limit: int = 30, seconds: int = 60) -> DataFr
             count += 1
             out.append(count <= limit)
         state.update((int(ends), int(count)))
-        state.setTimeoutDuration(2000 * seconds)
+        if expire:
+            state.setTimeoutDuration(2000 * seconds)
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "allowed": out})
 
     rows = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return rows.groupBy("user_id").applyInPandasWithState(decide, "event_id bigint, user_id bigint, allowed boolean", "ends bigint, count bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(decide, "event_id bigint, user_id bigint, allowed boolean", "ends bigint, count bigint", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def new_revisions(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
