@@ -303,7 +303,7 @@ def test_rate_stream_equals_batch(spark, tmp_path):
     source = f"file://{tmp_path}/in"
     events.write.parquet(source)
     stream = spark.readStream.schema(events.schema).parquet(source)
-    q = streams.rate_stream(stream, limit=2, seconds=3600).writeStream.format("memory").queryName("rates").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    q = streams.rate_stream(stream, limit=2, seconds=3600, expire=False).writeStream.format("memory").queryName("rates").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r["event_id"], r["allowed"]) for r in spark.table("rates").collect()}
     want = {(r["event"], r["allowed"]) for r in tables.rate_decisions(events, limit=2, seconds=3600).collect()}
