@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import brown_lm, chat, exact_dedup, fingerprints, mixing, packing, quality, simhash, token_store, url_filter
+from paperloom.llm import align, brown_lm, chat, exact_dedup, fingerprints, mixing, packing, quality, runs, simhash, token_counts, token_store, url_filter
 from paperloom.llm.common import materialize, scratch_path
 from paperloom.session import ship
 
@@ -88,6 +90,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "doc.source", "copy", F.round("rate", 9).alias("rate"), "mix_key", F.col("doc.text").alias("text"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def planted_run(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The contract's edit: a tenth of the documents, by the crc32 of their id, repeat some of their words from a place on."""
+    h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    if h % 10 or not n:
+        return None
+    g, i = h // 10, np.arange(n)
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    return np.where(i >= a, a + (i - a) % period, i)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest_runs(read(spark, sf_dir, "documents"), places=planted_run)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -171,7 +196,7 @@ FROM copies
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_brown_lm, op2_simhash, op3_url_filter, op4_quality, op5_packing, op6_exact_dedup, op7_chat, op8_token_store, op9_fingerprints, op10_mixing, pipeline]
+    named = [op1_brown_lm, op2_simhash, op3_url_filter, op4_quality, op5_packing, op6_exact_dedup, op7_chat, op8_token_store, op9_fingerprints, op10_mixing, op11_align, op12_token_counts, op13_runs, pipeline]
 
     def shipped(query):
         @functools.wraps(query)
