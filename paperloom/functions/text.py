@@ -53,7 +53,12 @@ def nfc(text: pd.Series) -> pd.Series:
 
 def search_tokens(text: Column, stop: list[str] | None = None) -> Column:
     """Folded words of two characters or more that aren't stop words, in order. Only words with a letter beyond ASCII are folded."""
-    words = F.split(normalize_search_text(text), r"[^\p{L}\p{N}\u0300-\u036f]+")
+    return tokens_of_normal(normalize_search_text(text), stop)
+
+
+def tokens_of_normal(normal: Column, stop: list[str] | None = None) -> Column:
+    """:func:`search_tokens` of a text that is normalised already."""
+    words = F.split(normal, r"[^\p{L}\p{N}\u0300-\u036f]+")
     plain = F.transform(words, lambda w: F.when(F.octet_length(w) > F.length(w), fold_accents(w)).otherwise(w))
     stops = F.array(*[F.lit(w) for w in (STOP_WORDS if stop is None else stop)])
     return F.filter(plain, lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w))

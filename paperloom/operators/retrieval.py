@@ -8,10 +8,11 @@ on the token keeps only the postings that some query asks for.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ BM25_K1, BM25_B = 1.2, 0.75
 LEXICAL, RANK, SEMANTIC, COVERAGE, EXACT, TITLE = 0.36, 0.12, 0.46, 0.2, 0.85, 0.22
 COSINE_FLOOR, SCORE_FLOOR = 0.2, 0.03
 SELECT_FLOOR, SELECT_SHARE, PER_DOCUMENT, PER_PAGE, SAME = 0.16, 0.22, 4, 2, 0.86
-FUZZY, FUZZY_MIN, FUZZY_MAX, FUZZY_PAGE = 0.82, 3, 64, 50_000
+FUZZY, FUZZY_MIN = 0.82, 3
 PACKAGE_COVERAGE, PACKAGE_EXACT, PACKAGE_SEMANTIC, PACKAGE_FLOOR = 0.42, 0.85, 0.5, 0.12
 # End of fixed values.
 
@@ -55,9 +56,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def token_table(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, tokens`` as a scratch table, so that texts are tokenised once."""
-    return kept(chunks.select("chunk_id", T.search_tokens(F.col("text")).alias("tokens")), "tokens")
+def prepared(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, body, tokens`` as a scratch table: texts are normalised and tokenised once for all that scores them."""
+    normal = chunks.select("chunk_id", T.normalize_search_text(F.col("text")).alias("body"))
+    return kept(normal.select("chunk_id", "body", T.tokens_of_normal(F.col("body")).alias("tokens")), "prepared")
 
 
 def tolerant_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
@@ -90,7 +92,7 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, k1: float = BM25_K1, b
     Repeated query tokens count once. Scores are rounded to 9 places, so that equal texts tie in whatever order their
     terms are summed. Document frequencies and the mean length are over all chunks.
     """
-    tokens = tokens if tokens is not None else token_table(chunks)
+    tokens = tokens if tokens is not None else prepared(chunks)
     sized = tokens.select("chunk_id", F.size("tokens").alias("len"))
     n_chunks, mean = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
     terms = query_terms(queries).select("query_id", "token")
@@ -135,43 +137,61 @@ def coverage_scores(chunks: DataFrame, queries: DataFrame, tokens: DataFrame | N
     """``query_id, chunk_id, coverage`` where it isn't zero: an equi join on tokens."""
     terms = query_terms(queries)
     total = terms.groupBy("query_id").agg(F.sum("n").alias("total"))
-    tokens = tokens if tokens is not None else token_table(chunks)
+    tokens = tokens if tokens is not None else prepared(chunks)
     found = postings(tokens, terms).select("token", "chunk_id").join(small(terms), "token")
     hits = found.groupBy("query_id", "chunk_id").agg(F.sum("n").alias("hits"))
     return hits.join(small(total), "query_id").select("query_id", "chunk_id", (F.col("hits") / F.col("total")).alias("coverage"))
 
 
-def contains_pairs(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, chunk_id`` where the normalised chunk holds the normalised query.
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
 
-    The query's rarest token (whole words only, so its first and last are left out where it has more than two)
-    picks candidates by an equi join; containment is then checked on the texts. Queries without such a token
-    are compared with every chunk.
+
+def _grams(text: Column, q: int) -> Column:
+    """The stretches of ``q`` characters of a text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
+
+
+def contains_pairs(chunks: DataFrame, queries: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """``query_id, chunk_id`` where the normalised chunk holds the normalised query; ``table`` is the :func:`prepared` chunks.
+
+    Each query has keys that a chunk must hold: its inner words, since these are whole words there too, or, where it has no
+    more than two words, its stretches of three characters (of its own length, if that is less). A first pass counts how often
+    chunks hold the keys, each query keeps its rarest, a second pass finds the chunks that hold it by an equi join, and
+    these are checked on the texts. No query meets chunks otherwise, and none of the keys of chunks is stored.
     """
+    body = (table if table is not None else chunks.select("chunk_id", T.normalize_search_text(F.col("text")).alias("body"))).select("chunk_id", "body")
     normal = queries.select("query_id", T.normalize_search_text(F.col("query")).alias("needle")).filter("needle <> ''")
-    words = F.filter(F.split("needle", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    inner = normal.withColumn("words", F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2)).otherwise(F.array()))
-    body = chunks.select("chunk_id", T.normalize_search_text(F.col("text")).alias("body"))
-    tokens = body.select("chunk_id", F.explode(F.array_distinct(F.split("body", r"[^\p{L}\p{N}]+"))).alias("word"))
-    asked = inner.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
-    wanted = kept(tokens.join(small(asked.select("word").distinct()), "word"), "words")
-    df = wanted.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    rarest = asked.join(df, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "word")).alias("m")).select("query_id", F.col("m.word").alias("word"))
-    candidates = wanted.join(small(rarest), "word").select("query_id", "chunk_id")
-    exact = candidates.join(body, "chunk_id").join(small(normal), "query_id").filter(F.contains("body", "needle")).select("query_id", "chunk_id")
-    short = inner.filter(F.size("words") == 0).select("query_id", "needle")
-    rest = small(body).join(small(short), F.contains("body", "needle")).select("query_id", "chunk_id")
-    return exact.unionByName(rest)
+    words = normal.withColumn("words", _words(F.col("needle")))
+    inner = F.when(F.size("words") > 2, F.slice("words", 2, F.size("words") - 2)).otherwise(F.array())
+    told = words.withColumn("words", inner).withColumn("q", F.when(F.size("words") > 0, 0).otherwise(F.least(F.lit(3), F.length("needle"))))
+    told = kept(told, "needles")
+    found = []
+    for q in sorted(r["q"] for r in told.select("q").distinct().collect()):  # 0 (words) to 3
+        some = told.filter(F.col("q") == q)
+        asked = some.select("query_id", F.explode(F.array_distinct(_grams(F.col("needle"), q) if q else F.col("words"))).alias("key"))
+        held = body.select("chunk_id", F.explode(F.array_distinct(_grams(F.col("body"), q) if q else _words(F.col("body")))).alias("key"))
+        df = held.join(small(asked.select("key").distinct()), "key").groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+        rarest = asked.join(df, "key").groupBy("query_id").agg(F.min(F.struct("df", "key")).alias("m"), F.count(F.lit(1)).alias("n"))
+        # a query with a key that no chunk holds is in none
+        whole = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        rarest = kept(rarest.join(whole, ["query_id", "n"]).select("query_id", F.col("m.key").alias("key")), "rarest")
+        candidates = kept(held.join(small(rarest), "key").select("query_id", "chunk_id"), "candidates")
+        met = body.join(small(candidates), "chunk_id").join(small(some.select("query_id", "needle")), "query_id")
+        found.append(met.filter(F.contains("body", "needle")).select("query_id", "chunk_id"))
+    if not found:
+        return body.join(told, F.col("chunk_id").cast("string") == F.col("needle")).select("query_id", "chunk_id").limit(0)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def hybrid_scores(chunks: DataFrame, queries: DataFrame, cosines: DataFrame | None = None, titles: DataFrame | None = None, depth: int = 16) -> DataFrame:
     """Score of each query and chunk with any signal, above the floor.
 
-    The ``depth`` best lexical hits, the cosine where there is one (0 to 1 above its floor), token coverage,
-    containment of the query and a title or alias (``document_id, title``) that the query holds.
+    The ``depth`` best lexical hits with words within one edit, the cosine where there is one (0 to 1 above its floor), token
+    coverage, containment of the query and a title or alias (``document_id, title``) that the query holds.
     """
-    tokens = token_table(chunks)
-    lexical = top_k(lexical_scores(chunks, queries, tokens=tokens), "lexical", depth)
+    tokens = prepared(chunks)
+    lexical = top_k(lexical_scores(chunks, queries, tokens=tokens, tolerance=1), "lexical", depth)
     most = Window.partitionBy("query_id")
     lexical = lexical.select("query_id", "chunk_id", (LEXICAL * F.col("lexical") / F.greatest(F.lit(1.0), F.max("lexical").over(most)) + RANK / F.col("rank")).alias("part"), F.lit(1).alias("has_lexical"), F.lit(0).alias("has_semantic"))
     parts = [lexical]
@@ -180,7 +200,7 @@ def hybrid_scores(chunks: DataFrame, queries: DataFrame, cosines: DataFrame | No
         parts.append(cosines.select("query_id", "chunk_id", part.alias("part"), F.lit(0).alias("has_lexical"), F.lit(1).alias("has_semantic")))
     none = [F.lit(0).alias("has_lexical"), F.lit(0).alias("has_semantic")]
     parts.append(coverage_scores(chunks, queries, tokens).select("query_id", "chunk_id", (COVERAGE * F.col("coverage")).alias("part"), *none))
-    parts.append(contains_pairs(chunks, queries).select("query_id", "chunk_id", F.lit(EXACT).alias("part"), *none))
+    parts.append(contains_pairs(chunks, queries, tokens).select("query_id", "chunk_id", F.lit(EXACT).alias("part"), *none))
     if titles is not None:
         asked = queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text"))
         named = contains_pairs(asked, titles.select(F.col("title").alias("query_id"), F.col("title").alias("query")).distinct())
@@ -196,9 +216,9 @@ def hybrid_scores(chunks: DataFrame, queries: DataFrame, cosines: DataFrame | No
 
 def package_scores(chunks: DataFrame, queries: DataFrame, cosines: DataFrame | None = None) -> DataFrame:
     """Score of each query and package chunk, from the floor on: coverage, containment and the cosine above its floor."""
-    tokens = token_table(chunks)
+    tokens = prepared(chunks)
     parts = [coverage_scores(chunks, queries, tokens).select("query_id", "chunk_id", (PACKAGE_COVERAGE * F.col("coverage")).alias("part"), F.lit(1).alias("l"), F.lit(0).alias("s"))]
-    parts.append(contains_pairs(chunks, queries).select("query_id", "chunk_id", F.lit(PACKAGE_EXACT).alias("part"), F.lit(1).alias("l"), F.lit(0).alias("s")))
+    parts.append(contains_pairs(chunks, queries, tokens).select("query_id", "chunk_id", F.lit(PACKAGE_EXACT).alias("part"), F.lit(1).alias("l"), F.lit(0).alias("s")))
     if cosines is not None:
         part = PACKAGE_SEMANTIC * F.greatest(F.lit(0.0), (F.col("cosine") - COSINE_FLOOR) / (1 - COSINE_FLOOR))
         parts.append(cosines.select("query_id", "chunk_id", part.alias("part"), F.lit(0).alias("l"), F.lit(1).alias("s")))
@@ -220,40 +240,57 @@ def best_chunks(found: DataFrame, chunks: DataFrame, quotes: DataFrame) -> DataF
     return picked.select("query_id", "document_id", "page_number", (-F.col("best.back")).alias("chunk_index"), F.col("best.holds").alias("holds"))
 
 
-def select_diverse(scored: DataFrame, chunks: DataFrame, limit: int = 8, per_document: int = PER_DOCUMENT, per_page: int | None = PER_PAGE, same: float = SAME) -> DataFrame:
+def select_diverse(scored: DataFrame, chunks: DataFrame, limit: int = 8, per_document: int = PER_DOCUMENT, per_page: int | None = PER_PAGE, same: float = SAME, batch: int | None = None) -> DataFrame:
     """Walk each query's chunks by score: at most so many per document and page, no near copy of a chosen chunk of the document.
 
-    Rows under the floor (a fixed score, or a share of the query's best) never enter the walk. A query's walk ends
-    with its ``limit``; it runs over its candidates in order, a batch at a time, holding what it has chosen.
+    Rows under the floor (a fixed score, or a share of the query's best) never enter the walk. A query brings its best
+    ``batch`` candidates to the walk, trimmed map-side, and only a query that isn't full and had as many asks for its next ones, twice
+    as many each time. What it has chosen walks along, so no task holds a query's whole candidates.
     """
-    best = Window.partitionBy("query_id")
-    rows = scored.withColumn("top", F.max("score").over(best)).filter(F.col("score") >= F.greatest(F.lit(SELECT_FLOOR), SELECT_SHARE * F.col("top"))).drop("top")
-    told = chunks.select("chunk_id", "document_id", "page_number", F.array_distinct(T.search_tokens(F.col("text"))).alias("tokens"))
-    joined = rows.join(told, "chunk_id")
-    n = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = joined.repartition(n, "query_id").sortWithinPartitions("query_id", F.col("score").desc(), "chunk_id")
-    schema = f"query_id {dict(rows.dtypes)['query_id']}, chunk_id {dict(rows.dtypes)['chunk_id']}, document_id {dict(told.dtypes)['document_id']}, page_number int, score double, rank int"
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query, chosen = object(), []
-        for batch in batches:
-            out = []
-            for q, c, d, p, s, words in zip(batch.query_id, batch.chunk_id, batch.document_id, batch.page_number, batch.score, batch.tokens):
-                if q != query:
-                    query, chosen = q, []
-                if len(chosen) >= limit:
-                    continue
-                mine = [x for x in chosen if x[0] == d]
-                if len(mine) >= per_document or per_page is not None and sum(x[1] == p for x in mine) >= per_page:
+    size = batch or 4 * limit
+    best = scored.groupBy("query_id").agg(F.max("score").alias("top"))
+    rows = scored.join(small(best), "query_id").filter(F.col("score") >= F.greatest(F.lit(SELECT_FLOOR), SELECT_SHARE * F.col("top")))
+    rows = kept(rows.select("query_id", "chunk_id", "score"), "walked")
+    told = kept(chunks.select("chunk_id", "document_id", "page_number", F.array_distinct(T.search_tokens(F.col("text"))).alias("tokens")), "told")
+    kinds = dict(rows.dtypes) | dict(told.dtypes)
+    kinds |= {"tokens": "array<string>", "rank": "int", "n": "int"}
+    names = ["query_id", "chunk_id", "document_id", "page_number", "score", "tokens", "rank"]
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        """The chosen ones so far (``rank`` above 0) and a batch, by score: all that are chosen now, and the size of the batch."""
+        chosen, out = [], []
+        for row in group.sort_values(["rank"], ascending=False).sort_values(["score", "chunk_id"], ascending=[False, True], kind="stable").itertuples(index=False):
+            mine, words = [x for x in chosen if x[0] == row.document_id], set(row.tokens)
+            if not row.rank:
+                if len(chosen) >= limit or len(mine) >= per_document or per_page is not None and sum(x[1] == row.page_number for x in mine) >= per_page:
                     continue
-                words = set(words)
                 if any(words and w and len(words & w) / len(words | w) >= same for _, _, w in mine):
                     continue
-                chosen.append((d, p, words))
-                out.append((q, c, d, p, s, len(chosen)))
-            yield pd.DataFrame(out, columns=["query_id", "chunk_id", "document_id", "page_number", "score", "rank"])
-
-    return ordered.select("query_id", "chunk_id", "document_id", "page_number", "score", "tokens").mapInPandas(walk, schema)
+            chosen.append((row.document_id, row.page_number, words))
+            out.append((*row[:6], len(chosen)))
+        made = pd.DataFrame(out, columns=names)
+        made["n"] = int((group["rank"] == 0).sum())
+        return made
+
+    asked, done, chosen, cursor = rows, [], None, None
+    while True:
+        ahead = asked if cursor is None else asked.join(small(cursor), "query_id").filter((F.col("score") < F.col("s")) | (F.col("score") == F.col("s")) & (F.col("chunk_id") > F.col("c"))).drop("s", "c")
+        some = kept(top_k(ahead, "score", size).drop("rank"), "batch")
+        group = some.join(told, "chunk_id").select(*names[:-1], F.lit(0).alias("rank"))
+        group = group if chosen is None else group.unionByName(chosen.select(*names))
+        walked = kept(group.groupBy("query_id").applyInPandas(walk, ", ".join(f"{c} {kinds[c]}" for c in [*names, "n"])), "chosen")
+        state = walked.groupBy("query_id").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("n"))
+        open_ = kept(state.filter((F.col("held") < limit) & (F.col("n") == size)).select("query_id"), "open")
+        done.append(walked.join(small(open_), "query_id", "left_anti"))
+        if open_.isEmpty():
+            break
+        chosen = walked.join(small(open_), "query_id", "left_semi")
+        # where the last batch ended
+        last = some.groupBy("query_id").agg(F.max(F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("c"))).alias("m"))
+        cursor = kept(last.join(small(open_), "query_id", "left_semi").select("query_id", (-F.col("m.s")).alias("s"), F.col("m.c").alias("c")), "cursor")
+        size *= 2
+    picked = functools.reduce(DataFrame.unionByName, done)
+    return picked.select("query_id", "chunk_id", "document_id", F.col("page_number").cast("int").alias("page_number"), "score", "rank")
 
 
 def merge_pools(local: DataFrame, remote: DataFrame, k: int = 8) -> DataFrame:
@@ -268,6 +305,16 @@ def merge_pools(local: DataFrame, remote: DataFrame, k: int = 8) -> DataFrame:
     return top_k(both.withColumn("copy", F.row_number().over(order)).filter("copy = 1").drop("copy", "merge_key"), "score", k)
 
 
+def merged_search(local: DataFrame, search_remote: Callable[[], DataFrame], served: DataFrame, k: int = 8) -> DataFrame:
+    """The best ``k`` of a local pool and a remote one (columns as for :func:`merge_pools`), without the remote hits of documents that are
+    ``served`` (document_id) locally. A remote pool that can't be searched leaves the local one alone."""
+    try:
+        remote = kept(search_remote(), "remote")
+    except PySparkException:
+        remote = local.limit(0)
+    return merge_pools(local, remote.join(served.select("document_id").distinct(), "document_id", "left_anti").select(*local.columns), k)
+
+
 def fetch_pages(asked: DataFrame, local: DataFrame, remote: DataFrame, eligible: DataFrame) -> DataFrame:
     """``document_id, page_number, raw_text`` of the asked pages of eligible documents: from the local pool, else from the other."""
     key = ["document_id", "page_number"]
@@ -310,38 +357,77 @@ def span_distance(query: np.ndarray, page: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(begin[end]), end
 
 
+def most_edits(n: Column) -> Column:
+    """Edits that a span may have to be alike enough to a quote of n tokens: it has n + edits tokens at most."""
+    return F.floor(n * (1 - FUZZY) / FUZZY + 1e-9).cast("int")
+
+
+def _seeds(tokens: Column, edits: Column) -> Column:
+    """``edits`` + 1 blocks of the tokens, one of which any span with so few edits holds unchanged: ``at`` and hash ``key``."""
+    n, k = F.size(tokens), edits + 1
+    start = lambda i: F.floor(i * n / k).cast("int")
+    block = lambda i: F.slice(tokens, start(i) + 1, start(i + 1) - start(i))
+    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(start(i).alias("at"), F.size(block(i)).alias("len"), F.xxhash64(F.array_join(block(i), " ")).alias("key")))
+
+
 def fuzzy_quotes(pages: DataFrame, quotes: DataFrame) -> DataFrame:
     """``query_id, document_id, page_number, score``: the page whose span is nearest to the quote, at least 0.82 alike.
 
-    A page that reaches that shares at least 82 % of the quote's token positions, so an equi join on tokens finds
-    every candidate; the distance is computed for those alone. Ties: the first page.
+    A quote of n tokens may differ in k of them, so of its k + 1 blocks one stands in the span unchanged. Pages meet the quotes'
+    blocks by an equi join on the hash of as many of their tokens; each place where they meet gives a window of n + 2 k tokens
+    that holds the span, overlapping ones are joined, and edits are counted within the windows alone. Pages and quotes may be
+    of any length; quotes of less than three tokens are searched exactly only. Ties: the first page.
     """
-    split = lambda c: F.filter(F.split(T.normalize_search_text(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    asked = quotes.select("query_id", F.filter(split(F.col("query")), lambda w: F.length(w) > 1).alias("q")).filter(F.size("q").between(FUZZY_MIN, FUZZY_MAX))
-    paged = pages.select("document_id", "page_number", split(F.col("raw_text")).alias("p")).filter(F.size("p").between(1, FUZZY_PAGE))
-    terms = asked.select("query_id", F.size("q").alias("size"), F.explode("q").alias("word")).groupBy("query_id", "size", "word").agg(F.count(F.lit(1)).alias("n"))
-    held = paged.select("document_id", "page_number", F.explode(F.array_distinct("p")).alias("word"))
-    shared = held.join(small(terms), "word").groupBy("query_id", "size", "document_id", "page_number").agg(F.sum("n").alias("shared"))
-    near = shared.filter(F.col("shared") >= F.ceil(F.col("size") * FUZZY - 1e-9)).select("query_id", "document_id", "page_number")
-    pairs = near.join(small(asked), "query_id").join(paged, ["document_id", "page_number"])
-
-    @F.pandas_udf("double")
-    def score(query: pd.Series, page: pd.Series) -> pd.Series:
+    paged = kept(pages.select("document_id", "page_number", _words(T.normalize_search_text(F.col("raw_text"))).alias("p")), "page-words")
+    asked = quotes.select("query_id", F.filter(_words(T.normalize_search_text(F.col("query"))), lambda w: F.length(w) > 1).alias("q")).filter(F.size("q") >= FUZZY_MIN)
+    asked = kept(asked.withColumn("k", most_edits(F.size("q"))), "quote-words")
+    blocks = kept(asked.select("query_id", F.size("q").alias("n"), "k", F.explode(_seeds(F.col("q"), F.col("k"))).alias("s")).select("query_id", "n", "k", "s.*"), "seeds")
+    lengths = sorted(r["len"] for r in blocks.select("len").distinct().collect())  # 2 to 5, as k + 1 blocks are about n / (k + 1) long
+    met = []
+    for size in lengths:
+        some = blocks.filter(F.col("len") == size)
+        keys = F.transform(F.sequence(F.lit(1), F.size("p") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("p", i, size), " ")))
+        held = paged.filter(F.size("p") >= size).select("document_id", "page_number", F.size("p").alias("words"), F.posexplode(keys).alias("place", "key"))
+        first = F.col("place") - F.col("at") - F.col("k")
+        met.append(held.join(small(some), "key").select("query_id", "document_id", "page_number", F.greatest(F.lit(0), first).alias("low"), F.least("words", first + F.col("n") + 2 * F.col("k")).alias("high")))
+    if not met:
+        return pages.select("document_id", "page_number").limit(0).join(quotes.select("query_id").limit(0)).select("query_id", "document_id", "page_number", F.lit(0.0).alias("score"))
+    places = functools.reduce(DataFrame.unionByName, met).distinct()
+    order = Window.partitionBy("query_id", "document_id", "page_number").orderBy("low", "high")
+    before = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = places.withColumn("group", F.sum(F.when(before >= F.col("low"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    windows = opened.groupBy("query_id", "document_id", "page_number", "group").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    windows = kept(windows.drop("group"), "windows")
+    cut = paged.join(small(windows), ["document_id", "page_number"]).select("query_id", "document_id", "page_number", "low", F.slice("p", F.col("low") + 1, F.col("high") - F.col("low")).alias("p"))
+    pairs = cut.join(small(asked.select("query_id", "q")), "query_id")
+
+    @F.pandas_udf("edits int, size int, end int")
+    def nearest(query: pd.Series, page: pd.Series) -> pd.DataFrame:
         out = []
         for q, p in zip(query, page):
             numbers = np.unique(np.concatenate([q, p]), return_inverse=True)[1]
             edits, start, end = span_distance(numbers[: len(q)], numbers[len(q) :])
-            out.append(1 - edits / max(len(q), end - start) if start < end else 0.0)
-        return pd.Series(out, dtype="float64")
+            out.append((edits, end - start, end))
+        return pd.DataFrame(out, columns=["edits", "size", "end"])
 
-    scored = pairs.select("query_id", "document_id", "page_number", score("q", "p").alias("score")).filter(F.col("score") >= FUZZY)
+    told = pairs.select("query_id", "document_id", "page_number", "low", F.size("q").alias("n"), nearest("q", "p").alias("m"))
+    best = told.groupBy("query_id", "document_id", "page_number").agg(F.min(F.struct("m.edits", (F.col("low") + F.col("m.end")).alias("end"), "m.size", "n")).alias("b"))
+    score = F.when(F.col("b.size") > 0, 1 - F.col("b.edits") / F.greatest("b.n", "b.size")).otherwise(0.0)
+    scored = best.select("query_id", "document_id", "page_number", score.alias("score")).filter(F.col("score") >= FUZZY)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "document_id", "page_number")
     return scored.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
 
 
-def quote_lookup(pages: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Exact pages first; quotes without one are matched fuzzily."""
-    exact = exact_quotes(pages, quotes)
-    rest = quotes.join(exact.select("query_id"), "query_id", "left_anti")
-    fuzzy = fuzzy_quotes(pages, rest)
-    return exact.select("*", F.lit(1.0).alias("score"), F.lit("exact").alias("method")).unionByName(fuzzy.withColumn("method", F.lit("fuzzy")))
+def quote_lookup(pages: DataFrame, quotes: DataFrame, snapshot=None) -> DataFrame:
+    """``query_id, document_id, page_number, score, method``: exact pages first; quotes without one are matched fuzzily, and the
+    rest are looked up in the shards of a ``snapshot`` (:class:`paperloom.sources.snapshot.SnapshotProvider`) that may hold them."""
+    columns = ["query_id", "document_id", "page_number", "score"]
+    found, rest = [], quotes
+    steps = [("exact", lambda q: exact_quotes(pages, q).withColumn("score", F.lit(1.0))), ("fuzzy", lambda q: fuzzy_quotes(pages, q))]
+    if snapshot is not None:
+        steps.append(("snapshot", lambda q: snapshot.lookup_quotes(q).withColumn("score", F.lit(1.0))))
+    for method, step in steps:
+        hits = kept(step(rest).select(*columns, F.lit(method).alias("method")), "quotes")
+        found.append(hits)
+        rest = rest.join(small(hits.select("query_id")), "query_id", "left_anti")
+    return functools.reduce(DataFrame.unionByName, found)

@@ -8,6 +8,8 @@ from paperloom.functions import text as T
 from paperloom.operators import ingest, retrieval
 from paperloom.plans import sqltext as Q
 from paperloom.plans.registry import query, read
+from paperloom.session import scratch_path
+from paperloom.sources import snapshot
 
 
 def doc_chunks(spark, sf):
@@ -41,13 +43,17 @@ def r01_lexical_search(spark, sf):
     return retrieval.cite(retrieval.top_k(scored, "lexical", 5)).withColumn("lexical", F.round("lexical", 4))
 
 
+#: As above, with words within one edit. DuckDB counts edits of bytes, so letters beyond ASCII are given one byte each.
+TOLERANT_SQL = BM25_SQL.replace("lex AS (", "v AS (SELECT DISTINCT token FROM p), qt AS (SELECT DISTINCT query_id, v.token FROM q JOIN v ON v.token = q.token OR (NOT regexp_full_match(q.token, '[0-9]{1,4}') AND abs(length(v.token) - length(q.token)) <= 1 AND levenshtein(translate(v.token, 'ßæœøđłþðı', 'ABCDEFGHI'), translate(q.token, 'ßæœøđłþðı', 'ABCDEFGHI')) <= 1)), lex AS (").replace("FROM q JOIN p USING (token) JOIN df", "FROM qt JOIN p USING (token) JOIN df")
+
+
 @query(f"""
-WITH {BM25_SQL.replace("lex AS (", "v AS (SELECT DISTINCT token FROM p), qt AS (SELECT DISTINCT query_id, v.token FROM q JOIN v ON v.token = q.token OR (NOT regexp_full_match(q.token, '[0-9]{1,4}') AND abs(length(v.token) - length(q.token)) <= 1 AND levenshtein(translate(v.token, 'ßæœøđłþðı', 'ABCDEFGHI'), translate(q.token, 'ßæœøđłþðı', 'ABCDEFGHI')) <= 1)), lex AS (").replace("FROM q JOIN p USING (token) JOIN df", "FROM qt JOIN p USING (token) JOIN df")}
+WITH {TOLERANT_SQL}
 SELECT query_id, chunk_id, round(lexical, 4) AS lexical, rank::INTEGER AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, chunk_id) AS rank FROM lex) WHERE rank <= 16
 """)
 def r01_tolerant_search(spark, sf):
-    """As r01, with words within one edit; numbers stay exact. DuckDB counts edits of bytes, so the SQL gives letters beyond ASCII one byte each."""
+    """As r01, with words within one edit; numbers stay exact."""
     scored = retrieval.lexical_scores(doc_chunks(spark, sf), benchmark_queries(spark, sf), tolerance=1)
     return retrieval.top_k(scored, "lexical", 16).withColumn("lexical", F.round("lexical", 4))
 
@@ -64,9 +70,26 @@ def j06_exact_quote(spark, sf):
     return retrieval.exact_quotes(ingest.pages(read(spark, sf, "documents")), benchmark_queries(spark, sf))
 
 
+def _documents_as_chunks(spark, sf):
+    docs = read(spark, sf, "documents").filter("text <> ''")
+    return docs.select(F.col("source").alias("owner"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.lit(1).alias("page_number"), "text")
+
+
+def written_snapshot(spark, sf):
+    """All documents as a fresh snapshot."""
+    path = scratch_path(spark, "snapshot")
+    snapshot.write(snapshot.assign_shards(_documents_as_chunks(spark, sf), snapshot.LEAST_BYTES), path)
+    return path
+
+
 @query()
 def r06_quote_lookup(spark, sf):
-    found = retrieval.quote_lookup(ingest.pages(read(spark, sf, "documents")), benchmark_queries(spark, sf))
+    """Benchmark texts as they are and misquoted (every seventh word another) in two thirds of the documents, then in a snapshot of all."""
+    asked = benchmark_queries(spark, sf)
+    other = F.array_join(F.transform(F.split("query", " "), lambda w, i: F.when(i % 7 == 3, F.lit("misquoted")).otherwise(w)), " ")
+    quotes = asked.unionByName(asked.select((-1 - F.col("query_id")).alias("query_id"), other.alias("query")))
+    local = ingest.pages(read(spark, sf, "documents").filter("doc_id % 3 <> 0"))
+    found = retrieval.quote_lookup(local, quotes, snapshot.SnapshotProvider(spark, written_snapshot(spark, sf)))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -90,7 +113,7 @@ def j08_vector_search(spark, sf):
 
 
 _HYBRID_SQL = f"""
-{BM25_SQL},
+{TOLERANT_SQL},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, chunk_id) AS rank FROM lex),
 top AS (SELECT query_id, chunk_id, 0.36 * lexical / greatest(1.0, max(lexical) OVER (PARTITION BY query_id)) + 0.12 / rank AS part, 1 AS l, 0 AS s FROM ranked WHERE rank <= 16),
 cos AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, 0.46 * greatest(0.0, (list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) - 0.2) / 0.8) AS part, 0 AS l, 1 AS s
@@ -135,22 +158,29 @@ def w01_diverse_selection(spark, sf):
 
 
 @query(f"""
-WITH {BM25_SQL},
+WITH {BM25_SQL.replace("FROM documents WHERE text <> ''", "FROM documents WHERE text <> '' AND doc_id % 2 = 0")},
 h AS (SELECT doc_id AS chunk_id, '0x' || sha256(text) AS content_hash FROM documents),
-r AS (SELECT query_id, chunk_id, CASE WHEN chunk_id % 2 = 0 THEN lexical ELSE round(lexical * 0.9, 9) END AS score FROM lex),
-pool AS (SELECT query_id, chunk_id, score FROM r QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id % 2 ORDER BY score DESC, chunk_id) <= 16),
-best AS (SELECT query_id, chunk_id, content_hash, score FROM pool JOIN h USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id, content_hash ORDER BY round(score, 9) DESC, chunk_id) = 1)
-SELECT query_id, chunk_id, round(round(score, 9), 4) AS score, rank::INTEGER AS rank
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM best) WHERE rank <= 8
+near AS (SELECT query_id, chunk_id, lexical / 100 AS score FROM lex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, chunk_id) <= 16),
+qn AS (SELECT query_id, token, count(*) AS n FROM (SELECT item_id AS query_id, unnest({Q.tokens('text')}) AS token FROM benchmark) GROUP BY ALL),
+w AS (SELECT DISTINCT doc_id AS chunk_id, unnest({Q.tokens('text')}) AS token FROM documents WHERE text <> ''),
+part AS (SELECT query_id, chunk_id, 0.42 * sum(n) / any_value(total) AS score FROM qn JOIN w USING (token) JOIN (SELECT query_id, sum(n) AS total FROM qn GROUP BY query_id) USING (query_id) GROUP BY query_id, chunk_id
+         UNION ALL SELECT query_id, chunk_id, 0.85 FROM ({_CONTAINS_SQL})),
+met AS (SELECT query_id, chunk_id, round(sum(score), 9) AS score FROM part GROUP BY ALL HAVING round(sum(score), 9) >= 0.12),
+far AS (SELECT * FROM (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 8) WHERE chunk_id % 2 <> 0),
+best AS (SELECT query_id, chunk_id, content_hash, score FROM (SELECT * FROM near UNION ALL SELECT * FROM far) JOIN h USING (chunk_id)
+         QUALIFY row_number() OVER (PARTITION BY query_id, content_hash ORDER BY score DESC, chunk_id) = 1)
+SELECT query_id, chunk_id, round(score, 4) AS score, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM best) WHERE rank <= 8
 """)
 def u01_r05_merged_search(spark, sf):
-    chunks = doc_chunks(spark, sf)
-    scored = retrieval.lexical_scores(chunks, benchmark_queries(spark, sf))
-    told = scored.join(chunks.withColumn("content_hash", T.content_hash(F.col("text"))), "chunk_id").withColumn("score", F.round("lexical", 9))
-    rows = told.select("query_id", "chunk_id", "document_id", "page_number", "content_hash", "text", "score")
-    local = retrieval.top_k(rows.filter("chunk_id % 2 = 0"), "score", 16).drop("rank")
-    other = retrieval.top_k(rows.filter("chunk_id % 2 <> 0").withColumn("score", F.round(F.col("score") * 0.9, 9)), "score", 16).drop("rank")
-    merged = retrieval.merge_pools(local, other)
+    """Even documents are served locally, by words; a snapshot of all documents is searched beside them, and gives the odd ones."""
+    asked = benchmark_queries(spark, sf)
+    served = doc_chunks(spark, sf).filter("chunk_id % 2 = 0")
+    every = doc_chunks(spark, sf).withColumn("content_hash", T.content_hash(F.col("text")))
+    tell = lambda scored: every.join(scored.select("query_id", "chunk_id", "score"), "chunk_id").select("query_id", "chunk_id", "document_id", "page_number", "content_hash", "text", "score")
+    lexical = retrieval.lexical_scores(served, asked).withColumn("score", F.col("lexical") / 100)
+    local = tell(retrieval.top_k(lexical, "score", 16))
+    merged = retrieval.merged_search(local, lambda: tell(snapshot.search(spark, written_snapshot(spark, sf), asked, exhaustive=True)), served)
     return merged.select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 

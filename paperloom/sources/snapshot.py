@@ -23,6 +23,7 @@ from paperloom.session import kept
 
 # Fixed values.
 TARGET_BYTES, LEAST_BYTES, KEYWORDS = 384 * 1024, 64 * 1024, 96
+WEIGHTS = {"source": 5, "display_name": 5, "title": 4, "alias": 3, "text": 1}
 FIRST_READS, MORE_READS, MOST_READS, WEAK = 3, 2, 9, 0.34
 SHARD_COVERAGE, SHARD_COSINE = 0.72, 0.28
 CHUNK_COVERAGE, CHUNK_EXACT, CHUNK_COSINE = 0.42, 0.85, 0.5
@@ -101,20 +102,55 @@ def assign_shards(chunks: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     return chunks.join(shards, ["document_id", "page_number"])
 
 
-def manifest(sharded: DataFrame, keywords: int = KEYWORDS) -> DataFrame:
-    """A row per shard: bytes, chunks, documents, content hash and its most frequent tokens (ties by token)."""
+def keyword_postings(sharded: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``shard_id, token, n``: the weight of each token in a shard: 1 for each time in its texts, and once for each of its documents more
+    where its source, display name, title or an alias has it (``names``: document_id, source, display_name, title, aliases)."""
+    words = sharded.select("shard_id", F.explode(T.search_tokens(F.col("text"), SHARD_STOP_WORDS)).alias("token"))
+    counts = words.groupBy("shard_id", "token").agg((WEIGHTS["text"] * F.count(F.lit(1))).cast("bigint").alias("n"))
+    if names is None:
+        return counts
+    told = [F.struct(F.col(c).alias("said"), F.lit(WEIGHTS[c]).alias("w")) for c in ("source", "display_name", "title")]
+    others = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: F.struct(x.alias("said"), F.lit(WEIGHTS["alias"]).alias("w")))
+    fields = names.select("document_id", F.explode(F.concat(F.array(*told), others)).alias("f")).filter("f.said IS NOT NULL")
+    weighed = fields.select("document_id", F.col("f.w").alias("w"), F.explode(T.search_tokens(F.col("f.said"), SHARD_STOP_WORDS)).alias("token"))
+    held = sharded.select("shard_id", "document_id").distinct()
+    boosts = held.join(weighed, "document_id").groupBy("shard_id", "token").agg(F.sum("w").cast("bigint").alias("n"))
+    return counts.unionByName(boosts).groupBy("shard_id", "token").agg(F.sum("n").alias("n"))
+
+
+#: Bits of a shard's filter of words, and of its filter of stretches of three characters.
+FILTER_BITS = 32_768
+
+
+def _bit(key) -> object:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def gram_filters(sharded: DataFrame) -> DataFrame:
+    """``shard_id, word_bits, gram_bits``: bitmaps of the words and of the trigrams that a shard's texts hold, 4 KB each."""
+    from paperloom.operators.retrieval import _grams, _words
+
+    body = sharded.select("shard_id", T.normalize_search_text(F.col("text")).alias("body"))
+    sets = [body.select("shard_id", F.explode(keys).alias("key")).groupBy("shard_id").agg(F.bitmap_construct_agg(_bit("key")).alias(name)) for keys, name in ((_words(F.col("body")), "word_bits"), (_grams(F.col("body"), 3), "gram_bits"))]
+    return sets[0].join(sets[1], "shard_id", "full")
+
+
+def manifest(sharded: DataFrame, keywords: int = KEYWORDS, names: DataFrame | None = None) -> DataFrame:
+    """A row per shard: bytes, chunks, documents, content hash, its sources and its heaviest tokens (:func:`keyword_postings`; ties by token)."""
     rows = sharded.groupBy("owner", "shard_id").agg(
         F.sum(F.octet_length("text")).cast("bigint").alias("byte_length"),
         F.count(F.lit(1)).alias("chunk_count"),
         F.count_distinct("document_id").alias("document_count"),
         F.bit_xor(F.xxhash64("document_id", "page_number", "text")).alias("content_hash"),
     )
-    words = sharded.select("shard_id", F.explode(T.search_tokens(F.col("text"), SHARD_STOP_WORDS)).alias("token"))
-    counts = words.groupBy("shard_id", "token").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("shard_id").orderBy(F.col("n").desc(), "token")
-    top = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keywords)
+    top = keyword_postings(sharded, names).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keywords)
     listed = top.groupBy("shard_id").agg(F.sort_array(F.collect_list(F.struct("r", "token"))).alias("k"))
-    return rows.join(listed, "shard_id", "left").select("*", F.coalesce(F.col("k.token"), F.array().cast("array<string>")).alias("keywords")).drop("k")
+    made = rows.join(listed, "shard_id", "left").select("*", F.coalesce(F.col("k.token"), F.array().cast("array<string>")).alias("keywords")).drop("k")
+    if names is None:
+        return made
+    sources = sharded.select("shard_id", "document_id").distinct().join(names.select("document_id", "source"), "document_id")
+    return made.join(sources.groupBy("shard_id").agg(F.sort_array(F.collect_set("source")).alias("sources")), "shard_id", "left")
 
 
 def offsets(shards: DataFrame) -> DataFrame:
@@ -157,15 +193,30 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return whole.select("shard_id", "provider", "dimensions", V.quantize(F.col("mean")).alias("q")).select("shard_id", "provider", "dimensions", "q.scale", "q.codes")
 
 
-def write(sharded: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Chunks in ``buckets`` folders, each sorted by shard, documents and the manifest."""
+def write(sharded: DataFrame, path: str, buckets: int = BUCKETS, names: DataFrame | None = None, vectors: DataFrame | None = None) -> None:
+    """Chunks in ``buckets`` folders, each sorted by shard, documents, the manifest and the layout.
+
+    The manifest has a row per shard: offsets, keywords (of ``names`` too, see :func:`keyword_postings`), sources, filters of words and
+    trigrams, and the centroid of the shard's ``vectors`` (chunk_id, provider, vector). The layout is one row: folders and totals.
+    """
     bucket = F.pmod(F.xxhash64("shard_id"), F.lit(buckets)).cast("int")
     placed = sharded.withColumn("bucket", bucket)
     placed.repartition("bucket").sortWithinPartitions("bucket", "shard_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/chunks")
-    written = sharded.sparkSession.read.parquet(f"{path}/chunks")
-    manifest(written).write.mode("overwrite").parquet(f"{path}/manifest")
+    spark = sharded.sparkSession
+    written = spark.read.parquet(f"{path}/chunks")
+    made = manifest(written, names=names).join(gram_filters(written), "shard_id", "left")
+    if vectors is not None:
+        means = centroids(vectors.join(written.select("chunk_id", "shard_id"), "chunk_id"))
+        made = made.join(means.select("shard_id", F.struct("provider", "dimensions", "scale", "codes").alias("centroid")), "shard_id", "left")
+    offsets(made).write.mode("overwrite").parquet(f"{path}/manifest")
     catalog = written.groupBy("document_id", "owner").agg(F.count_distinct("page_number").alias("pages"), F.count(F.lit(1)).alias("chunks"))
     catalog.write.mode("overwrite").parquet(f"{path}/documents")
+    totals(written).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
+
+
+def layout(spark: SparkSession, path: str) -> DataFrame:
+    """One row: ``documents, pages, chunks, bytes`` of a snapshot and the number of its folders, ``buckets``."""
+    return spark.read.parquet(f"{path}/layout")
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -178,6 +229,8 @@ def load_shards(spark: SparkSession, path: str, wanted: DataFrame | None = None)
     chunks = spark.read.parquet(f"{path}/chunks")
     if wanted is None:
         return chunks.drop("bucket")
+    if "bucket" not in wanted.columns:
+        wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("shard_id"), F.lit(layout(spark, path).first()["buckets"])).cast("int"))
     return chunks.join(wanted.select("shard_id", "bucket").distinct(), ["bucket", "shard_id"], "left_semi").drop("bucket")
 
 
@@ -205,6 +258,9 @@ def rank_shards(shards: DataFrame, queries: DataFrame, means: DataFrame | None =
     tokens = T.search_tokens(F.col("query"), SHARD_STOP_WORDS)
     asked = queries.select("query_id", F.size(tokens).alias("total"), F.explode(tokens).alias("token"))
     held = shards.select("shard_id", F.explode("keywords").alias("token"))
+    if "sources" in shards.columns:  # the names of a shard's sources count as keywords
+        named = shards.select("shard_id", F.explode("sources").alias("s")).select("shard_id", F.explode(T.search_tokens(F.col("s"), SHARD_STOP_WORDS)).alias("token"))
+        held = held.unionByName(named).distinct()
     parts = held.join(retrieval.small(asked), "token").groupBy("query_id", "shard_id").agg((SHARD_COVERAGE * F.count(F.lit(1)) / F.first("total")).alias("score"))
     if means is not None and query_vectors is not None:
         told = means.select("shard_id", "provider", V.dequantize(F.struct("scale", "codes")).alias("mean")).join(retrieval.small(query_vectors), "provider")
@@ -215,7 +271,63 @@ def rank_shards(shards: DataFrame, queries: DataFrame, means: DataFrame | None =
     return parts.withColumn("rank", F.row_number().over(order))
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 8, least: float = 0.12, per_document: int = 4, vectors: DataFrame | None = None, means: DataFrame | None = None, query_vectors: DataFrame | None = None, exhaustive: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def centroids_of(shards: DataFrame) -> DataFrame | None:
+    """The centroids that a manifest holds, as :func:`centroids` gives them; None if it has none."""
+    if "centroid" not in shards.columns:
+        return None
+    return shards.filter("centroid IS NOT NULL").select("shard_id", "centroid.*")
+
+
+def shards_for_quotes(shards: DataFrame, quotes: DataFrame, keys: int = 3) -> DataFrame:
+    """``query_id, shard_id``: the shards whose filters hold the ``keys`` longest inner words of a quote, or trigrams of it if it has two words or less.
+
+    No shard that holds a quote is left out; one that doesn't passes with the chance that other words have set the same bits.
+    Only bits that some quote asks for are read from the filters, and meet the quotes by an equi join. Quotes of less than
+    three characters ask for every shard, in a row without ``query_id``.
+    """
+    from paperloom.operators import retrieval
+
+    normal = quotes.select("query_id", T.normalize_search_text(F.col("query")).alias("needle")).filter("needle <> ''")
+    words = normal.withColumn("words", retrieval._words(F.col("needle")))
+    inner = F.when(F.size("words") > 2, F.slice("words", 2, F.size("words") - 2)).otherwise(F.array())
+    longest = F.slice(F.array_sort(F.array_distinct(inner), lambda a, b: F.length(b) - F.length(a)), 1, keys)
+    told = words.select("query_id", longest.alias("words"), retrieval._grams(F.col("needle"), 3).alias("grams"))
+    picked = F.when(F.size("words") > 0, F.transform("words", lambda w: F.struct(F.lit("word_bits").alias("kind"), _bit(w).cast("int").alias("bit")))).otherwise(
+        F.transform("grams", lambda g: F.struct(F.lit("gram_bits").alias("kind"), _bit(g).cast("int").alias("bit"))))
+    asked = kept(told.select("query_id", F.array_distinct(picked).alias("bits")), "quote-bits")
+    parts = []
+    for kind in ("word_bits", "gram_bits"):
+        mine = asked.filter(F.size("bits") > 0).filter(F.col("bits")[0]["kind"] == kind)
+        wanted = sorted(r["bit"] for r in mine.select(F.explode("bits.bit").alias("bit")).distinct().collect())  # FILTER_BITS at most
+        if not wanted:
+            continue
+        byte = lambda b: F.conv(F.hex(F.substring(F.col(kind), (b / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")  # noqa: B023, E731
+        is_set = F.filter(F.lit(wanted).cast("array<int>"), lambda b: F.coalesce(F.getbit(byte(b), (b % 8).cast("int")) == 1, F.lit(False)))  # noqa: B023
+        have = shards.select("shard_id", F.explode(is_set).alias("bit"))
+        bits = mine.select("query_id", F.size("bits").alias("n"), F.explode("bits.bit").alias("bit"))
+        met = have.join(retrieval.small(bits), "bit").groupBy("query_id", "shard_id", "n").agg(F.count(F.lit(1)).alias("c"))
+        parts.append(met.filter("c = n").select("query_id", "shard_id"))
+    if not parts or not asked.filter(F.size("bits") == 0).isEmpty():
+        parts.append(shards.select(F.lit(None).cast(dict(quotes.dtypes)["query_id"]).alias("query_id"), "shard_id").filter(F.lit(not asked.isEmpty())))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def find_quotes(spark: SparkSession, path: str, quotes: DataFrame) -> DataFrame:
+    """``query_id, document_id, page_number``: the first page of the snapshot, in order, that holds a quote; shards whose filters rule every quote out aren't read."""
+    from paperloom.operators import retrieval
+
+    wanted = kept(shards_for_quotes(spark.read.parquet(f"{path}/manifest"), quotes).select("shard_id").distinct(), "quote-shards")
+    return retrieval.exact_quotes(_pages(load_shards(spark, path, wanted)), quotes)
+
+
+def _pages(chunks: DataFrame) -> DataFrame:
+    """``document_id, page_number, raw_text``: each page's chunks in order."""
+    place = "chunk_index" if "chunk_index" in chunks.columns else "chunk_id"
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place, "text"))), lambda c: c["text"]), "\n")  # a page's chunks
+    return chunks.groupBy("document_id", "page_number").agg(joined.alias("raw_text"))
+
+
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 8, least: float = 0.12, per_document: int = 4, vectors: DataFrame | None = None, means: DataFrame | None = None, query_vectors: DataFrame | None = None, exhaustive: bool = False) -> DataFrame:
     """Top chunks of each query from its best shards alone: three at first, two more while its best score is weak, nine at most (all if ``exhaustive``).
 
     Scores: 0.42 x coverage, 0.85 if the chunk holds the query, 0.5 x its cosine where ``vectors(chunk_id, provider, vector)`` and
@@ -224,6 +336,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 8, least
     from paperloom.operators import retrieval
 
     most = (1 << 31) - 1 if exhaustive else MOST_READS
+    buckets = layout(spark, path).first()["buckets"]
     shards = spark.read.parquet(f"{path}/manifest")
     ranked = rank_shards(shards, queries, means, query_vectors).filter(F.col("rank") <= most)
     ranked = kept(ranked.withColumn("bucket", F.pmod(F.xxhash64("shard_id"), F.lit(buckets)).cast("int")), "ranked")
@@ -270,15 +383,11 @@ class SnapshotProvider:
         return search(self.spark, self.path, queries, k, **options)
 
     def pages(self) -> DataFrame:
-        """``document_id, page_number, raw_text``: each page's chunks in order."""
-        rows = load_shards(self.spark, self.path)
-        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))), lambda c: c["text"]), "\n")  # a page's chunks
-        return rows.groupBy("document_id", "page_number").agg(joined.alias("raw_text"))
+        """``document_id, page_number, raw_text`` of all pages."""
+        return _pages(load_shards(self.spark, self.path))
 
     def lookup_quotes(self, quotes: DataFrame) -> DataFrame:
-        from paperloom.operators import retrieval
-
-        return retrieval.exact_quotes(self.pages(), quotes)
+        return find_quotes(self.spark, self.path, quotes)
 
 
 def read_proof(observations: DataFrame) -> DataFrame:

@@ -370,3 +370,161 @@ def test_query_equals_sql(spark, duck, name):
     want = [dict(zip(names, r)) for r in cur.fetchall()]
     key = lambda r: repr(sorted((k, plain(v)) for k, v in r.items()))
     assert sorted(names) == sorted(df.columns) and sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_containment_of_queries_of_any_length(spark):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("ab c,é") for _ in range(rng.randint(0, 40))) for _ in range(80)] + ["", "🎈 ab", None]
+    asked = sorted({t[i : i + n] for t in texts[:30] if t for n in (1, 2, 3, 4, 9, 25) for i in (0, 3) if t[i : i + n]}) + ["zz", "no such words here", "", "🎈"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    found = retrieval.contains_pairs(chunks, queries)
+    normal = lambda t: " ".join(t.lower().split())
+    want = {(i, j) for i, q in enumerate(asked) for j, t in enumerate(texts) if t and normal(q) and normal(q) in normal(t)}
+    assert {tuple(r) for r in found.select("query_id", "chunk_id").collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def brute_fuzzy(pages, quote):
+    """The best page by distances over whole pages."""
+    split = lambda t: [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()]
+    q, best = [w for w in split(quote) if len(w) > 1], None
+    if len(q) < 3:
+        return None
+    for d, t in pages:
+        p = split(t)
+        if not p:
+            continue
+        numbers = {w: i for i, w in enumerate(dict.fromkeys(q + p))}
+        edits, start, end = retrieval.span_distance(np.array([numbers[w] for w in q]), np.array([numbers[w] for w in p]))
+        score = 1 - edits / max(len(q), end - start) if end > start else 0
+        if score >= 0.82 and (best is None or score > best[1] + 1e-12):
+            best = (d, score)
+    return best
+
+
+def test_fuzzy_quotes_equal_whole_pages(spark):
+    """Quotes of 3 to 200 tokens with as many edits as they may have or one more, on pages up to 60,000 tokens."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [[rng.choice(vocabulary) for _ in range(n)] for n in (3, 10, 50, 400, 400, 60_000)]
+    texts.append(texts[3][:200] + texts[4][:200])
+    quotes = []
+    for n in (3, 4, 5, 7, 10, 14, 30, 64, 65, 200):
+        for more in (-2, -1, 0, 1):
+            source = rng.choice([t for t in texts if len(t) >= n])
+            at = rng.randrange(len(source) - n + 1)
+            q = source[at : at + n]
+            for _ in range(max(0, int(n * 0.18 / 0.82 + 1e-9) + more)):
+                i, kind = rng.randrange(len(q)), rng.choice("rid")
+                q[i : i + 1] = {"r": ["other"], "i": [q[i], "more"], "d": []}[kind] if len(q) > 1 else q
+            quotes.append(" ".join(q))
+    pages = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([(i, 1, t) for i, t in pages], "document_id long, page_number int, raw_text string")
+    asked = spark.createDataFrame(list(enumerate(quotes)), "query_id long, query string")
+    got = {r["query_id"]: (r["document_id"], round(r["score"], 9)) for r in retrieval.fuzzy_quotes(table, asked).collect()}
+    want = {i: (b[0], round(b[1], 9)) for i, q in enumerate(quotes) if (b := brute_fuzzy(pages, q))}
+    assert got == want and len(want) > 8
+
+
+def test_selection_equals_a_walk_of_everything(spark):
+    rng = random.Random(31)
+    rows = [(i, rng.randrange(6), rng.randrange(2), " ".join(rng.choice("alpha beta gamma delta omega".split()) for _ in range(3))) for i in range(120)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, page_number int, text string")
+    scores = [(q, i, round(rng.random(), 1)) for q in range(5) for i in range(120) if rng.random() < (0.1 if q == 4 else 0.9)]
+    scored = spark.createDataFrame(scores, "query_id long, chunk_id long, score double")
+    want = []
+    for q in range(5):
+        mine = sorted(((s, c) for k, c, s in scores if k == q), key=lambda x: (-x[0], x[1]))
+        floor, chosen = max(0.16, 0.22 * mine[0][0]), []
+        for s, c in mine:
+            _, d, p, text = rows[c]
+            same = [x for x in chosen if x[0] == d]
+            words = set(text.split())
+            if s < floor or len(chosen) >= 8 or len(same) >= 4 or sum(x[1] == p for x in same) >= 2 or any(len(words & w) / len(words | w) >= 0.86 for _, _, w in same):
+                continue
+            chosen.append((d, p, words))
+            want.append((q, c, d, p, s, len(chosen)))
+    for batch in (1, 3, 8, 500):
+        got = retrieval.select_diverse(scored, chunks, batch=batch)
+        assert sorted(map(tuple, got.select("query_id", "chunk_id", "document_id", "page_number", "score", "rank").collect())) == want
+
+
+def test_quotes_go_on_to_the_snapshot(spark, tmp_path):
+    words = [f"word{i}" for i in range(200_000)]
+    rng = random.Random(41)
+    texts = [" ".join(rng.choice(words) for _ in range(3000)) for _ in range(40)]
+    rows = spark.createDataFrame([("o", i, 10 * i, 1, t) for i, t in enumerate(texts)], "owner string, document_id long, chunk_id long, page_number int, text string")
+    path = f"file://{tmp_path}/snap"
+    snapshot.write(snapshot.assign_shards(rows, snapshot.LEAST_BYTES), path, buckets=16)
+    kept = snapshot.SnapshotProvider(spark, path)
+    local = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts[:10])], "document_id long, page_number int, raw_text string")
+    cut = lambda i, a, n: texts[i].split()[a : a + n]
+    misquoted = cut(4, 100, 30)
+    misquoted[7] = misquoted[19] = "another"
+    asked = [(1, " ".join(cut(3, 50, 20))), (2, " ".join(misquoted)), (3, " ".join(cut(33, 700, 12))), (4, "nothing like this exists there"), (5, " ".join(cut(25, 10, 2)))]
+    quotes = spark.createDataFrame(asked, "query_id long, query string")
+    got = {r["query_id"]: (r["document_id"], r["method"]) for r in retrieval.quote_lookup(local, quotes, kept).collect()}
+    assert got == {1: (3, "exact"), 2: (4, "fuzzy"), 3: (33, "snapshot"), 5: (25, "snapshot")}
+    shards = spark.read.parquet(f"{path}/manifest")
+    passed = {(r["query_id"], r["shard_id"]) for r in snapshot.shards_for_quotes(shards, quotes).collect()}
+    held = {(q, r["shard_id"]) for r in spark.read.parquet(f"{path}/chunks").collect() for q, t in asked if t in r["text"]}
+    assert held <= passed and len(passed) < len(held) + 5 < 5 * shards.count()
+    one = snapshot.load_shards(spark, path, shards.filter("shard_id = 'o:00000003'"))
+    assert one.select(F.input_file_name()).distinct().count() == 1 < len(glob.glob(f"{tmp_path}/snap/chunks/*/*.parquet"))
+    assert files_read(one) == 1
+
+
+
+
+def files_read(df):
+    """How many files the scan of a table in buckets opened."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            return walk(node.plan())
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            found.append(node.metrics().apply("numFiles").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    return max(found)
+
+
+def test_merged_search_tolerates_a_lost_pool(spark):
+    columns = "query_id long, chunk_id long, document_id long, page_number int, content_hash string, text string, score double"
+    local = spark.createDataFrame([(1, 1, 1, 1, "a", "x", 0.5), (1, 2, 2, 1, "b", "y", 0.4)], columns)
+    remote = spark.createDataFrame([(1, 11, 1, 1, "c", "z", 0.9), (1, 12, 9, 1, "b", "y", 0.8), (1, 13, 9, 1, "d", "w", 0.45)], columns)
+    served = local.select("document_id")
+    got = retrieval.merged_search(local, lambda: remote, served)
+    assert [(r["chunk_id"], r["rank"]) for r in got.orderBy("rank").collect()] == [(12, 1), (1, 2), (13, 3)]
+    lost = retrieval.merged_search(local, lambda: spark.read.parquet("file:///no/such/snapshot"), served)
+    assert [r["chunk_id"] for r in lost.orderBy("rank").collect()] == [1, 2]
+
+
+def test_snapshot_stores_its_layout(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "o", 1, i, f"words about topic{i} " + "filler " * 3000) for i in range(20)], "document_id long, owner string, page_number int, chunk_id long, text string")
+    sharded = snapshot.assign_shards(docs, snapshot.LEAST_BYTES)
+    names = docs.select("document_id", F.concat(F.lit("file"), "document_id").alias("source"), F.lit(None).cast("string").alias("display_name"), F.concat(F.lit("The filler of "), "document_id").alias("title"), F.array(F.lit("alias one"), F.lit("aliastwo")).alias("aliases"))
+    unit = docs.select("chunk_id", F.lit("p").alias("provider"), F.array(F.lit(1.0), F.col("chunk_id").cast("double")).alias("vector"))
+    path = f"file://{tmp_path}/snap"
+    snapshot.write(sharded, path, buckets=16, names=names, vectors=unit)
+    assert snapshot.layout(spark, path).first().asDict() == {"documents": 20, "pages": 20, "chunks": 20, "bytes": docs.agg(F.sum(F.octet_length("text"))).first()[0], "buckets": 16}
+    asked = spark.createDataFrame([(1, "topic7"), (2, "file13")], "query_id long, query string")
+    got = {r["query_id"]: r["document_id"] for r in snapshot.search(spark, path, asked, k=1).collect()}
+    assert got[1] == 7
+    shards = spark.read.parquet(f"{path}/manifest")
+    first = shards.orderBy("shard_id").first()
+    of_first = [r["document_id"] for r in sharded.filter("shard_id = 'o:00000000'").collect()]
+    assert first["byte_offset"] == 0 and sorted(first["sources"]) == sorted(f"file{i}" for i in of_first)
+    assert first["keywords"][0] == "filler" and set(first["keywords"][1:]) >= {"aliastwo", f"file{of_first[0]}"}
+    ranked = snapshot.rank_shards(shards, asked).filter("query_id = 2 AND rank = 1").first()
+    assert ranked["shard_id"] == sharded.filter("document_id = 13").first()["shard_id"]
+    assert snapshot.centroids_of(shards).count() == shards.count()
