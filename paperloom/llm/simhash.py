@@ -19,8 +19,11 @@ Rows are first reduced to distinct fingerprints, so exact copies never meet in a
 anchor. At an anchor with n fingerprints, pairs are compared up to a few hundred;
 beyond, each probes the sorted cell with the 64-bit patterns of at most two bits, work in
 proportion to n. An anchor emits the chain that connects what it has linked, under
-n rows, never all pairs. (Wide: of each member the pairs with its ``NEAREST``, then with its nearest of other components.) Chains are joined into components by minimum labels,
-written to a scratch table in each round.
+n rows, never all pairs. Chains are joined into components by minimum labels, written to a scratch table in each round.
+
+Wide: of each member the pairs with its ``NEAREST`` are tried, then with its nearest of other components. One that had more of
+those is crowded, as pages of one template are, and all links between crowded ones of different components are found by an
+exact join of their sets of shingles (:func:`crowd_links`). So no candidate is left untried for want of a place.
 
 Defined results: null text counts as empty, a text without words has fingerprint
 zero, which links like any other; long texts are read whole; a bit that is set in
@@ -261,9 +264,14 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def _nearest(cell: np.ndarray, label: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of a cell with their nearest ones of another label within ``distance``. Where one label has most members, the others seek alone."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _nearest(cell: np.ndarray, label: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of members of a cell with their nearest ones of another label within ``distance``, and the members whose pairs may not all be there.
+
+    Where one label has most members, the others seek alone.
+    """
+    a, b, crowded = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(cell), bool)
+    if len(cell) > SLICE and len(np.unique(label)) > 1:
+        crowded[:] = True
     for start in range(0, len(cell), SLICE):
         some, own = cell[start : start + SLICE], label[start : start + SLICE]
         names, sizes = np.unique(own, return_counts=True)
@@ -276,17 +284,22 @@ def _nearest(cell: np.ndarray, label: np.ndarray, distance: int) -> tuple[np.nda
             who = seekers[at : at + 64]
             apart = _apart(some[who, None], some[None])
             apart[own[who, None] == own[None]] = 1 << 30
+            within = apart <= distance
+            full = within.sum(1) > most
+            crowded[start + who[full]] = True
+            crowded[start : start + len(some)] |= within[full].any(0)
             near = np.argpartition(apart, most - 1, axis=1)[:, :most]
             i, j = np.nonzero(np.take_along_axis(apart, near, 1) <= distance)
             a.append(start + who[i])
             b.append(start + near[i, j])
     one, other = np.concatenate(a), np.concatenate(b)
     codes = np.unique(np.minimum(one, other) * len(cell) + np.maximum(one, other))
-    return codes // len(cell), codes % len(cell)
+    return codes // len(cell), codes % len(cell), np.flatnonzero(crowded)
 
 
-def wide_links(fps: DataFrame, bits: int, distance: int, sets: int = 1) -> DataFrame:
-    """``a, b``: pairs among distinct binary ``fp`` of different ``label`` that share an anchor and differ in at most ``distance`` bits.
+def wide_links(fps: DataFrame, bits: int, distance: int, sets: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: pairs among distinct binary ``fp`` of different ``label`` that share an anchor and differ in at most ``distance`` bits;
+    and the crowded ``fp``: a pair that isn't among the first is one of two crowded ones.
 
     Of each fingerprint's pairs the ``NEAREST`` closest are kept, and those that its partners keep. Anchors are those of the bits
     in ``sets`` orders, one after the other; the shuffle files of each are removed at once.
@@ -301,16 +314,21 @@ def wide_links(fps: DataFrame, bits: int, distance: int, sets: int = 1) -> DataF
     return _closest(functools.reduce(DataFrame.unionByName, found).distinct())
 
 
-def _closest(pairs: DataFrame) -> DataFrame:
-    """``a, b`` of ``a, b, apart``: those among the ``NEAREST`` of either end. Spark trims each end's pairs map-side."""
-    ends = pairs.select("apart", F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))).alias("e"))
+def _closest(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``a, b, apart``: the pairs ``a, b`` among the ``NEAREST`` of either end, and the ``fp`` that had more or whose pairs with itself mark
+    it as crowded. Spark trims each end's pairs map-side."""
+    met = pairs.filter("a <> b")
+    ends = met.select("apart", F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))).alias("e"))
     order = Window.partitionBy("own").orderBy("apart", "other")
-    kept = ends.select("e.own", "e.other", "apart").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= NEAREST)
-    return kept.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
+    ranked = ends.select("e.own", "e.other", "apart").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= NEAREST + 1)
+    ranked = materialize(ranked.select("own", "other", "r"), "nearest")
+    kept = ranked.filter(F.col("r") <= NEAREST).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
+    crowded = ranked.filter(F.col("r") > NEAREST).select(F.col("own").alias("fp")).unionByName(pairs.filter("a = b").select(F.col("a").alias("fp"))).distinct()
+    return kept, crowded
 
 
 def _wide_links(fps: DataFrame, bits: int, distance: int, turn: int) -> DataFrame:
-    """``a, b, apart``: the pairs by the anchors of one order of the bits: their own if ``turn`` is 0."""
+    """``a, b, apart``: the pairs by the anchors of one order of the bits (their own if ``turn`` is 0); a crowded one is a pair with itself."""
     size, low = bits // 64, np.uint64((1 << 31) - 1)
     order = np.random.default_rng(turn).permutation(bits) if turn else np.arange(bits)
 
@@ -338,9 +356,9 @@ def _wide_links(fps: DataFrame, bits: int, distance: int, turn: int) -> DataFram
             b.append(i + step)
         for at in np.flatnonzero(sizes > NEAREST):
             cell = slice(starts[at], starts[at] + sizes[at])
-            i, j = _nearest(fp[cell], label[cell], distance)
-            a.append(starts[at] + i)
-            b.append(starts[at] + j)
+            i, j, crowded = _nearest(fp[cell], label[cell], distance)
+            a += [starts[at] + i, starts[at] + crowded]
+            b += [starts[at] + j, starts[at] + crowded]
         one, other = fp[np.concatenate(a)], fp[np.concatenate(b)]
         return pa.RecordBatch.from_arrays([_binary(one), _binary(other), pa.array(_apart(one, other).astype(np.int32))], names=["a", "b", "apart"])
 
@@ -359,20 +377,65 @@ def similar_links(nodes: DataFrame, docs: DataFrame, width: int, bits: int, dist
     """``a, b``: links among the ``fp`` of ``nodes(fp, least)``: candidates by anchors, confirmed by the texts' shingles where a ``similarity`` is given.
 
     First each fingerprint's nearest candidates are tried. Those that link make components, and in a second round each one's
-    nearest candidates of other components are.
+    nearest candidates of other components are. Those that had more of them are tried in full by :func:`crowd_links`.
     """
     confirm = lambda edges: edges if similarity is None else materialize(confirmed(materialize(edges, "candidates"), nodes, docs, width, similarity, text), "links")
-    first = confirm(wide_links(nodes.select("fp", F.xxhash64("fp").alias("label")), bits, distance, sets))
-    parts = components(nodes.select(F.col("fp").alias("node")), first)
-    named = materialize(parts.select(F.col("node").alias("fp"), F.xxhash64("component").alias("label")), "labels")
-    return first.unionByName(confirm(wide_links(named, bits, distance, sets)))
+    first = confirm(wide_links(nodes.select("fp", F.xxhash64("fp").alias("label")), bits, distance, sets)[0])
+    pairs, crowded = wide_links(labels(nodes, first), bits, distance, sets)
+    found = first.unionByName(confirm(pairs))
+    if similarity is None:
+        return found
+    return found.unionByName(crowd_links(materialize(crowded, "crowded"), nodes, docs, found, width, similarity, text))
 
 
-def confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float, text: str = "text") -> DataFrame:
-    """The ``edges`` whose texts' sets of distinct shingles have a Jaccard similarity of ``similarity`` at least.
+def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``fp, label`` of all ``nodes``: a number for their component under ``edges(a, b)``."""
+    parts = components(nodes.select(F.col("fp").alias("node")), edges)
+    return materialize(parts.select(F.col("node").alias("fp"), F.xxhash64("component").alias("label")), "labels")
 
-    ``nodes(fp, least)`` names a row of ``docs`` for each fingerprint; only texts that an edge names are read into sets.
+
+def crowd_links(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, found: DataFrame, width: int, similarity: float, text: str = "text") -> DataFrame:
+    """``a, b``: links between components of ``found`` among the fingerprints of ``crowd(fp)``, all of them: an exact join of their sets of shingles.
+
+    A set's shingles are ordered by how many sets of the crowd hold them, rarest first, so what a template puts into all of
+    them comes last. Two sets of sizes m and n that are similar enough share s / (1 + s) x (m + n) shingles, so the first that they
+    share leaves as many from it on in either; sets meet by an equi join on the shingles that may be such a first one, where both places
+    and sizes allow it. Shingles of one set or one component meet nobody. Two sets of a component stand for it at a shingle in a
+    first round; all do in the second, when such components have become one.
     """
+    if crowd.isEmpty():
+        return found.limit(0)
+    sets = shingle_sets(crowd, nodes, docs, width, text)
+    each = sets.select("fp", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    held = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-shingles")
+    shared = each.join(held, "h")
+    by_set = Window.partitionBy("fp")
+    place = F.col("n") - F.count(F.lit(1)).over(by_set) + F.row_number().over(by_set.orderBy("df", "h")) - 1  # after those of no other set
+    first = shared.select("fp", "n", "h", place.alias("i")).filter(F.col("n") - F.col("i") + 1e-6 >= similarity * F.col("n"))
+    first = materialize(first, "first-shingles")
+    out = []
+    for standing in (2, None):
+        named = first.join(labels(nodes, functools.reduce(DataFrame.unionByName, out, found)), "fp")
+        if standing:
+            named = named.withColumn("r", F.row_number().over(Window.partitionBy("h", "label").orderBy("i", "fp"))).filter(F.col("r") <= standing).drop("r")
+        mixed = named.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
+        named = materialize(named.join(mixed, "h", "left_semi"), "mixed-shingles")
+        x, y = (named.select("h", *[F.col(c).alias(c + end) for c in ("fp", "n", "i", "label")]) for end in ("_x", "_y"))
+        fits = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y")) + 1e-6 >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y"))
+        pairs = x.join(y, "h").filter((F.col("label_x") < F.col("label_y")) & fits)
+        pairs = pairs.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b")).distinct()
+        out.append(materialize(similar_pairs(materialize(pairs, "crowd-pairs"), sets, similarity), "crowd-links"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float, text: str = "text") -> DataFrame:
+    """The ``edges`` whose texts' sets of distinct shingles have a Jaccard similarity of ``similarity`` at least."""
+    linked = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    return similar_pairs(edges, shingle_sets(linked, nodes, docs, width, text), similarity)
+
+
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, text: str = "text") -> DataFrame:
+    """``fp, shingles``: hashes of the distinct shingles of the text of each ``wanted(fp)``; ``nodes(fp, least)`` names a row of ``docs`` for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,11 +445,14 @@ def confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, s
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([some.column("fp"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["fp", "shingles"])
 
-    linked = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    named = nodes.join(linked, "fp", "left_semi").select("fp", F.col("least.row.file").alias("f"), F.col("least.row.pos").alias("p"))
+    named = nodes.join(wanted, "fp", "left_semi").select("fp", F.col("least.row.file").alias("f"), F.col("least.row.pos").alias("p"))
     rows = docs.select(row_id(docs).alias("row"), docs[text].cast("string").cast("binary").alias("body"))
     texts = rows.join(named, (F.col("row.file") == F.col("f")) & (F.col("row.pos") == F.col("p"))).select("fp", "body")
-    sets = materialize(texts.mapInArrow(run, "fp binary, shingles array<bigint>"), "shingles")
+    return materialize(texts.mapInArrow(run, "fp binary, shingles array<bigint>"), "shingles")
+
+
+def similar_pairs(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``edges`` whose ``sets(fp, shingles)`` have a Jaccard similarity of ``similarity`` at least."""
     pairs = edges.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b")), "b")
     counted = pairs.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
     return counted.filter(F.col("both") + 1e-6 >= similarity * (F.col("sizes") - F.col("both"))).select("a", "b")
