@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import shuffle_partitions
 
 EXACT, SKETCH = 4, 64
+#: Text of a range of ids, about: what one task sorts.
+RANGE_BYTES = 4 << 30
 _LOW56, _TWO32 = (1 << 56) - 1, 1 << 32
 
 
@@ -69,8 +71,10 @@ def fingerprint(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc
     sketch = wide.groupBy(*keys).agg(*_sketch_sums())
     lanes = rows.select(*keys, exact_lanes("fp_body").alias("lanes"))
     exact = lanes.groupBy(*keys).agg(*[F.pmod(F.sum(F.col("lanes")[i].cast("decimal(38,0)")), F.lit(1 << 56)).cast("long").alias(f"e{i}") for i in range(EXACT)])
-    joined = sketch.join(exact, list(keys)) if keys else sketch.crossJoin(exact)
-    out = joined.select(*keys, F.array(*[f"e{i}" for i in range(EXACT)]).alias("exact"), F.array(*[f"s{j}" for j in range(SKETCH)]).alias("sketch"))
+    # the parts of one key are put together by one more sum of two rows, so that null keys meet too
+    names = [f"s{j}" for j in range(SKETCH)] + [f"e{i}" for i in range(EXACT)]
+    both = sketch.unionByName(exact, allowMissingColumns=True).groupBy(*keys).agg(*[F.max(n).alias(n) for n in names])
+    out = both.select(*keys, F.array(*[f"e{i}" for i in range(EXACT)]).alias("exact"), F.array(*[f"s{j}" for j in range(SKETCH)]).alias("sketch"))
     return out.withColumn("fingerprint", as_hex(F.col("exact"), F.col("sketch")))
 
 
@@ -82,11 +86,16 @@ def combine(exact: Column, sketch: Column, more_exact: Column, more_sketch: Colu
     )
 
 
+def _ranges_of(rows: DataFrame) -> int:
+    """How many ranges hold ``RANGE_BYTES`` of ``text`` each."""
+    return -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
+
+
 def _ranges(docs: DataFrame, buckets: int) -> tuple[list, object, bool]:
     """Ids that start a bucket, the smallest id, whether any id is null."""
     shares = ", ".join(str((i + 1) / buckets) for i in range(buckets - 1)) or "0.5"
     got = docs.agg(
-        F.expr(f"percentile_approx(doc_id, array({shares}), 20000)").alias("cuts"),
+        F.expr(f"percentile_approx(doc_id, array({shares}), {max(20_000, 4 * buckets)})").alias("cuts"),
         F.min("doc_id").alias("least"),
         F.coalesce(F.max(F.col("doc_id").isNull()), F.lit(False)).alias("nulls"),
     ).first()
@@ -97,12 +106,12 @@ def _ranges(docs: DataFrame, buckets: int) -> tuple[list, object, bool]:
 def edit_likeness(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int | None = None) -> DataFrame:
     """Fingerprints of each document and of its edited text, whose second half is the next document's start.
 
-    ``buckets`` ranges of ids (4,096 at most) are dealt out by one exchange; the
+    ``buckets`` ranges of ids, of about ``RANGE_BYTES`` of text each unless told, are dealt out by one exchange; the
     first document of a range is also sent to the range before, and the first of
     all to the last, so every row finds its successor in its own partition.
     """
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    buckets = buckets or min(4096, 8 * shuffle_partitions(docs.sparkSession))
+    buckets = buckets or max(8 * shuffle_partitions(docs.sparkSession), _ranges_of(rows))
     cuts, least, nulls = _ranges(rows, buckets)
     starts = F.array(*map(F.lit, cuts)).cast("array<bigint>")
     own = F.size(F.filter(starts, lambda c: F.coalesce(c <= F.col("doc_id"), F.lit(False)))) if cuts else F.lit(0)
