@@ -160,21 +160,6 @@ def rate_decisions(events: DataFrame, limit: int = 30, seconds: int = 60, key: s
     return ordered.mapInPandas(decide, f"event {kinds['event']}, key {kinds['key']}, allowed boolean")
 
 
-def overwrite(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path`` by ``df``, which may read it: written beside it first, then swapped by renames."""
-    spark = df.sparkSession
-    fresh, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    as_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = as_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(as_path(old), True)
-    if fs.exists(as_path(path)):
-        fs.rename(as_path(path), as_path(old))
-    fs.rename(as_path(fresh), as_path(path))
-    fs.delete(as_path(old), True)
-
-
 def call_audit(calls: DataFrame, run: str, signature: list[str], order: list[str], limit: int) -> DataFrame:
     """``calls`` (with ``known``: the tool exists) with ``status`` in call order: unknown, duplicate of a signature of the same run, over the run's limit, executed."""
     copy = F.row_number().over(Window.partitionBy(run, *signature).orderBy(*order))

@@ -11,6 +11,7 @@ from paperloom.plans.retrieval_queries import benchmark_queries
 from paperloom.plans.table_queries import _sharded
 from paperloom.session import scratch_path
 from paperloom.sources import snapshot
+from paperloom.sources.versions import VersionedCorpus
 from paperloom.streaming import streams
 
 
@@ -30,15 +31,24 @@ def s08_snapshot_reconstruct(spark, sf):
     return spark.read.parquet(f"{path}/chunks").select("document_id", "owner", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, t AS text
+           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(t, ' ') <> ''),
+n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
+SELECT 'doc_' || doc_id AS source, chunk_index::INTEGER AS chunk_index, md5(l.text) AS text_md5, NULL::VARCHAR AS reason FROM l JOIN n USING (doc_id) WHERE n <= 3000
+UNION ALL SELECT 'doc_' || doc_id, NULL, NULL, CASE WHEN n IS NULL THEN 'no_text' ELSE 'too_many_chunks' END FROM documents LEFT JOIN n USING (doc_id) WHERE n IS NULL OR n > 3000
+""")
 def t01_ingest_stream(spark, sf):
-    """All document files through the ingest stream, once."""
-    docs = read(spark, sf, "documents")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    """All document files through the ingest stream, then once more by a stream that knows nothing of the first: chunks of the corpus, and what was refused."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read(spark, sf, "documents").schema)
     out = scratch_path(spark, "stream")
-    streams.ingest_stream(spark, f"{sf}/documents*.parquet", schema, f"{out}/chunks", f"{out}/state").awaitTermination()
-    made = spark.read.parquet(f"{out}/chunks")
-    return made.select("document_id", "chunk_index", F.md5("text").alias("text_md5"))
+    corpus = VersionedCorpus(spark, f"{out}/corpus", buckets=8)
+    lines = lambda pages: ingest.paragraph_chunks(pages.select(F.col("document_id").alias("doc_id"), F.col("raw_text").alias("text")))
+    for turn in ("first", "again"):
+        streams.ingest_stream(spark, f"{sf}/documents*.parquet", schema, corpus, f"{out}/{turn}", f"{out}/rejected-{turn}", turn, lines).awaitTermination()
+    made = corpus.read("chunks").select("source", F.col("chunk_index").cast("int").alias("chunk_index"), F.md5("text").alias("text_md5"), F.lit(None).cast("string").alias("reason"))
+    refused = spark.read.parquet(f"{out}/rejected-first").select(F.concat(F.lit("doc_"), "document_id").alias("source"), F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("string").alias("text_md5"), "reason")
+    return made.unionByName(refused)
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[^ \t\n\x0b\f\r]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")

@@ -10,7 +10,9 @@ from paperloom.operators import answers, ingest, tables
 from paperloom.plans import sqltext as Q
 from paperloom.plans.registry import query, read
 from paperloom.plans.text_queries import ANSWER_SQL, CITED_SQL, PIPELINE, answer
+from paperloom.session import scratch_path
 from paperloom.sources import package, snapshot
+from paperloom.sources.versions import VersionedCorpus
 
 NOW = 946_684_800_000_000  # 2000-01-01 in microseconds
 
@@ -159,12 +161,25 @@ def m07_j04_needs_index(spark, sf):
 
 
 @query("""
-SELECT doc_id AS source, md5(CASE WHEN doc_id % 3 = 0 THEN lower(text) ELSE text END) AS text_md5 FROM documents
+WITH d AS (SELECT doc_id, source AS owner, CASE WHEN doc_id % 3 = 0 THEN lower(text) ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS revision FROM documents)
+SELECT doc_id AS source, owner, revision::INTEGER AS revision, md5(text) AS text_md5, len(list_filter(string_split(text, chr(10)), lambda t: trim(t, ' ') <> '')) AS n_chunks,
+       CASE WHEN revision = 1 AND doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_stories FROM d
 """)
 def m01_replace_documents(spark, sf):
-    old = read(spark, sf, "documents").select(F.col("doc_id").alias("source"), "text")
-    new = old.filter("source % 3 = 0").withColumn("text", F.lower("text"))
-    return tables.replace_documents(old, new).select("source", F.md5("text").alias("text_md5"))
+    """All documents in one commit, every third replaced in a second: the four tables, read from the corpus."""
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("source"), F.col("source").alias("owner"), "text")
+    corpus = VersionedCorpus(spark, scratch_path(spark, "corpus"), buckets=8)
+
+    def tables_of(rows, revision):
+        lines = ingest.paragraph_chunks(rows.select(F.col("source").alias("doc_id"), "text"))
+        told = rows.filter("source % 2 = 0") if revision == 1 else rows.limit(0)
+        return {"manifest": rows.select("source", "owner", F.lit(revision).alias("revision")), "pages": rows.select("source", "text"), "chunks": lines.select(F.col("document_id").alias("source"), "chunk_index", "text"), "stories": told.select("source", F.lit("a story").alias("title"))}
+
+    corpus.replace(tables_of(docs, 1))
+    corpus.replace(tables_of(docs.filter("source % 3 = 0").withColumn("text", F.lower("text")), 2))
+    count = lambda t, name: corpus.read(t).groupBy("source").agg(F.count(F.lit(1)).alias(name))
+    whole = corpus.read("manifest").join(corpus.read("pages"), "source").join(count("chunks", "n_chunks"), "source", "left").join(count("stories", "n_stories"), "source", "left")
+    return whole.select("source", "owner", "revision", F.md5("text").alias("text_md5"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_chunks", "n_stories")])
 
 
 @query("SELECT DISTINCT doc_id AS source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 OR toxic = 1)")

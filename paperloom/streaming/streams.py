@@ -2,22 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from paperloom.functions import text as T
 from paperloom.operators import ingest
+from paperloom.session import kept
+from paperloom.sources.versions import VersionedCorpus
 
 
-def ingest_stream(spark: SparkSession, source: str, schema: str, chunks_path: str, checkpoint: str):
-    """Document files that arrive at ``source`` become chunk rows at ``chunks_path``; all that is there now is processed, once."""
-    docs = spark.readStream.schema(schema).parquet(source)
-    rows = ingest.pages(docs)
-    cut = rows.select("document_id", "page_number", F.posexplode(ingest.chunk_text(F.col("raw_text"))).alias("chunk_index", "text"))
-    return cut.writeStream.format("parquet").option("path", chunks_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_batch(corpus: VersionedCorpus, docs: DataFrame, stream: str, batch: int, rejected: str, cut: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Take ``docs`` (doc_id, text, source as owner) into a corpus: one commit of all four tables, or none.
+
+    A document whose revision (the hash of its text) the corpus has is left alone; of a document's rows in one batch the greatest text counts. Those that
+    the guards refuse are written to ``rejected`` with their reason, in a folder of the batch. A batch that comes again changes nothing.
+    ``cut`` makes chunks (document_id, page_number, chunk_index, text) of pages.
+    """
+    best = F.max(F.struct("text", F.col("source").alias("owner"))).alias("d")
+    rows = docs.groupBy("doc_id").agg(best).select("doc_id", F.coalesce("d.text", F.lit("")).alias("text"), F.col("d.owner").alias("source"))
+    rows = rows.withColumn("revision", T.content_hash(F.col("text")))
+    known = corpus.read("manifest")
+    if known is not None:
+        rows = rows.join(known.select(F.col("document_id").alias("doc_id"), "revision"), ["doc_id", "revision"], "left_anti")
+    rows = kept(rows, "ingested")
+    pages = ingest.pages(rows)
+    chunks = kept((cut or ingest.chunks)(pages).select("document_id", "page_number", "chunk_index", "text"), "ingested-chunks")
+    counts = rows.join(chunks.groupBy(F.col("document_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("chunk_count")), "doc_id", "left")
+    told = counts.select("doc_id", "source", "revision", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.octet_length("text").alias("size"), F.length("text").alias("chars"))
+    reason = F.when(F.col("chars") > ingest.MAX_TEXT_CHARS, "text_too_long").otherwise(ingest.guard_reason(F.col("size"), F.lit(1), F.col("chunk_count")))
+    told = kept(told.withColumn("reason", reason), "guarded")
+    told.filter("reason IS NOT NULL").select(F.col("doc_id").alias("document_id"), "revision", "reason").write.mode("overwrite").parquet(f"{rejected}/batch={batch}")
+    good = told.filter("reason IS NULL").select(F.concat(F.lit("doc_"), "doc_id").alias("source"), F.col("source").alias("owner"), F.col("doc_id").alias("document_id"), "revision", "chunk_count", F.lit("indexed").alias("status"))
+    name = lambda df: good.select("document_id", "source").join(df, "document_id")
+    corpus.replace({
+        "manifest": good,
+        "pages": name(pages.select("document_id", "page_number", "total_pages", "raw_text", "content_hash")),
+        "chunks": name(chunks),
+        "stories": name(ingest.headings(pages)),
+    }, stream, batch)
+
+
+def ingest_stream(spark: SparkSession, source: str, schema: str, corpus: VersionedCorpus, checkpoint: str, rejected: str, stream: str = "ingest", cut: Callable[[DataFrame], DataFrame] | None = None, files: int | None = None):
+    """Document files that arrive at ``source`` become sources of a ``corpus``; all that is there now is processed, ``files`` at a time. Spark may
+    deliver a batch twice after a failure, which :func:`ingest_batch` makes harmless. ``stream`` names the checkpoint in the corpus."""
+    reader = spark.readStream.schema(schema)
+    docs = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
+    take = lambda rows, batch: ingest_batch(corpus, rows, stream, batch, rejected, cut)
+    return docs.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rate_stream(events: DataFrame, limit: int = 30, seconds: int = 60, expire: bool = True) -> DataFrame:

@@ -17,6 +17,7 @@ from paperloom.functions import vectors as V
 from paperloom.operators import answers, ingest, retrieval, tables
 from paperloom.plans import catalog
 from paperloom.sources import inventory, package, snapshot
+from paperloom.sources.versions import ConflictError, VersionedCorpus
 from paperloom.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -289,13 +290,61 @@ def test_package_round_trip(spark, tmp_path):
     assert {r["rule"] for r in package.violations(bad).collect()} == {"repeated_page", "repeated_source"}
 
 
-def test_replace_on_disk(spark, tmp_path):
-    path = f"file://{tmp_path}/t"
-    spark.range(10).selectExpr("id AS source", "'old' AS v").write.parquet(path)
-    new = spark.range(5, 12).selectExpr("id AS source", "'new' AS v")
-    tables.overwrite(tables.replace_documents(spark.read.parquet(path), new), path)
-    got = dict(spark.read.parquet(path).collect())
-    assert got == {i: "old" if i < 5 else "new" for i in range(12)}
+def four_tables(spark, sources, text, owner="o"):
+    rows = spark.createDataFrame([(s, owner, f"{text} {s}") for s in sources], "source string, owner string, text string")
+    return {"manifest": rows.select("source", "owner"), "pages": rows.select("source", "text"), "chunks": rows.select("source", "text", F.lit(0).alias("chunk_index")), "stories": rows.filter("source > 'd'").select("source", F.lit(text).alias("title"))}
+
+
+def seen(corpus, state=None):
+    return {t: sorted(map(tuple, corpus.read(t, state).collect())) for t in ("manifest", "pages", "chunks", "stories")}
+
+
+def test_corpus_commits_are_whole(spark, tmp_path):
+    corpus = VersionedCorpus(spark, f"file://{tmp_path}/c", buckets=4)
+    assert corpus.read("pages") is None
+    assert corpus.replace(four_tables(spark, "abcdef", "old")) == 1
+    before, state = seen(corpus), corpus.state()
+    assert len(before["pages"]) == 6 and len(before["stories"]) == 2
+
+    class Dies(VersionedCorpus):
+        """Writes its data, then dies before, or while, it writes the pointer."""
+
+        def _commit(self, made, before):
+            if self.torn:
+                (tmp_path / "c/commits/000000000002.json").write_text('{"commit": 2, "fol')
+            raise RuntimeError("lost")
+
+    for torn in (False, True):
+        dying = Dies(spark, f"file://{tmp_path}/c")
+        dying.torn = torn
+        with pytest.raises(RuntimeError):
+            dying.replace(four_tables(spark, "abz", "new"))
+        assert seen(corpus) == before
+    assert corpus.replace(four_tables(spark, "aez", "new")) == 3  # past the torn pointer
+    after = seen(corpus)
+    assert after["pages"] == sorted([(s, f"{'new' if s in 'aez' else 'old'} {s}") for s in "abcdefz"]) and after["stories"] == [("e", "new"), ("f", "old"), ("z", "new")]
+    assert seen(corpus, state) == before  # a reader that began earlier goes on with its state
+    assert corpus.clean(keep=1) >= 1 and seen(corpus) == after
+    assert VersionedCorpus(spark, f"file://{tmp_path}/c", buckets=99).state()["buckets"] == 4
+
+
+def test_corpus_refuses_conflicts(spark, tmp_path):
+    corpus = VersionedCorpus(spark, f"file://{tmp_path}/c", buckets=4)
+    corpus.replace(four_tables(spark, "ab", "old"))
+    before = seen(corpus)
+    twice = {t: df.unionByName(df) for t, df in four_tables(spark, "a", "new").items()}
+    orphan = four_tables(spark, "a", "new") | {"pages": four_tables(spark, "q", "new")["pages"]}
+    for bad in (four_tables(spark, "bc", "new", "somebody else"), twice, orphan):
+        with pytest.raises(ConflictError):
+            corpus.replace(bad)
+    state = corpus.state()
+    corpus.replace(four_tables(spark, "c", "new"))
+    with pytest.raises(ConflictError):
+        corpus._commit(dict(state), state)  # one that began before the last
+    assert corpus.replace(four_tables(spark, "d", "x"), stream="s", batch=4) == 3
+    assert corpus.replace(four_tables(spark, "d", "y"), stream="s", batch=4) == 3 == corpus.replace(four_tables(spark, "d", "y"), stream="s", batch=2)
+    assert corpus.read("pages").filter("source = 'd'").first()["text"] == "x d"
+    assert before["manifest"] == [("a", "o"), ("b", "o")]
 
 
 def test_rate_stream_equals_batch(spark, tmp_path):
@@ -310,11 +359,32 @@ def test_rate_stream_equals_batch(spark, tmp_path):
     assert got == want and len({a for _, a in want}) == 2
 
 
-def test_ingest_stream_equals_batch(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    streams.ingest_stream(spark, f"{SF}/documents*.parquet", docs.schema.simpleString()[7:-1].replace(":", " "), f"file://{tmp_path}/out", f"file://{tmp_path}/c").awaitTermination(180)
-    got = spark.read.parquet(f"file://{tmp_path}/out").select("document_id", "chunk_index", "text")
-    assert got.exceptAll(ingest.chunks(ingest.pages(docs)).select("document_id", "chunk_index", "text")).isEmpty() and got.count() > 0
+def test_ingest_stream_is_idempotent(spark, tmp_path):
+    """Batches delivered again, revisions that are known, documents that change and texts that are refused."""
+    schema = "doc_id long, text string, source string"
+    put = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{name}")
+    text = "One sentence here. Another sentence there. " * 60
+    put("a", [(1, text, "o"), (2, "12 - THE STORY OF OLD\nA text of its own.", "o"), (3, "", "p"), (5, "x\n" * 3100, "p")])
+    put("b", [(1, text, "o"), (4, text + "more", "p"), (4, "A less text.", "p")])
+    corpus, rejected = VersionedCorpus(spark, f"file://{tmp_path}/corpus", buckets=4), f"file://{tmp_path}/rejected"
+    lines = lambda pages: ingest.paragraph_chunks(pages.select(F.col("document_id").alias("doc_id"), F.col("raw_text").alias("text")))
+    run = lambda cut=None, name="ingest", state="c": streams.ingest_stream(spark, f"file://{tmp_path}/in/*", schema, corpus, f"file://{tmp_path}/{state}", rejected, name, cut, files=1).awaitTermination(180)
+    run(lines)
+    got, commits = seen(corpus), corpus.state()["commit"]
+    assert {r["source"]: r["chunk_count"] for r in corpus.read("manifest").collect()} == {"doc_1": 1, "doc_2": 2, "doc_4": 1}
+    assert {r["document_id"]: r["raw_text"] for r in corpus.read("pages").collect()} == {1: text, 2: "12 - THE STORY OF OLD\nA text of its own.", 4: text + "more"}
+    assert corpus.read("stories").first()["number"] == 12
+    assert {(r["document_id"], r["reason"]) for r in spark.read.parquet(rejected).collect()} == {(3, "no_text"), (5, "too_many_chunks")}
+    # the same batch again, as after a failure between the commit and the checkpoint
+    docs = spark.read.schema(schema).parquet(f"file://{tmp_path}/in/a")
+    streams.ingest_batch(corpus, docs.withColumn("text", F.lit("other")), "ingest", 0, rejected, lines)
+    assert seen(corpus) == got and corpus.state()["commit"] == commits
+    # another checkpoint: all revisions are known
+    run(lines, "again", "d")
+    assert seen(corpus) == got
+    put("c", [(2, "A text that has changed.", "o")])
+    run(lines)
+    assert corpus.read("pages").filter("document_id = 2").first()["raw_text"] == "A text that has changed." and corpus.read("stories").isEmpty()
 
 
 def test_revision_and_freshness_streams(spark, tmp_path):
