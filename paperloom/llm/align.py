@@ -22,6 +22,7 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -29,19 +30,25 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
-from tokenizers import Tokenizer
 
 from paperloom.llm import byte_level
-from paperloom.llm.common import materialize
+from paperloom.llm.common import materialize, small_batches
 from paperloom.llm.token_store import slices
-from paperloom.llm.tokens import MEMO_BYTES, _Ids, encoder
+from paperloom.llm.tokens import _Ids, encoder
 
 #: Pairs in the broadcast table, at most: 16 MB.
 FREQUENT = 1 << 20
+#: Texts are aligned in groups of about this many characters, and stretches remembered in so many bytes.
+GROUP_CHARS, PIECE_MEMO = 1_000_000, 24 << 20
+#: Rows that Spark gives a Python worker at a time.
+BATCH_ROWS = 1000
+#: Links that are looked up at a time.
+LOOKED_UP = 500_000
 #: Steps of a doubling of the count by which the least count of a frequent pair is chosen.
 STEPS = 8
 
@@ -55,7 +62,7 @@ class PieceEncoder:
     space that a non-space precedes or beside a line end. The stretches between are encoded once and remembered.
     """
 
-    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
+    def __init__(self, path: str, memo_bytes: int = PIECE_MEMO):
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         if any("▁" in n.lstrip("▁") or "\n" in n for n in names):
@@ -76,32 +83,46 @@ class PieceEncoder:
         self.held += sum(map(len, units)) + 200 * len(units) + 4 * int(sizes.sum())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the texts, each of which begins with the space that the library would add, and where each ends."""
+        """The ids of the texts, each of which begins with the space that the library would add, and where each ends.
+
+        Words after single spaces are found by Arrow and each is looked up once; texts with other spaces are cut by a pattern.
+        """
         if self.held > self.memo_bytes:
             self.forget()
-        units: list[str] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
-            units += _UNITS.findall(text)
-            ends[i + 1] = len(units)
+        lists = pc.split_pattern(pa.array([t[1:] for t in texts], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, of_word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        cuts = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+        uneven = np.add.reduceat(of_word == words.index(""), cuts[:-1]) > 0 if "" in words else np.zeros(len(texts), bool)
+        numbers = self._numbers([" " + w for w in words])[of_word]
+        if not uneven.any():
+            flat, at = self.ids.gather(numbers)
+            return flat, np.r_[0, at][cuts[1:]]
+        parts = [numbers[cuts[i] : cuts[i + 1]] if not odd else self._numbers(_UNITS.findall(texts[i])) for i, odd in enumerate(uneven)]
+        flat, at = self.ids.gather(np.concatenate(parts))
+        return flat, np.r_[0, at][np.cumsum([len(p) for p in parts])]
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        """The numbers of the units' lists of ids; new units are encoded."""
         numbers = np.fromiter(map(self.memo.get, units, repeat(0)), np.int64, len(units))
         missed = np.flatnonzero(numbers == 0)
-        names = [units[i] for i in missed.tolist()]
-        new = list(dict.fromkeys(names))
-        spaced, bare = [u for u in new if u[0] == " "], [u for u in new if u[0] != " "]
-        self._keep(spaced, self.model.encode([u[1:] for u in spaced]))
-        # a line end before keeps the library's own space away: two tokens, taken off again
-        self._keep(bare, [f[2:] for f in self.model.encode(["\n" + u for u in bare])])
-        numbers[missed] = [self.memo[u] for u in names]
-        flat, at = self.ids.gather(numbers)
-        return flat, np.r_[0, at][ends[1:]]
+        if len(missed):
+            names = [units[i] for i in missed.tolist()]
+            new = list(dict.fromkeys(names))
+            spaced, bare = [u for u in new if u[0] == " "], [u for u in new if u[0] != " "]
+            self._keep(spaced, self.model.encode([u[1:] for u in spaced]))
+            # a line end before keeps the library's own space away: two tokens, taken off again
+            self._keep(bare, [f[2:] for f in self.model.encode(["\n" + u for u in bare])])
+            numbers[missed] = [self.memo[u] for u in names]
+        return numbers
 
 
 class _Vocabularies:
     def __init__(self, a: str, b: str):
-        library = Tokenizer.from_file(a)
-        names = [library.id_to_token(i) for i in range(library.get_vocab_size())]
-        self.a_bytes = np.array([byte_level.read(n) for n in names], object)
+        with open(a, encoding="utf-8") as f:
+            form = json.load(f)
+        names = form["model"]["vocab"] | {t["content"]: t["id"] for t in form["added_tokens"]}
+        self.a_bytes = np.array([byte_level.read(n) for n in sorted(names, key=names.get)], object)
         self.b = PieceEncoder(b)
         self.b_bytes = self.b.bytes
         self.a_sizes, self.b_sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
@@ -124,15 +145,16 @@ def common_cuts(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray)
 
     Divide and conquer: each interval is cut at the common value nearest to its middle, then both halves are treated alike.
     """
-    found = [np.zeros(0, np.int64)]
-    while len(low):
+    common = np.zeros(len(a), bool)
+    while len(low):  # intervals in order, so that bisection goes forward through ``b``
         middle, cut = (low + high - 1) // 2, np.full(len(low), -1)
         todo, done, reach = np.arange(len(low)), 0, 1
         while len(todo):
             # places done to reach - 1 right and left of each middle, nearest first
-            at = middle[todo, None] + np.stack([np.arange(done, reach), -np.arange(done, reach)], 1).ravel()
+            step = np.stack([np.arange(done, reach), -np.arange(done, reach)], 1).ravel()[not done :]
+            at = middle[todo, None] + step
             inside = (at >= low[todo, None]) & (at < high[todo, None])
-            value = a[np.where(inside, at, 0)]
+            value = a[np.where(inside, at, middle[todo, None])]
             hit = inside & (b[np.minimum(np.searchsorted(b, value), len(b) - 1)] == value)
             got, first = hit.any(1), hit.argmax(1)
             cut[todo[got]] = at[np.flatnonzero(got), first[got]]
@@ -140,10 +162,10 @@ def common_cuts(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray)
             todo = todo[(middle[todo] + reach < high[todo]) | (middle[todo] - reach >= low[todo])]
             done, reach = reach, 2 * reach
         low, high, cut = (x[cut >= 0] for x in (low, high, cut))
-        found.append(cut)
-        low, high = np.r_[low, cut + 1], np.r_[cut, high]
+        common[cut] = True
+        low, high = np.stack([low, cut + 1], 1).ravel(), np.stack([cut, high], 1).ravel()
         low, high = low[low < high], high[low < high]
-    return np.sort(np.concatenate(found))
+    return np.flatnonzero(common)
 
 
 class Aligned(NamedTuple):
@@ -158,7 +180,11 @@ class Aligned(NamedTuple):
 
 
 def _same(bytes_of: np.ndarray, ids: np.ndarray, ends: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Which texts' tokens hold the text's bytes; most often all do, which one comparison tells if their sizes are right."""
     parts = bytes_of[ids].tolist()
+    sizes = np.r_[0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))][ends]
+    if np.array_equal(np.diff(sizes), np.fromiter(map(len, texts), np.int64, len(texts))) and b"".join(parts) == b"".join(texts):
+        return np.ones(len(texts), bool)
     return np.array([b"".join(parts[x:y]) == t for x, y, t in zip(ends, ends[1:], texts)], bool)
 
 
@@ -209,7 +235,7 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text", doc_id: str = "do
         row = TaskContext.get().partitionId() << 40
         with encoder(a, spaced) as coder:
             for batch in batches:
-                for x, y in slices(batch, "text"):
+                for x, y in slices(batch, "text", GROUP_CHARS):
                     part = batch.slice(x, y - x)
                     found = align_texts(part.column("text").to_pylist(), a, b, coder)
                     groups = written_groups(found, a, b)
@@ -248,7 +274,8 @@ def _least_count(pairs: DataFrame, frequent: int) -> tuple[float, bool]:
 def link_counts(docs: DataFrame, a: str, b: str, text: str = "text", doc_id: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of every text."""
     spark = docs.sparkSession
-    aligned = materialize(align(docs, a, b, text, doc_id), "aligned")
+    with small_batches(spark, BATCH_ROWS):
+        aligned = materialize(align(docs, a, b, text, doc_id), "aligned")
     pairs = pair_counts(aligned)
     step = F.floor(F.log2("c") * STEPS)
     least, rest = _least_count(pairs, frequent)
@@ -258,28 +285,35 @@ def link_counts(docs: DataFrame, a: str, b: str, text: str = "text", doc_id: str
     shared = spark.sparkContext.broadcast((code[order], c[order], best[order].astype(np.int64)))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, c, best = shared.value
         for batch in batches:
-            ends = batch.column("a").offsets.to_numpy().astype(np.int64)
-            ends = ends - ends[0]
-            own_a, own_b = (batch.column(x).flatten().to_numpy().astype(np.int64) for x in ("a", "b"))
-            distinct, at = np.unique((own_a << 32) + own_b, return_inverse=True)
-            place = np.minimum(np.searchsorted(code, distinct), max(len(code) - 1, 0))
-            known = code[place] == distinct if len(code) else np.zeros(len(distinct), bool)
-            sums = [np.r_[0, np.cumsum(np.where(known, x[place] if len(code) else 0, 0)[at])] for x in (best, c)]
-            totals = [pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums]
-            rare = ~known[at]
-            bounds = pa.array(np.r_[0, np.cumsum(rare)][ends].astype(np.int32))
-            left = [pa.ListArray.from_arrays(bounds, pa.array(x[rare].astype(np.int32))) for x in (own_a, own_b)]
-            n = pa.array(np.diff(ends))
-            cols = [*(batch.column(x) for x in ("row", "doc_id", "n_a", "n_b")), n, n, *totals, batch.column("groups_sha256"), *left]
-            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in told.split(", ")])
+            held = batch.column("a").offsets.to_numpy().astype(np.int64) // LOOKED_UP
+            cuts = np.r_[0, 1 + np.flatnonzero(np.diff(held[:-1])), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                if x < y:
+                    yield looked_up(batch.slice(x, y - x))
+
+    def looked_up(batch: pa.RecordBatch) -> pa.RecordBatch:
+        code, c, best = shared.value
+        ends = batch.column("a").offsets.to_numpy().astype(np.int64)
+        ends = ends - ends[0]
+        own_a, own_b = (batch.column(x).flatten().to_numpy() for x in ("a", "b"))
+        distinct, at = np.unique((own_a.astype(np.int64) << 32) + own_b, return_inverse=True)
+        place = np.minimum(np.searchsorted(code, distinct), max(len(code) - 1, 0))
+        known = code[place] == distinct if len(code) else np.zeros(len(distinct), bool)
+        sums = [np.r_[0, np.cumsum(np.where(known, x[place] if len(code) else 0, 0)[at])] for x in (best, c)]
+        totals = [pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums]
+        rare = ~known[at]
+        bounds = pa.array(np.r_[0, np.cumsum(rare)][ends].astype(np.int32))
+        left = [pa.ListArray.from_arrays(bounds, pa.array(x[rare])) for x in (own_a, own_b)]
+        n = pa.array(np.diff(ends))
+        cols = [*(batch.column(x) for x in ("row", "doc_id", "n_a", "n_b")), n, n, *totals, batch.column("groups_sha256"), *left]
+        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in told.split(", ")])
 
     told = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string, a array<int>, b array<int>"
-    found = aligned.mapInArrow(look_up, told)
+    with small_batches(spark, BATCH_ROWS):
+        found = materialize(aligned.mapInArrow(look_up, told), "looked-up")
     if not rest:
         return found.drop("row", "a", "b")
-    found = materialize(found, "looked-up")
     rare = found.select("row", F.inline(F.arrays_zip("a", "b"))).groupBy("row", "a", "b").agg(F.count("*").alias("n"))
     rare = rare.join(pairs.filter(step < F.lit(least)), ["a", "b"])
     more = rare.groupBy("row").agg(F.sum(F.col("n") * F.col("c")).alias("more_count"), F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("more_best"))

@@ -34,13 +34,13 @@ STORE = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids arr
 GROUP_CHARS = 2_000_000
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch with about ``GROUP_CHARS`` of text each."""
+def slices(batch: pa.RecordBatch, column: str, most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch with about ``most`` bytes of text each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0
     for i, n in enumerate(sizes):
         held += int(n)
-        if held >= GROUP_CHARS:
+        if held >= most:
             yield at, i + 1
             at, held = i + 1, 0
     if at < len(sizes):
