@@ -351,14 +351,15 @@ def _event_stream(spark, sf):
 def _drained(stream, spark, mode="append"):
     """All that a stream gives for the files that are there now, as a table."""
     out = scratch_path(spark, "stream")
-    stream.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    with streams.rocksdb_state(spark):
+        stream.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
 @query(SQL["w09_rate_decisions"])
 def t02_rate_stream(spark, sf):
     """The rate decisions of w09 over the events table as a stream."""
-    made = _drained(streams.rate_stream(_event_stream(spark, sf), limit=2, seconds=3600, expire=False), spark)
+    made = _drained(streams.rate_stream(_event_stream(spark, sf), limit=2, seconds=3600), spark)
     return made.select(F.col("event_id").alias("event"), F.col("user_id").alias("key"), "allowed")
 
 
@@ -377,3 +378,14 @@ def t04_freshness(spark, sf):
     rows = _event_stream(spark, sf).select(F.col("user_id").alias("owner"), F.col("ts").cast("timestamp").alias("observed_at"))
     closed = _drained(streams.freshness(rows), spark)
     return closed.select("owner", F.unix_micros("window.start").alias("start_micros"), F.unix_micros("last").alias("last_micros"), "n")
+
+
+@query("""
+WITH e AS (SELECT user_id AS owner, ts::TIMESTAMP AS seen, lead(ts::TIMESTAMP) OVER (PARTITION BY user_id ORDER BY ts::TIMESTAMP) AS next FROM events)
+SELECT owner, epoch_us(seen) AS last_micros FROM e
+WHERE (next IS NULL OR next > seen + INTERVAL '1 hour') AND seen + INTERVAL '1 hour' <= (SELECT date_trunc('milliseconds', max(ts::TIMESTAMP)) - INTERVAL '5 minutes' FROM events)
+""")
+def t04_silences(spark, sf):
+    """Every silence of an hour of a user of the events table, by timers."""
+    rows = _event_stream(spark, sf).select(F.col("user_id").alias("owner"), F.col("ts").cast("timestamp").alias("observed_at"))
+    return _drained(streams.silences(rows, minutes=60), spark)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from paperloom.functions import text as T
 from paperloom.operators import ingest
@@ -55,32 +56,111 @@ def ingest_stream(spark: SparkSession, source: str, schema: str, corpus: Version
     return docs.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rate_stream(events: DataFrame, limit: int = 30, seconds: int = 60, expire: bool = True) -> DataFrame:
-    """``event_id, user_id, allowed`` of a stream of events, with one window's end and count kept per user.
+@contextlib.contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started within keep their state in RocksDB, which state with timers needs."""
+    key, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, own)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-    State goes when its window has been over for as long again, by processing time. A stream over what is there now doesn't
-    end while states may expire; with ``expire`` off it does.
-    """
 
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if expire and state.hasTimedOut:
-            state.remove()
-            return
-        ends, count = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+def _micros(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[us]").astype("int64")
+
+
+class _Rates(StatefulProcessor):
+    """The end and count of a key's window; the state goes when the watermark passes the end."""
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.length = limit, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "ends bigint, count bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ends, count = self.window.get() if self.window.exists() else (0, 0)
+        before = ends
+        some = pd.concat(list(rows))
+        some = some.assign(at=_micros(some["at"])).sort_values(["at", "event_id"])
         out = []
-        for at in rows["at"]:
+        for at in some["at"].tolist():
             if at >= ends:
-                ends, count = at + seconds * 1_000_000, 0
+                ends, count = at + self.length, 0
             count += 1
-            out.append(count <= limit)
-        state.update((int(ends), int(count)))
-        if expire:
-            state.setTimeoutDuration(2000 * seconds)
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "allowed": out})
+            out.append(count <= self.limit)
+        if ends != before:
+            if before:
+                self.handle.deleteTimer(-(-before // 1000))
+            self.handle.registerTimer(-(-ends // 1000))
+        self.window.update((int(ends), int(count)))
+        yield pd.DataFrame({"event_id": some["event_id"], "user_id": key[0], "allowed": out})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.window.clear()
+        yield pd.DataFrame({"event_id": [], "user_id": [], "allowed": []}).astype({"event_id": "int64", "user_id": "int64", "allowed": bool})
+
+    def close(self) -> None:
+        pass
+
+
+def rate_stream(events: DataFrame, limit: int = 30, seconds: int = 60, delay: str = "10 minutes") -> DataFrame:
+    """``event_id, user_id, allowed`` of a stream of events, with one window's end and count kept per user.
+
+    A window's state goes by a timer when the watermark, ``delay`` behind the newest event, has passed its end. An event
+    behind the watermark is dropped by Spark. Start the stream within :func:`rocksdb_state`.
+    """
+    rows = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", delay)
+    return rows.groupBy("user_id").transformWithStateInPandas(_Rates(limit, seconds), "event_id bigint, user_id bigint, allowed boolean", "Append", "EventTime")
 
-    rows = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return rows.groupBy("user_id").applyInPandasWithState(decide, "event_id bigint, user_id bigint, allowed boolean", "ends bigint, count bigint", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
+
+class _Silences(StatefulProcessor):
+    """An owner's observations after which none is known for so long, each with a timer."""
+
+    def __init__(self, length: int):
+        self.length = length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "at bigint")
+
+    def _timer(self, at: int) -> int:
+        return -(-(at + self.length) // 1000)  # the first millisecond at which the silence is over
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = {int(r[0]) for r in self.open.get()} if self.open.exists() else set()
+        times = sorted(held | {int(t) for part in rows for t in _micros(part["observed_at"]).tolist()})
+        # one that is followed within the time is nobody's last word
+        now = {a for a, b in zip(times, [*times[1:], None]) if b is None or b > a + self.length}
+        timers = {self._timer(at) for at in now}
+        for at in held - now:
+            if self._timer(at) not in timers:
+                self.handle.deleteTimer(self._timer(at))
+        for at in now - held:
+            self.handle.registerTimer(self._timer(at))
+        self.open.put([(at,) for at in sorted(now)])
+        yield _stale([], key[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        held = [int(r[0]) for r in self.open.get()] if self.open.exists() else []
+        over, rest = [at for at in held if self._timer(at) <= fired], [at for at in held if self._timer(at) > fired]
+        if rest:
+            self.open.put([(at,) for at in rest])
+        else:
+            self.open.clear()
+        yield _stale(over, key[0])
+
+    def close(self) -> None:
+        pass
+
+
+def _stale(times: list[int], owner) -> pd.DataFrame:
+    return pd.DataFrame({"owner": pd.Series([owner] * len(times), dtype=object), "last_micros": pd.Series(times, dtype="int64")})
 
 
 def new_revisions(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -88,6 +168,18 @@ def new_revisions(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(["source", "revision"])
 
 
+def silences(stream: DataFrame, minutes: int = 5, delay: str = "5 minutes") -> DataFrame:
+    """``owner, last_micros``: an owner is stale when ``minutes`` have gone by without an observation; a row for each such silence, by a timer.
+
+    It is sent when the watermark, ``delay`` behind the newest observation of anybody, has passed the silence's end, so observations may come in any order
+    within the delay, and batches don't matter. An owner that never returns gives one row and then has no state.
+    Start the stream within :func:`rocksdb_state`.
+    """
+    kind = dict(stream.dtypes)["owner"]
+    rows = stream.select("owner", "observed_at").withWatermark("observed_at", delay)
+    return rows.groupBy("owner").transformWithStateInPandas(_Silences(minutes * 60_000_000), f"owner {kind}, last_micros bigint", "Append", "EventTime")
+
+
 def freshness(stream: DataFrame, minutes: int = 5) -> DataFrame:
     """Observations per owner and window; an owner without one in the newest window is stale."""
     late = stream.withWatermark("observed_at", f"{minutes} minutes")

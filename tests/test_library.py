@@ -352,7 +352,8 @@ def test_rate_stream_equals_batch(spark, tmp_path):
     source = f"file://{tmp_path}/in"
     events.write.parquet(source)
     stream = spark.readStream.schema(events.schema).parquet(source)
-    q = streams.rate_stream(stream, limit=2, seconds=3600, expire=False).writeStream.format("memory").queryName("rates").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    with streams.rocksdb_state(spark):
+        q = streams.rate_stream(stream, limit=2, seconds=3600).writeStream.format("memory").queryName("rates").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r["event_id"], r["allowed"]) for r in spark.table("rates").collect()}
     want = {(r["event"], r["allowed"]) for r in tables.rate_decisions(events, limit=2, seconds=3600).collect()}
@@ -598,3 +599,41 @@ def test_snapshot_stores_its_layout(spark, tmp_path):
     ranked = snapshot.rank_shards(shards, asked).filter("query_id = 2 AND rank = 1").first()
     assert ranked["shard_id"] == sharded.filter("document_id = 13").first()["shard_id"]
     assert snapshot.centroids_of(shards).count() == shards.count()
+
+
+def test_timers_for_late_expired_and_lost_keys(spark, tmp_path):
+    """Silences and rate windows over batches that come out of order, against a computation over all rows."""
+    minute = 60_000_000
+    batches = [
+        [("a", 0), ("b", 1), ("a", 9), ("c", 3)],  # minutes; a is silent between 0 and 9
+        [("a", 4), ("b", 14), ("d", 10)],  # a at 4 comes late, but within the delay: only 4 to 9 would be short of 5
+        [("a", 30), ("b", 31)],
+        [("late", 2), ("a", 62)],  # behind the watermark: dropped
+    ]
+    for i, rows in enumerate(batches):
+        made = spark.createDataFrame([(o, t * minute) for o, t in rows], "owner string, micros long")
+        made.select("owner", F.timestamp_micros("micros").alias("observed_at")).coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+        os.utime(glob.glob(f"{tmp_path}/in/{i}/*.parquet")[0], (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema("owner string, observed_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    with streams.rocksdb_state(spark):
+        streams.silences(stream, minutes=5, delay="10 minutes").writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(240)
+    got = sorted((r["owner"], r["last_micros"] // minute) for r in spark.read.schema("owner string, last_micros long").parquet(f"file://{tmp_path}/out").collect())
+    assert got == [("a", 9), ("a", 30), ("b", 1), ("b", 14), ("b", 31), ("c", 3), ("d", 10)]  # 62 is not over yet; 4 to 9 is no silence
+
+
+def test_rate_windows_expire(spark, tmp_path):
+    second = 1_000_000
+    batches = [[(1, 7, 1000), (2, 7, 1001), (3, 7, 1002)], [(4, 8, 1500)], [(9, 9, 1500)], [(5, 7, 1501), (6, 7, 1502), (7, 7, 1503), (8, 7, 1005)]]
+    for i, rows in enumerate(batches):
+        made = spark.createDataFrame([(e, u, t * second) for e, u, t in rows], "event_id long, user_id long, micros long")
+        made.select("event_id", "user_id", F.timestamp_micros("micros").alias("ts")).coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+        os.utime(glob.glob(f"{tmp_path}/in/{i}/*.parquet")[0], (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema("event_id long, user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    with streams.rocksdb_state(spark):
+        query = streams.rate_stream(stream, limit=2, seconds=60, delay="1 minute").writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination(240)
+    got = {r["event_id"]: r["allowed"] for r in spark.read.schema("event_id long, allowed boolean").parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 9: True, 5: True, 6: True, 7: False}  # event 8 is behind the watermark of the batch before
+    left = spark.read.format("statestore").option("path", f"file://{tmp_path}/state").option("stateVarName", "window").load()
+    assert {r["key"]["user_id"] for r in left.collect()} <= {7, 8, 9}  # of the first window of user 7 nothing is left
+    assert all(r["value"]["ends"] > 1500 * second for r in left.collect())
