@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import records as R
 from paperloom.functions import text as T
-from paperloom.operators import answers, ingest, tables
+from paperloom.operators import answers, canonical, ingest, tables
 from paperloom.plans import sqltext as Q
 from paperloom.plans.registry import query, read
 from paperloom.plans.text_queries import ANSWER_SQL, CITED_SQL, PIPELINE, answer
@@ -311,6 +311,18 @@ def g04_p27_citation_integrity(spark, sf):
     return read(spark, sf, "documents").select("doc_id", row.alias("r")).select("doc_id", "r.*")
 
 
+@query("""
+SELECT doc_id, sha256('{"id":' || doc_id || ',"m":[],"said":"null","z":{"a":[' || CASE WHEN n_chars % 4 = 0 THEN (n_chars // 4)::VARCHAR ELSE (n_chars / 4.0)::DOUBLE::VARCHAR END
+       || ',0,{"source":' || to_json(source) || '}],"b":' || to_json(text) || '}}') AS canonical_sha256 FROM documents
+""")
+def p27_canonical_json(spark, sf):
+    """Whole documents as nested JSON whose keys come in another order and whose numbers in another form."""
+    number = F.regexp_extract(F.to_json(F.struct((F.col("n_chars") / 4).alias("x"))), r":(.*)\}", 1)
+    body = F.concat(F.lit('{"z": {"b": '), F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1), F.lit(', "a": [ '), number, F.lit(", -0.0, "), F.to_json(F.struct("source")), F.lit(']}, "said": "null", "m": [ ], "id": '), "doc_id", F.lit("}"))
+    found = canonical.canonical_json(read(spark, sf, "documents").select("doc_id", body.alias("body")), "doc_id", "body")
+    return found.select("doc_id", F.sha2("canonical", 256).alias("canonical_sha256"))
+
+
 @query(f"""
 WITH c AS (SELECT doc_id AS claim_id, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE doc_id END AS document_id, CASE WHEN doc_id % 5 = 0 THEN 'never said so' ELSE substr(text, 5, 60) END AS excerpt,
            CASE WHEN doc_id % 3 = 0 THEN '0xff' ELSE '0X' || upper(sha256(text)) END AS page_hash FROM documents),
@@ -380,13 +392,22 @@ def s06_w05_snapshot_manifest(spark, sf):
 
 @query(f"""
 WITH RECURSIVE {_SHARD_SQL},
-t AS (SELECT g.source || ':' || lpad(shard::VARCHAR, 8, '0') AS shard_id, unnest({Q.tokens('text', Q.SHARD_STOPS)}) AS token FROM g JOIN documents USING (doc_id)),
-c AS (SELECT shard_id, token, count(*) AS n FROM t GROUP BY ALL),
+h AS (SELECT g.source || ':' || lpad(shard::VARCHAR, 8, '0') AS shard_id, doc_id, documents.source, lang, text FROM g JOIN documents USING (doc_id)),
+t AS (SELECT shard_id, unnest({Q.tokens('text', Q.SHARD_STOPS)}) AS token, 1 AS w FROM h
+      UNION ALL SELECT shard_id, unnest({Q.tokens('source', Q.SHARD_STOPS)}), 5 FROM h
+      UNION ALL SELECT shard_id, unnest({Q.tokens("'Paper number ' || doc_id", Q.SHARD_STOPS)}), 5 FROM h
+      UNION ALL SELECT shard_id, unnest({Q.tokens("array_to_string(list_slice(string_split(text, ' '), 2, 5), ' ')", Q.SHARD_STOPS)}), 4 FROM h
+      UNION ALL SELECT shard_id, unnest({Q.tokens("'lang' || lang", Q.SHARD_STOPS)}), 3 FROM h),
+c AS (SELECT shard_id, token, sum(w) AS n FROM t GROUP BY ALL),
 k AS (SELECT shard_id, token, row_number() OVER (PARTITION BY shard_id ORDER BY n DESC, token) AS r FROM c)
 SELECT shard_id, md5(string_agg(token, ' ' ORDER BY r)) AS keywords_md5 FROM k WHERE r <= 96 GROUP BY shard_id
 """)
 def a05_shard_keywords(spark, sf):
-    return snapshot.manifest(_sharded(spark, sf)).select("shard_id", F.md5(F.array_join("keywords", " ")).alias("keywords_md5"))
+    """Keywords by the texts and by the names of documents: source, display name, four words as a title, the language as an alias."""
+    docs = read(spark, sf, "documents").filter("text <> ''")
+    title = F.array_join(F.slice(F.split("text", " "), 2, 4), " ")
+    names = docs.select(F.col("doc_id").alias("document_id"), "source", F.concat(F.lit("Paper number "), "doc_id").alias("display_name"), title.alias("title"), F.array(F.concat(F.lit("lang"), "lang")).alias("aliases"))
+    return snapshot.manifest(_sharded(spark, sf), names=names).select("shard_id", F.md5(F.array_join("keywords", " ")).alias("keywords_md5"))
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import access
 from paperloom.functions import text as T
-from paperloom.operators import answers, ingest, retrieval, workspace
+from paperloom.operators import answers, canonical, ingest, retrieval, workspace
 from paperloom.plans import sqltext as Q
 from paperloom.plans.registry import SQL, query, read
 from paperloom.plans.retrieval_queries import _CONTAINS_SQL, BM25_SQL, benchmark_queries, doc_chunks
@@ -281,8 +281,14 @@ def g05_receipt_audit(spark, sf):
     )
     cites = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
     answer = F.concat(F.lit("as said "), F.array_join(F.transform(F.sequence(F.lit(1), F.col("last") + F.when(k == 3, 2).otherwise(1)), lambda i: F.concat(F.lit("[S"), i.cast("string"), F.lit("]"))), " "))
-    receipts = cites.select(F.col("conv_id").alias("receipt_id"), answer.alias("answer")).withColumn("body", F.concat_ws("|", "receipt_id", "answer")).withColumn("payload", F.concat_ws("|", F.lit("p"), "body"))
-    receipts = receipts.withColumn("declared_id", F.sha2(F.concat("body", F.when(tampered == 1, "x").otherwise("")), 256)).withColumn("digest", F.concat(F.lit("0x"), F.sha2(F.concat("payload", F.when(tampered == 2, "x").otherwise("")), 256)))
+    receipts = cites.select(F.col("conv_id").alias("receipt_id"), answer.alias("answer"))
+    # the id is that of the record's canonical form; the record itself comes with its keys in another order and with white space
+    record = F.concat(F.lit('{ "receiptId": '), "receipt_id", F.lit(', "answer" : '), canonical.quoted(F.col("answer")), F.lit(', "checks": [1.0, {"b": -0.0, "a": []}] }'))
+    declared = F.concat(F.lit('{"answer":'), canonical.quoted(F.col("answer")), F.lit(',"checks":[1,{"a":[],"b":0}],"receiptId":'), "receipt_id", F.lit("}"))
+    receipts = receipts.withColumn("record", record).withColumn("declared", declared)
+    bodies = canonical.canonical_json(receipts, "receipt_id", "record").withColumnRenamed("canonical", "body")
+    receipts = receipts.join(bodies, "receipt_id").withColumn("payload", F.concat_ws("|", F.lit("p"), "body"))
+    receipts = receipts.withColumn("declared_id", F.sha2(F.concat("declared", F.when(tampered == 1, "x").otherwise("")), 256)).withColumn("digest", F.concat(F.lit("0x"), F.sha2(F.concat("payload", F.when(tampered == 2, "x").otherwise("")), 256)))
     return answers.receipt_audit(receipts, sources, records).drop("n_errors")
 
 

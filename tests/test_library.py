@@ -1,6 +1,7 @@
 """Functions and operators of the retrieval library on small tables: golden values, brute force and invariants."""
 
 import glob
+import json
 import os
 import random
 import unicodedata
@@ -14,7 +15,7 @@ from paperloom.functions import intents
 from paperloom.functions import records as R
 from paperloom.functions import text as T
 from paperloom.functions import vectors as V
-from paperloom.operators import answers, ingest, retrieval, tables
+from paperloom.operators import answers, canonical, ingest, retrieval, tables
 from paperloom.plans import catalog
 from paperloom.sources import inventory, package, snapshot
 from paperloom.sources.versions import ConflictError, VersionedCorpus
@@ -637,3 +638,62 @@ def test_rate_windows_expire(spark, tmp_path):
     left = spark.read.format("statestore").option("path", f"file://{tmp_path}/state").option("stateVarName", "window").load()
     assert {r["key"]["user_id"] for r in left.collect()} <= {7, 8, 9}  # of the first window of user 7 nothing is left
     assert all(r["value"]["ends"] > 1500 * second for r in left.collect())
+
+
+def brute_canonical(value):
+    if value is None or isinstance(value, bool):
+        return json.dumps(value)
+    if isinstance(value, (int, float)):
+        x = float(value)
+        if x == 0:
+            return "0"
+        digits, _, power = repr(abs(x)).partition("e")
+        whole, _, part = digits.partition(".")
+        part = "" if part == "0" else part
+        every, point = (whole + part).lstrip("0"), len(whole) + int(power or 0)
+        point -= len(whole + part) - len((whole + part).lstrip("0"))
+        every = every.rstrip("0")
+        if len(every) <= point <= 21:
+            said = every + "0" * (point - len(every))
+        elif 0 < point <= 21:
+            said = every[:point] + "." + every[point:]
+        elif -6 < point <= 0:
+            said = "0." + "0" * -point + every
+        else:
+            said = every[0] + ("." + every[1:] if len(every) > 1 else "") + "e" + ("+" if point > 0 else "-") + str(abs(point - 1))
+        return ("-" if x < 0 else "") + said
+    if isinstance(value, str):
+        return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, list):
+        return "[" + ",".join(map(brute_canonical, value)) + "]"
+    keys = sorted(value, key=lambda k: k.encode("utf-16-be"))
+    return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + brute_canonical(value[k]) for k in keys) + "}"
+
+
+def test_canonical_json(spark):
+    rng = random.Random(17)
+    words = ["a", "B", "ab", "é", "", 'q"\\', "line\n\t\x01\x1f/", "\U0001f388", "￿", "0", "10", "9"]
+    numbers = [0, -0.0, 1, -7, 10, 100.0, 1.5, 0.1, 1e-6, 1.25e-7, 1e21, 1.5e20, 123456789.123, 2**53, 1e300, 5e-324, -2.5e-10, 12345678901234567890]
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 4)
+        if kind < 4:
+            return [rng.choice(words), rng.choice(numbers), rng.choice([True, False]), None][kind]
+        if kind == 4:
+            return [value(depth - 1) for _ in range(rng.randrange(13))]
+        return {k: value(depth - 1) for k in rng.sample(words, rng.randrange(6))}
+
+    values = [value(4) for _ in range(120)] + [[], {}, [[]], {"a": {}}, numbers]
+    texts = [json.dumps(v, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2])) for v in values]
+    bad = ["{", "nope", '{"a": 1, "a": 2}', '[1, {"x": [1e999]}]', "", None]
+    rows = spark.createDataFrame(list(enumerate(texts + bad)), "k long, body string")
+    got = dict(map(tuple, canonical.canonical_json(rows, "k", "body").collect()))
+    assert len(got) == len(texts) + len(bad)
+    assert [(t, got[i]) for i, (v, t) in enumerate(zip(values, texts)) if got[i] != brute_canonical(v)] == []
+    assert [got[len(texts) + i] for i in range(len(bad))] == [None] * len(bad)
+
+
+def test_intents_know_every_coin(spark):
+    for coin in ("apt", "aptos", "oneusd"):
+        asked = spark.createDataFrame([(f"What is my {coin} wallet address?",), (f"What is my {coin} balance?",)], "q string")
+        assert [r[0] for r in asked.select(intents.classify(F.col("q"), "apt|aptos|oneusd")).collect()] == ["wallet", "wallet"]
