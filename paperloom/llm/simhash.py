@@ -34,13 +34,14 @@ gives an empty result; other columns are ignored whatever their names.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import keep_rows, materialize, row_id, shuffle_partitions, with_row_id
@@ -53,7 +54,7 @@ _GROUP = 4096
 #: A wide fingerprint is a candidate with so many of the nearest others that share an anchor, in either round.
 NEAREST = 8
 #: So many of them come from one anchor with over ``NEAREST`` fingerprints; two that are near share many anchors.
-CELL_NEAREST = 3
+CELL_NEAREST = 1
 #: The nearest are sought among so many fingerprints of a cell, in their order, at a time.
 SLICE = 4096
 
@@ -297,6 +298,18 @@ def _nearest(cell: np.ndarray, label: np.ndarray, distance: int) -> tuple[np.nda
     return codes // len(cell), codes % len(cell), np.flatnonzero(crowded)
 
 
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each query that runs within are removed at its end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def wide_links(fps: DataFrame, bits: int, distance: int, sets: int = 1) -> tuple[DataFrame, DataFrame]:
     """``a, b``: pairs among distinct binary ``fp`` of different ``label`` that share an anchor and differ in at most ``distance`` bits;
     and the crowded ``fp``: a pair that isn't among the first is one of two crowded ones.
@@ -304,31 +317,27 @@ def wide_links(fps: DataFrame, bits: int, distance: int, sets: int = 1) -> tuple
     Of each fingerprint's pairs the ``NEAREST`` closest are kept, and those that its partners keep. Anchors are those of the bits
     in ``sets`` orders, one after the other; the shuffle files of each are removed at once.
     """
-    spark, key = fps.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
+    with tidy_shuffles(fps.sparkSession):
         found = [materialize(_wide_links(fps, bits, distance, k), "candidates") for k in range(sets)]
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return _closest(functools.reduce(DataFrame.unionByName, found).distinct())
+    return _closest(functools.reduce(DataFrame.unionByName, found))
 
 
 def _closest(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of ``a, b, apart``: the pairs ``a, b`` among the ``NEAREST`` of either end, and the ``fp`` that had more or whose pairs with itself mark
-    it as crowded. Spark trims each end's pairs map-side."""
-    met = pairs.filter("a <> b")
+    """Of ``a, b, apart, marks``: the pairs ``a, b`` among the ``NEAREST`` of either end, and the ``fp`` that had more or that a mark names
+    as crowded. Spark trims each end's pairs map-side."""
+    met = pairs.filter("a <> b").select("a", "b", "apart").distinct()
     ends = met.select("apart", F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))).alias("e"))
     order = Window.partitionBy("own").orderBy("apart", "other")
     ranked = ends.select("e.own", "e.other", "apart").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= NEAREST + 1)
     ranked = materialize(ranked.select("own", "other", "r"), "nearest")
     kept = ranked.filter(F.col("r") <= NEAREST).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
-    crowded = ranked.filter(F.col("r") > NEAREST).select(F.col("own").alias("fp")).unionByName(pairs.filter("a = b").select(F.col("a").alias("fp"))).distinct()
-    return kept, crowded
+    marked = pairs.filter("marks > 0").select(F.explode(F.expr("filter(array(if(marks & 1 > 0, a, null), if(marks & 2 > 0, b, null)), x -> x is not null)")).alias("fp"))
+    return kept, ranked.filter(F.col("r") > NEAREST).select(F.col("own").alias("fp")).unionByName(marked).distinct()
 
 
 def _wide_links(fps: DataFrame, bits: int, distance: int, turn: int) -> DataFrame:
-    """``a, b, apart``: the pairs by the anchors of one order of the bits (their own if ``turn`` is 0); a crowded one is a pair with itself."""
+    """``a, b, apart, marks``: the pairs by the anchors of one order of the bits (their own if ``turn`` is 0). Marks has 1 where a is crowded, 2 where b is;
+    a crowded one that is in none of its cell's pairs is a pair with itself."""
     size, low = bits // 64, np.uint64((1 << 31) - 1)
     order = np.random.default_rng(turn).permutation(bits) if turn else np.arange(bits)
 
@@ -348,7 +357,7 @@ def _wide_links(fps: DataFrame, bits: int, distance: int, turn: int) -> DataFram
         sizes = np.diff(np.r_[starts, len(anchor)])
         place = np.arange(len(anchor)) - np.repeat(starts, sizes)
         room, few = np.repeat(sizes, sizes) - place, np.repeat(sizes <= NEAREST, sizes)
-        a, b = [], []
+        a, b, more = [], [], np.zeros(len(anchor), bool)
         for step in range(1, NEAREST):
             i = np.flatnonzero(few & (room > step))
             i = i[(_apart(fp[i], fp[i + step]) <= distance) & (label[i] != label[i + step])]
@@ -357,10 +366,16 @@ def _wide_links(fps: DataFrame, bits: int, distance: int, turn: int) -> DataFram
         for at in np.flatnonzero(sizes > NEAREST):
             cell = slice(starts[at], starts[at] + sizes[at])
             i, j, crowded = _nearest(fp[cell], label[cell], distance)
-            a += [starts[at] + i, starts[at] + crowded]
-            b += [starts[at] + j, starts[at] + crowded]
-        one, other = fp[np.concatenate(a)], fp[np.concatenate(b)]
-        return pa.RecordBatch.from_arrays([_binary(one), _binary(other), pa.array(_apart(one, other).astype(np.int32))], names=["a", "b", "apart"])
+            more[starts[at] + crowded] = True
+            alone = np.setdiff1d(crowded, np.r_[i, j])
+            a += [starts[at] + i, starts[at] + alone]
+            b += [starts[at] + j, starts[at] + alone]
+        i, j = np.concatenate(a), np.concatenate(b)
+        one, other = fp[i], fp[j]
+        first = (np.arange(len(i)), (one != other).argmax(1))
+        i, j = np.where(one[first] > other[first], (j, i), (i, j))  # each pair in one order
+        one, other, marks = fp[i], fp[j], more[i] + 2 * more[j]
+        return pa.RecordBatch.from_arrays([_binary(one), _binary(other), pa.array(_apart(one, other).astype(np.int32)), pa.array(marks.astype(np.int32))], names=["a", "b", "apart", "marks"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((b.column("anchor").to_numpy(), np.c_[_words(b.column("fp"), size), b.column("label").to_numpy().view(np.uint64)]) for b in batches)
@@ -369,8 +384,8 @@ def _wide_links(fps: DataFrame, bits: int, distance: int, turn: int) -> DataFram
 
     n = shuffle_partitions(fps.sparkSession)
     cells = fps.select("fp", "label").mapInArrow(replicate, "anchor bigint, fp binary, label bigint").repartition(n, "anchor").sortWithinPartitions("anchor", "fp")
-    both = cells.mapInArrow(compare, "a binary, b binary, apart int")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").distinct()
+    both = cells.mapInArrow(compare, "a binary, b binary, apart int, marks int")
+    return both.groupBy("a", "b", "apart").agg(F.bit_or("marks").alias("marks"))
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, width: int, bits: int, distance: int, sets: int, similarity: float | None, text: str = "text") -> DataFrame:
@@ -502,7 +517,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, bits: in
     raw = fingerprints(docs, width, text, doc_id) if bits == 64 else wide_fingerprints(docs, width, bits, text, doc_id)
     found = materialize(raw, "fingerprints")
     nodes = materialize(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")), "distinct-fingerprints")
-    edges = links(nodes, distance) if bits == 64 else similar_links(nodes, docs, width, bits, distance, sets, similarity, text)
+    if bits == 64:
+        edges = links(nodes, distance)
+    else:
+        with tidy_shuffles(docs.sparkSession):
+            edges = similar_links(nodes, docs, width, bits, distance, sets, similarity, text)
     whole = components(nodes.select(F.col("fp").alias("node")), edges)
     whole = materialize(whole.join(nodes.select(F.col("fp").alias("node"), "least"), "node"), "components")
     best = whole.groupBy("component").agg(F.min("least").alias("best"))
