@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import records as R
@@ -446,6 +447,90 @@ def s05_package_violations(spark, sf):
     return found.filter("rule <> 'too_large'")
 
 
+def _talks(spark, sf):
+    """Conversations as documents: a manifest, and a page and a chunk for each turn, the user's as stories."""
+    turns = read(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    named = F.concat(F.lit("talk_"), "document_id").alias("source")
+    listed = turns.select("document_id").distinct().select("document_id", named, F.lit("t").alias("title"), F.lit("indexed").alias("status"))
+    n = F.max("turn").over(Window.partitionBy("document_id"))
+    pages = turns.select("document_id", (F.col("turn") + 1).alias("page_number"), (n + 1).alias("total_pages"), F.col("text").alias("raw_text"))
+    chunks = turns.select("document_id", F.col("turn").alias("chunk_index"), (F.col("turn") + 1).alias("page_number"), F.when(F.trim("text") == "", "-").otherwise(F.col("text")).alias("text"))
+    stories = turns.filter("role = 'user'").select("document_id", F.col("turn").cast("double").alias("number"), F.concat(F.lit("Turn "), "turn").alias("title"), (F.col("turn") + 1).alias("page_number"))
+    vectors = turns.select("document_id", F.col("turn").alias("chunk_index"), (F.col("document_id") + F.col("turn")).alias("vec_id")).join(read(spark, sf, "embeddings"), "vec_id")
+    return listed, pages, chunks, stories, vectors.select("document_id", "chunk_index", F.col("embedding").alias("vector"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, len(embedding) AS n, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations LEFT JOIN embeddings ON vec_id = conv_id + turn)
+SELECT sha256('me' || chr(10) || 'talk_' || conv_id) AS document_id, count(*) AS n_pages, count(*) AS n_chunks, count(*) FILTER (WHERE role = 'user') AS n_stories,
+       coalesce(sum(n), 0)::BIGINT AS n_values, CASE WHEN count(n) > 0 THEN 'ready' ELSE 'unavailable' END AS vector_status, md5(string_agg(text, chr(12) ORDER BY turn)) AS pages_md5
+FROM c WHERE last >= 2 GROUP BY conv_id
+""")
+def s04_s05_package_import(spark, sf):
+    """Packages of conversations of three turns and more, with vectors and stories, written, read, checked and imported under a new owner's ids."""
+    listed, pages, chunks, stories, vectors = _talks(spark, sf)
+    long = pages.filter("total_pages >= 3").select(F.concat(F.lit("talk_"), "document_id").alias("source"))
+    path = scratch_path(spark, "package")
+    out = package.export(listed, pages, chunks, stories, vectors, eligible=long)
+    number = F.substring_index("source", "_", -1).cast("long")
+    package.write(out.withColumn("package_id", F.floor(number / package.MAX_DOCUMENTS)), path)
+    got = package.import_tables(package.accepted(package.read(spark, path)), "me")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("page_number", "raw_text"))), lambda p: p["raw_text"])
+    per = [
+        got["pages"].groupBy("document_id").agg(F.count(F.lit(1)).alias("n_pages"), F.md5(F.array_join(texts, "\f")).alias("pages_md5")),
+        got["chunks"].groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum(F.when(F.col("vector").isNotNull(), F.size("vector"))), F.lit(0)).cast("long").alias("n_values")),
+        got["stories"].groupBy("document_id").agg(F.count(F.lit(1)).alias("n_stories")),
+    ]
+    rows = got["manifest"].select("document_id", "vector_status")
+    for table in per:
+        rows = rows.join(table, "document_id", "left")
+    return rows.fillna(0, ["n_stories"])
+
+
+_FAULTS = {
+    1: "vector_not_finite", 2: "vector_too_long", 3: "repeated_page", 4: "page_out_of_range", 5: "chunk_without_page",
+    6: "empty_chunk", 7: "story_number", 8: "story_page", 9: "story_title",
+}
+
+
+@query(f"SELECT 'talk_' || conv_id AS source, rule FROM (SELECT DISTINCT conv_id FROM conversations) JOIN (VALUES {', '.join(f'({k}, {rule!r})' for k, rule in _FAULTS.items())}) AS f(kind, rule) ON conv_id % 10 = kind")
+def s05_package_faults(spark, sf):
+    """A fault of each rule planted into packages of all conversations: nine of ten documents have one."""
+    listed, pages, chunks, stories, _ = _talks(spark, sf)
+    kind, first = F.col("document_id") % 10, F.col("chunk_index") == 0
+    bad = F.when(kind == 1, F.array(F.lit(1.0), F.lit(float("nan")))).when(kind == 2, F.array_repeat(F.lit(0.5), package.MAX_DIMENSIONS + 1)).otherwise(F.array(F.lit(0.5)))
+    vectors = chunks.select("document_id", "chunk_index", F.when(first, bad).alias("vector"))
+    pages = pages.unionByName(pages.filter((kind == 3) & (F.col("page_number") == 1))).withColumn("total_pages", F.when(kind == 4, 0).otherwise(F.col("total_pages")))
+    chunks = chunks.withColumn("page_number", F.when((kind == 5) & first, -1).otherwise(F.col("page_number"))).withColumn("text", F.when((kind == 6) & first, " ").otherwise(F.col("text")))
+    one = listed.select("document_id", F.when(kind == 7, -1.0).otherwise(1.0).alias("number"), F.when(kind == 9, F.repeat(F.lit("t"), package.MAX_STORY_TITLE + 1)).otherwise(F.lit("t")).alias("title"), F.when(kind == 8, 0).otherwise(1).alias("page_number"))
+    out = package.export(listed, pages, chunks, stories.unionByName(one), vectors)
+    found = package.violations(out.withColumn("package_id", F.floor(F.substring_index("source", "_", -1).cast("long") / package.MAX_DOCUMENTS)))
+    return found.select("source", "rule")
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, i, t FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM conversations) WHERE trim(t, ' ') <> ''),
+c AS (SELECT conv_id, count(*) AS n_chunks, md5(string_agg(t, chr(12) ORDER BY turn, i)) AS chunks_md5 FROM l GROUP BY conv_id)
+SELECT conv_id AS document_id, count(*) AS n_pages, md5(string_agg(coalesce(text, ''), chr(12) ORDER BY turn)) AS pages_md5, coalesce(any_value(n_chunks), 0)::BIGINT AS n_chunks, coalesce(any_value(chunks_md5), md5('')) AS chunks_md5
+FROM conversations LEFT JOIN c USING (conv_id) GROUP BY conv_id
+""")
+def s08_documents_from_shards(spark, sf):
+    """Conversations cut into lines, written as shards and rebuilt: pages once each and in order, lines by their index."""
+    turns = read(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).alias("page_number"), F.coalesce("text", F.lit("")).alias("raw_text"))
+    cut = turns.select("*", F.posexplode_outer(F.filter(F.split("raw_text", "\n"), lambda x: F.trim(x) != "")).alias("at", "text"))
+    told = Window.partitionBy("document_id")
+    number = F.count("text").over(told.orderBy("page_number", "at")) - 1
+    rows = cut.select(
+        F.lit("me").alias("owner"), "document_id", "page_number", F.max("page_number").over(told).alias("total_pages"), "raw_text",
+        F.when(F.col("text").isNotNull(), number).alias("chunk_index"), F.coalesce("text", F.lit("")).alias("text"),
+    ).withColumn("chunk_id", F.concat_ws(":", "document_id", "page_number", "chunk_index"))
+    path = scratch_path(spark, "snapshot")
+    snapshot.write(snapshot.assign_shards(rows, snapshot.LEAST_BYTES), path)
+    back = snapshot.reconstruct(snapshot.load_shards(spark, path))
+    joined = lambda name, field: F.md5(F.array_join(F.transform(name, lambda x: x[field]), "\f"))
+    return back.select("document_id", F.size("pages").cast("long").alias("n_pages"), joined("pages", "raw_text").alias("pages_md5"), F.size("chunks").cast("long").alias("n_chunks"), joined("chunks", "text").alias("chunks_md5"))
+
+
 @query("""
 SELECT conv_id AS document_id, count(*) AS page_count, avg(CASE WHEN length(trim(text, ' ')) >= 30 THEN 1.0 ELSE 0.0 END) AS text_coverage FROM conversations GROUP BY conv_id
 """)

@@ -224,6 +224,21 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/documents")
 
 
+def reconstruct(rows: DataFrame) -> DataFrame:
+    """``owner, document_id, pages, chunks`` of documents from the rows of all their shards (with ``chunk_index, total_pages, raw_text``).
+
+    A page comes once, by number, however many rows carry its text (null where another row does; of unlike texts the least stays); a chunk
+    comes once at its index. A row without ``chunk_index`` brings its page alone.
+    """
+    keys = ["owner", "document_id"]
+    told = F.when(F.col("raw_text").isNotNull(), F.struct("total_pages", "raw_text"))
+    pages = rows.groupBy(*keys, "page_number").agg(F.min(told).alias("t"))
+    pages = pages.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("page_number", "t.total_pages", "t.raw_text"))).alias("pages"))
+    chunks = rows.filter("chunk_index IS NOT NULL").groupBy(*keys, "chunk_index").agg(F.min(F.struct("page_number", "text")).alias("c"))
+    chunks = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk_index", "c.page_number", "c.text"))).alias("chunks"))
+    return pages.join(chunks, keys, "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(chunks.schema["chunks"].dataType)))
+
+
 def load_shards(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
     """The chunks of the wanted shards (``shard_id``), or of all; folders without any are skipped at run time."""
     chunks = spark.read.parquet(f"{path}/chunks")

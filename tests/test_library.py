@@ -279,6 +279,41 @@ def test_snapshot_round_trip_and_pruned_search(spark, tmp_path):
     assert {r["query_id"] for r in got if r["rank"] == 1} == {250, 700} and all(r["score"] >= 0.12 for r in got)
 
 
+def test_packages_with_vectors_and_stories(spark, tmp_path):
+    """Vectors and stories survive the file; a faulty package is refused alone; an import is all or nothing and drops what isn't eligible."""
+    listed = spark.createDataFrame([(1, "a", "t", "indexed"), (2, "b", "t", "indexed"), (3, "c", "t", "failed")], "document_id long, source string, title string, status string")
+    pages = spark.createDataFrame([(1, 2, 2, "y"), (1, 1, 2, "x"), (2, 1, 1, None)], "document_id long, page_number int, total_pages int, raw_text string")
+    chunks = spark.createDataFrame([(1, 1, 2, "y"), (1, 0, 1, "x"), (2, 0, 1, "z")], "document_id long, chunk_index int, page_number int, text string")
+    stories = spark.createDataFrame([(1, 1.5, "s", 2)], "document_id long, number double, title string, page_number int")
+    vectors = spark.createDataFrame([(1, 0, [0.5, -1.0])], "document_id long, chunk_index int, vector array<double>")
+    out = package.export(listed, pages, chunks, stories, vectors)
+    package.write(out, f"file://{tmp_path}/p")
+    back = package.read(spark, f"file://{tmp_path}/p")
+    a, b = back.orderBy("source").collect()
+    assert a["pages"][0]["raw_text"] == "x" and a["chunks"][0]["vector"] == [0.5, -1.0] and a["chunks"][1]["vector"] is None and a["stories"][0]["number"] == 1.5 and b["stories"] == []
+    got = package.import_tables(back, "me", eligible=listed.filter("source = 'a'"))
+    assert [(r["source"], r["vector_status"]) for r in got["manifest"].collect()] == [("a", "ready")] and got["stories"].count() == 1 and got["chunks"].count() == 2
+    assert package.import_tables(back.limit(0), "me")["manifest"].isEmpty()
+    many = back.withColumn("package_id", F.lit(1)).unionByName(back.withColumn("package_id", F.lit(2)).withColumn("pages", F.array().cast(package.PAGES)))
+    package.write(many, f"file://{tmp_path}/many")
+    assert {r["package_id"] for r in package.accepted(package.read(spark, f"file://{tmp_path}/many")).collect()} == {1}
+    with pytest.raises(ValueError, match="repeated_source"):
+        package.import_tables(back.unionByName(back), "me")
+    long = back.withColumn("title", F.lit("t")).withColumn("pages", F.transform("pages", lambda p: p.withField("raw_text", F.repeat(F.lit("x"), package.MAX_CHARACTERS // 2 + 1))))
+    assert {r["rule"] for r in package.violations(long).collect()} == {"too_many_characters"}
+
+
+def test_documents_from_overlapping_shards(spark):
+    """Pages of several rows and repeated shards come once, a null text gives way, a row without a chunk brings its page alone."""
+    rows = spark.createDataFrame(
+        [("o", 1, 2, 2, "y", 1, "y"), ("o", 1, 1, 2, None, 0, "x"), ("o", 1, 1, 2, "x", 2, "w"), ("o", 2, 1, 1, "", None, "")],
+        "owner string, document_id long, page_number int, total_pages int, raw_text string, chunk_index int, text string",
+    )
+    one, two = snapshot.reconstruct(rows.unionByName(rows)).orderBy("document_id").collect()
+    assert [(p["page_number"], p["raw_text"]) for p in one["pages"]] == [(1, "x"), (2, "y")] and [c["text"] for c in one["chunks"]] == ["x", "y", "w"]
+    assert len(two["pages"]) == 1 and two["chunks"] == [] and snapshot.reconstruct(rows.limit(0)).isEmpty()
+
+
 def test_package_round_trip(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     listed = docs.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("d"), "doc_id").alias("source"), F.lit("t").alias("title"), F.lit("indexed").alias("status"))
