@@ -53,7 +53,7 @@ def t01_ingest_stream(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[^ \t\n\x0b\f\r]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
 def x01_embed(spark, sf):
-    """Vectors have length one, but where signed counts cancel out or there is no word."""
+    """Vectors have length one, but where there is no word."""
     made = embedding.with_vectors(read(spark, sf, "documents").select("doc_id", "text"), embedding.hashing_provider(256), "hashing")
     return made.select("doc_id", F.round(F.sqrt(V.dot(F.col("vector"), F.col("vector"))), 3).alias("norm"))
 
