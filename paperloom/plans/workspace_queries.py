@@ -392,6 +392,6 @@ SELECT owner, epoch_us(seen) AS last_micros FROM e
 WHERE (next IS NULL OR next > seen + INTERVAL '1 hour') AND seen + INTERVAL '1 hour' <= (SELECT date_trunc('milliseconds', max(ts::TIMESTAMP)) - INTERVAL '5 minutes' FROM events)
 """)
 def t04_silences(spark, sf):
-    """Every silence of an hour of a user of the events table, by timers."""
+    """Every silence of an hour of a user of the events table."""
     rows = _event_stream(spark, sf).select(F.col("user_id").alias("owner"), F.col("ts").cast("timestamp").alias("observed_at"))
     return _drained(streams.silences(rows, minutes=60), spark)

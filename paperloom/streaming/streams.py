@@ -118,66 +118,22 @@ def rate_stream(events: DataFrame, limit: int = 30, seconds: int = 60, delay: st
     return rows.groupBy("user_id").transformWithStateInPandas(_Rates(limit, seconds), "event_id bigint, user_id bigint, allowed boolean", "Append", "EventTime")
 
 
-class _Silences(StatefulProcessor):
-    """An owner's observations after which none is known for so long, each with a timer."""
-
-    def __init__(self, length: int):
-        self.length = length
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "at bigint")
-
-    def _timer(self, at: int) -> int:
-        return -(-(at + self.length) // 1000)  # the first millisecond at which the silence is over
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = {int(r[0]) for r in self.open.get()} if self.open.exists() else set()
-        times = sorted(held | {int(t) for part in rows for t in _micros(part["observed_at"]).tolist()})
-        # one that is followed within the time is nobody's last word
-        now = {a for a, b in zip(times, [*times[1:], None]) if b is None or b > a + self.length}
-        timers = {self._timer(at) for at in now}
-        for at in held - now:
-            if self._timer(at) not in timers:
-                self.handle.deleteTimer(self._timer(at))
-        for at in now - held:
-            self.handle.registerTimer(self._timer(at))
-        self.open.put([(at,) for at in sorted(now)])
-        yield _stale([], key[0])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fired = expiredTimerInfo.getExpiryTimeInMs()
-        held = [int(r[0]) for r in self.open.get()] if self.open.exists() else []
-        over, rest = [at for at in held if self._timer(at) <= fired], [at for at in held if self._timer(at) > fired]
-        if rest:
-            self.open.put([(at,) for at in rest])
-        else:
-            self.open.clear()
-        yield _stale(over, key[0])
-
-    def close(self) -> None:
-        pass
-
-
-def _stale(times: list[int], owner) -> pd.DataFrame:
-    return pd.DataFrame({"owner": pd.Series([owner] * len(times), dtype=object), "last_micros": pd.Series(times, dtype="int64")})
-
-
 def new_revisions(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The first row of each source and revision within the watermark."""
     return stream.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(["source", "revision"])
 
 
 def silences(stream: DataFrame, minutes: int = 5, delay: str = "5 minutes") -> DataFrame:
-    """``owner, last_micros``: an owner is stale when ``minutes`` have gone by without an observation; a row for each such silence, by a timer.
+    """``owner, last_micros``: an owner is stale when ``minutes`` have gone by without an observation; a row for each such silence.
 
-    It is sent when the watermark, ``delay`` behind the newest observation of anybody, has passed the silence's end, so observations may come in any order
-    within the delay, and batches don't matter. An owner that never returns gives one row and then has no state.
-    Start the stream within :func:`rocksdb_state`.
+    Observations that follow one another within the time are a session, which ends with a silence. It is sent when the watermark, ``delay`` behind the
+    newest observation of anybody, has passed the silence's end, so observations may come in any order within the delay, and batches don't matter.
+    An owner that never returns gives one row and then has no state. An observation behind the watermark is dropped with the repeated ones; sessions
+    by themselves would only drop it ``minutes`` later.
     """
-    kind = dict(stream.dtypes)["owner"]
-    rows = stream.select("owner", "observed_at").withWatermark("observed_at", delay)
-    return rows.groupBy("owner").transformWithStateInPandas(_Silences(minutes * 60_000_000), f"owner {kind}, last_micros bigint", "Append", "EventTime")
+    rows = stream.select("owner", "observed_at").withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(["owner", "observed_at"])
+    spells = rows.groupBy("owner", F.session_window("observed_at", f"{minutes} minutes").alias("spell")).agg(F.max("observed_at").alias("last"))
+    return spells.select("owner", F.unix_micros("last").alias("last_micros"))
 
 
 def freshness(stream: DataFrame, minutes: int = 5) -> DataFrame:
