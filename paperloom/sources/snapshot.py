@@ -360,9 +360,10 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 8, least
         low, depth = depth, most if exhaustive else min(most, depth + (MORE_READS if depth else FIRST_READS))
         chosen = ranked.join(asked.select("query_id"), "query_id", "left_semi").filter((F.col("rank") > low) & (F.col("rank") <= depth))
         chosen = kept(chosen.select("query_id", "shard_id", "bucket"), "chosen")
-        if chosen.isEmpty():
+        if not exhaustive and chosen.isEmpty():
             break
-        part = kept(load_shards(spark, path, chosen), "shards")
+        # a shard that holds none of a query's keywords isn't ranked for it, but may hold its words
+        part = load_shards(spark, path) if exhaustive else kept(load_shards(spark, path, chosen), "shards")
         scored = [
             retrieval.coverage_scores(part, asked).select("query_id", "chunk_id", (CHUNK_COVERAGE * F.col("coverage")).alias("score")),
             retrieval.contains_pairs(part, asked).select("query_id", "chunk_id", F.lit(CHUNK_EXACT).alias("score")),
@@ -371,12 +372,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 8, least
             near = retrieval.semantic_scores(vectors.join(part.select("chunk_id"), "chunk_id", "left_semi"), query_vectors.join(asked.select("query_id"), "query_id", "left_semi"))
             scored.append(near.select("query_id", "chunk_id", (CHUNK_COSINE * F.greatest(F.lit(0.0), F.col("cosine"))).alias("score")))
         summed = functools.reduce(DataFrame.unionByName, scored).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score")).filter(F.col("score") >= least)
-        told = summed.join(part.select("chunk_id", "document_id", "shard_id"), "chunk_id").join(chosen.select("query_id", "shard_id"), ["query_id", "shard_id"])
+        told = summed.join(part.select("chunk_id", "document_id", "shard_id"), "chunk_id")
+        told = told if exhaustive else told.join(chosen.select("query_id", "shard_id"), ["query_id", "shard_id"])
         told = kept(told.select("query_id", "chunk_id", "document_id", "score"), "scored")
         found = told if found is None else found.unionByName(told)
         good = found.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") >= WEAK)
         asked = asked.join(good.select("query_id"), "query_id", "left_anti")
-        if asked.isEmpty():
+        if exhaustive or asked.isEmpty():
             break
     if found is None:
         return spark.createDataFrame([], "query_id bigint, chunk_id bigint, document_id bigint, score double, rank int")

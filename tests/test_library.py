@@ -797,3 +797,34 @@ def test_silences_at_the_very_hour(spark, tmp_path):
     rows = [(1, at(0), 1), (2, at(3600), 1), (3, at(7200, 1), 1), (4, at(90, 5), 2), (5, at(3690, 6), 2), (6, at(50), 3), (7, at(86400), 9), (8, at(86400 - 3900), 4), (9, at(86400 - 3900, 1), 5), (10, at(50), None)]
     got, want = _both(spark, sql, "t04_silences", tmp_path, events=(rows, "event_id long, ts timestamp, user_id long"))
     assert got == [x for x in want if x[0] is not None] or got == want
+
+
+def test_blocks_equal_joins(spark, monkeypatch):
+    """Scores of few queries by matrix products are those of the joins, whatever the k best; more queries than a block."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    chunks = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(30)))) for i in range(300)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(q, " ".join(rng.choice(words) for _ in range(3))) for q in range(70)], "query_id long, query string")
+    vectors = spark.createDataFrame([(i, [float(rng.randrange(4)) for _ in range(rng.choice([0, 3]))], i % 2) for i in range(60)], "chunk_id long, vector array<float>, provider int")
+    asked = vectors.filter("chunk_id < 9").selectExpr("chunk_id AS query_id", "vector AS query_vector", "provider")
+    run = lambda k: [
+        sorted((q, c, round(x, 8)) for q, c, x in df.select("query_id", "chunk_id", F.col(df.columns[-1])).collect())
+        for df in (retrieval.lexical_scores(chunks, queries, k=k), retrieval.coverage_scores(chunks, queries), retrieval.semantic_scores(vectors, asked, k=k), retrieval.contains_pairs(chunks, queries).withColumn("one", F.lit(1.0)))
+    ]
+    quick, some = run(None), run(2)
+    monkeypatch.setattr(retrieval, "is_small", lambda df, rows=0: False)
+    assert quick == run(None)
+    for i in (0, 2):
+        for q in {x[0] for x in quick[i]}:
+            best = lambda rows: sorted((-x, c) for p, c, x in rows if p == q)[:2]  # noqa: B023, E731
+            assert best(quick[i]) == best(some[i])
+
+
+def test_exhaustive_search_reads_shards_without_a_keyword(spark, tmp_path):
+    """A shard whose 96 keywords hold none of a query's words is read all the same."""
+    common = " ".join(f"word{i:03d} word{i:03d}" for i in range(100))
+    docs = spark.createDataFrame([(1, f"{common} rareone raretwo rarethree"), (2, "nothing here")], "chunk_id long, text string").selectExpr("'o' AS owner", "chunk_id AS document_id", "chunk_id", "1 AS page_number", "text")
+    path = f"file://{tmp_path}/s"
+    snapshot.write(snapshot.assign_shards(docs), path, buckets=4)
+    found = snapshot.search(spark, path, spark.createDataFrame([(5, "rareone raretwo rarethree")], "query_id long, query string"), exhaustive=True)
+    assert [(r["query_id"], r["chunk_id"]) for r in found.collect()] == [(5, 1)]
