@@ -39,7 +39,7 @@ SELECT query_id, chunk_id, round(round(lexical, 9), 4) AS lexical, rank::INTEGER
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 9) DESC, chunk_id) AS rank FROM lex) WHERE rank <= 5
 """)
 def r01_lexical_search(spark, sf):
-    scored = retrieval.lexical_scores(doc_chunks(spark, sf), benchmark_queries(spark, sf)).withColumn("lexical", F.round("lexical", 9))
+    scored = retrieval.lexical_scores(doc_chunks(spark, sf), benchmark_queries(spark, sf), k=5)
     return retrieval.cite(retrieval.top_k(scored, "lexical", 5)).withColumn("lexical", F.round("lexical", 4))
 
 
@@ -54,7 +54,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC,
 """)
 def r01_tolerant_search(spark, sf):
     """As r01, with words within one edit; numbers stay exact."""
-    scored = retrieval.lexical_scores(doc_chunks(spark, sf), benchmark_queries(spark, sf), tolerance=1)
+    scored = retrieval.lexical_scores(doc_chunks(spark, sf), benchmark_queries(spark, sf), tolerance=1, k=16)
     return retrieval.top_k(scored, "lexical", 16).withColumn("lexical", F.round("lexical", 4))
 
 
@@ -108,7 +108,7 @@ def j08_vector_search(spark, sf):
     e = read(spark, sf, "embeddings")
     vectors = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").alias("provider"))
     asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("provider"))
-    scored = retrieval.semantic_scores(vectors, asked).withColumn("cosine", F.round("cosine", 9))
+    scored = retrieval.semantic_scores(vectors, asked, k=8).withColumn("cosine", F.round("cosine", 9))
     return retrieval.top_k(scored, "cosine", 8).withColumn("cosine", F.round("cosine", 6))
 
 
@@ -178,7 +178,7 @@ def u01_r05_merged_search(spark, sf):
     served = doc_chunks(spark, sf).filter("chunk_id % 2 = 0")
     every = doc_chunks(spark, sf).withColumn("content_hash", T.content_hash(F.col("text")))
     tell = lambda scored: every.join(scored.select("query_id", "chunk_id", "score"), "chunk_id").select("query_id", "chunk_id", "document_id", "page_number", "content_hash", "text", "score")
-    lexical = retrieval.lexical_scores(served, asked).withColumn("score", F.col("lexical") / 100)
+    lexical = retrieval.lexical_scores(served, asked, k=16).withColumn("score", F.col("lexical") / 100)
     local = tell(retrieval.top_k(lexical, "score", 16))
     merged = retrieval.merged_search(local, lambda: tell(snapshot.search(spark, written_snapshot(spark, sf), asked, exhaustive=True)), served)
     return merged.select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
@@ -194,7 +194,7 @@ SELECT count(*) AS n_labelled, count(good.query_id) AS n_hits, round(count(good.
 def r08_relevance(spark, sf):
     """Of the quotes that some document holds, the share whose best lexical hit holds it."""
     chunks, asked = doc_chunks(spark, sf), benchmark_queries(spark, sf)
-    scored = retrieval.lexical_scores(chunks, asked).withColumn("lexical", F.round("lexical", 9))
+    scored = retrieval.lexical_scores(chunks, asked, k=1)
     top = retrieval.top_k(scored, "lexical", 1).select("query_id", "chunk_id")
     holds = retrieval.contains_pairs(chunks, asked)
     hit = top.join(holds, ["query_id", "chunk_id"]).select("query_id", F.lit(1).alias("hit"))
