@@ -1,4 +1,4 @@
-"""Text functions: normalising, tokens, quality, hashes, excerpts. Native expressions, but for :func:`nfc`."""
+"""Text functions: normalising, tokens, quality, hashes, excerpts. Native expressions, but for :func:`nfc` and :func:`token_coverage`."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 from paperloom.functions.vectors import once
 
@@ -108,10 +108,16 @@ def excerpt_around(text: Column, needle: Column) -> Column:
     return F.trim(F.substring(flat, start + 1, F.greatest(F.length(needle) + 280, F.lit(420))))
 
 
+@F.pandas_udf(LongType())
+def _hits(query: pd.Series, tokens: pd.Series) -> pd.Series:
+    """How many of the query's tokens are among the others: a set per row, where an array would be walked for each token."""
+    held = [0 if q is None or t is None else sum(map(set(t).__contains__, q)) for q, t in zip(query, tokens)]
+    return pd.Series(held, dtype="int64")
+
+
 def token_coverage(query: Column, tokens: Column) -> Column:
     """Share of query tokens, duplicates counted, that occur in ``tokens``."""
-    hits = F.size(F.filter(query, lambda w: F.array_contains(tokens, w)))
-    return F.when(F.size(query) > 0, hits / F.size(query)).otherwise(0.0)
+    return F.when(F.size(query) > 0, _hits(query, tokens) / F.size(query)).otherwise(0.0)
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
