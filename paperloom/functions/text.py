@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 import pandas as pd
@@ -34,10 +35,18 @@ def _folds() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+@functools.cache
+def _spaces() -> str:
+    return "".join(chr(c) for c in range(0x10000) if re.match(WS, chr(c)))
+
+
 def normalize_search_text(text: Column) -> Column:
-    """Lower case, straight quotes, single spaces, trimmed. Input is taken to be NFC."""
-    straight = F.translate(F.lower(text), "\u2018\u2019\u201c\u201d", "''\"\"")
-    return F.trim(F.regexp_replace(straight, f"{WS}+", " "))
+    """Lower case, straight quotes, single spaces, trimmed. Input is taken to be NFC.
+
+    White space becomes spaces along with the quotes, so the pattern meets runs of them alone.
+    """
+    straight = F.translate(F.lower(text), "\u2018\u2019\u201c\u201d" + _spaces(), "''\"\"" + " " * len(_spaces()))
+    return F.trim(F.regexp_replace(straight, " {2,}", " "))
 
 
 def fold_accents(text: Column) -> Column:
@@ -52,16 +61,16 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def search_tokens(text: Column, stop: list[str] | None = None) -> Column:
-    """Folded words of two characters or more that aren't stop words, in order. Only words with a letter beyond ASCII are folded."""
-    return tokens_of_normal(normalize_search_text(text), stop)
+    """Folded words of two characters or more that aren't stop words, in order."""
+    return tokens_of_normal(F.lower(text), stop)
 
 
 def tokens_of_normal(normal: Column, stop: list[str] | None = None) -> Column:
-    """:func:`search_tokens` of a text that is normalised already."""
-    words = F.split(normal, r"[^\p{L}\p{N}\u0300-\u036f]+")
-    plain = F.transform(words, lambda w: F.when(F.octet_length(w) > F.length(w), fold_accents(w)).otherwise(w))
-    stops = F.array(*[F.lit(w) for w in (STOP_WORDS if stop is None else stop)])
-    return F.filter(plain, lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w))
+    """:func:`search_tokens` of a text that is normalised, or in lower case, already. Texts are folded whole, and only those with a letter
+    beyond ASCII: no accent is taken for a letter or the end of a word, and quotes and white space end words as they are."""
+    plain = F.when(F.octet_length(normal) > F.length(normal), fold_accents(normal)).otherwise(normal)
+    words = F.split(plain, r"[^\p{L}\p{N}]+")
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS if stop is None else stop))
 
 
 def content_hash(text: Column) -> Column:

@@ -9,16 +9,20 @@ range is numbered from where it truly begins. A query ranks the manifest and rea
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.functions import vectors as V
 from paperloom.functions.text import SHARD_STOP_WORDS
+from paperloom.operators import blocks
 from paperloom.session import kept
 
 # Fixed values.
@@ -122,17 +126,46 @@ def keyword_postings(sharded: DataFrame, names: DataFrame | None = None) -> Data
 FILTER_BITS = 32_768
 
 
-def _bit(key) -> object:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+def _word_bit(word: str) -> int:
+    return zlib.crc32(word.encode()) % FILTER_BITS
+
+
+def _gram_bits(text: str) -> np.ndarray:
+    """The bits of a text's stretches of three characters: their code points, multiplied and cut."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    packed = (c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:]
+    return (packed * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(49)).astype(np.int64)  # 15 bits: FILTER_BITS
 
 
 def gram_filters(sharded: DataFrame) -> DataFrame:
-    """``shard_id, word_bits, gram_bits``: bitmaps of the words and of the trigrams that a shard's texts hold, 4 KB each."""
-    from paperloom.operators.retrieval import _grams, _words
+    """``shard_id, word_bits, gram_bits``: bitmaps of the words and of the trigrams that a shard's texts hold, 4 KB each.
 
+    Tasks fill the bitmaps of the shards whose rows they read, one shard at a time, and Spark unites those of a shard; no word or trigram is a row.
+    """
     body = sharded.select("shard_id", T.normalize_search_text(F.col("text")).alias("body"))
-    sets = [body.select("shard_id", F.explode(keys).alias("key")).groupBy("shard_id").agg(F.bitmap_construct_agg(_bit("key")).alias(name)) for keys, name in ((_words(F.col("body")), "word_bits"), (_grams(F.col("body"), 3), "gram_bits"))]
-    return sets[0].join(sets[1], "shard_id", "full")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, flags = None, np.zeros((2, FILTER_BITS), bool)
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.array([np.packbits(f, bitorder="little").tobytes()], pa.binary()) for f in flags)], ["shard_id", "word_bits", "gram_bits"])
+        for batch in blocks.stretches(batches):
+            bodies = batch.column("body")
+            words = pc.split_pattern_regex(bodies, blocks.WORDS)
+            coded = pc.list_flatten(words).dictionary_encode()
+            bits = np.array([_word_bit(w) if w else -1 for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+            for name, text, start, end in zip(batch.column("shard_id").to_pylist(), bodies.to_pylist(), np.r_[0, ends[:-1]], ends):
+                if name != shard:
+                    if shard is not None:
+                        yield told()
+                    shard, flags = name, np.zeros((2, FILTER_BITS), bool)
+                mine = bits[start:end]
+                flags[0, mine[mine >= 0]] = True
+                flags[1, _gram_bits(text or "")] = True
+        if shard is not None:
+            yield told()
+
+    filled = body.mapInArrow(fill, "shard_id string, word_bits binary, gram_bits binary")
+    return filled.groupBy("shard_id").agg(F.bitmap_or_agg("word_bits").alias("word_bits"), F.bitmap_or_agg("gram_bits").alias("gram_bits"))
 
 
 def manifest(sharded: DataFrame, keywords: int = KEYWORDS, names: DataFrame | None = None) -> DataFrame:
@@ -293,6 +326,17 @@ def centroids_of(shards: DataFrame) -> DataFrame | None:
     return shards.filter("centroid IS NOT NULL").select("shard_id", "centroid.*")
 
 
+def _set_bits(wanted: list[int]):
+    """Which of the wanted bits a bitmap has, as a column function."""
+    at = np.array(wanted, np.int64)
+
+    @F.pandas_udf("array<int>")
+    def held(maps: pd.Series) -> pd.Series:
+        return maps.map(lambda m: at[np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little")[at] == 1].tolist(), na_action="ignore")
+
+    return held
+
+
 def shards_for_quotes(shards: DataFrame, quotes: DataFrame, keys: int = 3) -> DataFrame:
     """``query_id, shard_id``: the shards whose filters hold the ``keys`` longest inner words of a quote, or trigrams of it if it has two words or less.
 
@@ -302,23 +346,24 @@ def shards_for_quotes(shards: DataFrame, quotes: DataFrame, keys: int = 3) -> Da
     """
     from paperloom.operators import retrieval
 
+    @F.pandas_udf("array<struct<kind:string,bit:int>>")
+    def bits_of(needles: pd.Series) -> pd.Series:
+        out = []
+        for needle, words in zip(needles, pc.split_pattern_regex(pa.array(needles, pa.string()), blocks.WORDS).to_pylist()):
+            inner = sorted(dict.fromkeys([w for w in words if w][1:-1]), key=len, reverse=True)[:keys]
+            bits = [("word_bits", _word_bit(w)) for w in inner] or [("gram_bits", int(b)) for b in _gram_bits(needle)]
+            out.append([{"kind": k, "bit": b} for k, b in dict.fromkeys(bits)])
+        return pd.Series(out)
+
     normal = quotes.select("query_id", T.normalize_search_text(F.col("query")).alias("needle")).filter("needle <> ''")
-    words = normal.withColumn("words", retrieval._words(F.col("needle")))
-    inner = F.when(F.size("words") > 2, F.slice("words", 2, F.size("words") - 2)).otherwise(F.array())
-    longest = F.slice(F.array_sort(F.array_distinct(inner), lambda a, b: F.length(b) - F.length(a)), 1, keys)
-    told = words.select("query_id", longest.alias("words"), retrieval._grams(F.col("needle"), 3).alias("grams"))
-    picked = F.when(F.size("words") > 0, F.transform("words", lambda w: F.struct(F.lit("word_bits").alias("kind"), _bit(w).cast("int").alias("bit")))).otherwise(
-        F.transform("grams", lambda g: F.struct(F.lit("gram_bits").alias("kind"), _bit(g).cast("int").alias("bit"))))
-    asked = kept(told.select("query_id", F.array_distinct(picked).alias("bits")), "quote-bits")
+    asked = kept(normal.select("query_id", bits_of("needle").alias("bits")), "quote-bits")
     parts = []
     for kind in ("word_bits", "gram_bits"):
         mine = asked.filter(F.size("bits") > 0).filter(F.col("bits")[0]["kind"] == kind)
         wanted = sorted(r["bit"] for r in mine.select(F.explode("bits.bit").alias("bit")).distinct().collect())  # FILTER_BITS at most
         if not wanted:
             continue
-        byte = lambda b: F.conv(F.hex(F.substring(F.col(kind), (b / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")  # noqa: B023, E731
-        is_set = F.filter(F.lit(wanted).cast("array<int>"), lambda b: F.coalesce(F.getbit(byte(b), (b % 8).cast("int")) == 1, F.lit(False)))  # noqa: B023
-        have = shards.select("shard_id", F.explode(is_set).alias("bit"))
+        have = shards.select("shard_id", F.explode(_set_bits(wanted)(F.col(kind))).alias("bit"))
         bits = mine.select("query_id", F.size("bits").alias("n"), F.explode("bits.bit").alias("bit"))
         met = have.join(retrieval.small(bits), "bit").groupBy("query_id", "shard_id", "n").agg(F.count(F.lit(1)).alias("c"))
         parts.append(met.filter("c = n").select("query_id", "shard_id"))

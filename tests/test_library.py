@@ -5,6 +5,7 @@ import glob
 import json
 import os
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -828,3 +829,24 @@ def test_exhaustive_search_reads_shards_without_a_keyword(spark, tmp_path):
     snapshot.write(snapshot.assign_shards(docs), path, buckets=4)
     found = snapshot.search(spark, path, spark.createDataFrame([(5, "rareone raretwo rarethree")], "query_id long, query string"), exhaustive=True)
     assert [(r["query_id"], r["chunk_id"]) for r in found.collect()] == [(5, 1)]
+
+
+def test_filters_hold_every_word_and_trigram_without_a_row_for_each(spark):
+    texts = [("a", "The Königin's  “café”\tof 𝒳y"), ("b", ""), ("a", "ab"), ("c", "x y")]
+    made = snapshot.gram_filters(spark.createDataFrame(texts, "shard_id string, text string"))
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    bits = lambda m: set(np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little")))
+    got = {r["shard_id"]: (bits(r["word_bits"]), bits(r["gram_bits"])) for r in made.collect()}
+    bodies = {"a": ['the königin\'s "café" of 𝒳y', "ab"], "b": [""], "c": ["x y"]}
+    for shard, held in bodies.items():
+        words = {w for b in held for w in re.split(r"[^\w]+", b) if w}
+        grams = {b[i : i + 3] for b in held for i in range(len(b) - 2)}
+        assert got[shard] == ({snapshot._word_bit(w) for w in words}, {int(snapshot._gram_bits(g)[0]) for g in grams})
+
+
+def test_accents_and_white_space_are_folded_in_whole_texts(spark):
+    text = "Été ́ a-́bc ẞ ΌΣΟΣ  ﻿the of\tİx ‘q’"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    got = df.select(T.normalize_search_text(F.col("text")), T.search_tokens(F.col("text"))).collect()
+    assert got[0][0] == "été ́ a-́bc ß όσος the of i̇x 'q'" and got[0][1] == ["ete", "bc", "οσος", "of", "ix"]
+    assert [tuple(r) for r in got[1:]] == [(None, None), ("", [])]
