@@ -129,7 +129,7 @@ scored AS (SELECT query_id, chunk_id, sum(part) AS score, CASE WHEN max(l) = 1 A
 """
 
 
-def _hybrid(spark, sf):
+def _hybrid(spark, sf, **options):
     e = read(spark, sf, "embeddings")
     chunks, asked = doc_chunks(spark, sf), benchmark_queries(spark, sf)
     vectors = e.join(chunks.select("chunk_id"), F.col("vec_id") == F.col("chunk_id")).select("chunk_id", F.col("embedding").alias("vector"), F.col("label").alias("provider"))
@@ -137,7 +137,7 @@ def _hybrid(spark, sf):
     docs = read(spark, sf, "documents").filter("text <> ''")
     line = F.array_join(F.slice(F.split("text", " "), 2, 4), " ")  # four words of the text as a title, the source's name as an alias
     titles = docs.select(F.col("doc_id").alias("document_id"), line.alias("title")).union(docs.select("doc_id", "source"))
-    return retrieval.hybrid_scores(chunks, asked, retrieval.semantic_scores(vectors, query_vectors), titles), chunks
+    return retrieval.hybrid_scores(chunks, asked, retrieval.semantic_scores(vectors, query_vectors), titles, **options), chunks
 
 
 @query(f"""
@@ -146,14 +146,14 @@ SELECT query_id, chunk_id, round(round(score, 9), 6) AS score, method, rank::INT
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored) WHERE rank <= 8
 """)
 def r02_hybrid_score(spark, sf):
-    scored, _ = _hybrid(spark, sf)
+    scored, _ = _hybrid(spark, sf, k=8)
     ranked = retrieval.top_k(scored.withColumn("score", F.round("score", 9)), "score", 8)
     return ranked.withColumn("score", F.round("score", 6))
 
 
 @query()
 def w01_diverse_selection(spark, sf):
-    scored, chunks = _hybrid(spark, sf)
+    scored, chunks = _hybrid(spark, sf, least=retrieval.SELECT_FLOOR)
     return retrieval.select_diverse(scored, chunks).withColumn("score", F.round("score", 6))
 
 

@@ -850,3 +850,26 @@ def test_accents_and_white_space_are_folded_in_whole_texts(spark):
     got = df.select(T.normalize_search_text(F.col("text")), T.search_tokens(F.col("text"))).collect()
     assert got[0][0] == "été ́ a-́bc ß όσος the of i̇x 'q'" and got[0][1] == ["ete", "bc", "οσος", "of", "ix"]
     assert [tuple(r) for r in got[1:]] == [(None, None), ("", [])]
+
+
+def test_hybrid_parts_are_added_in_the_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: rng.choice("alpha beta gamma delta omega kappa sigma theta".split())
+    chunks = spark.createDataFrame([(i, i // 2, 1, " ".join(word() for _ in range(rng.randrange(1, 9)))) for i in range(300)], "chunk_id long, document_id long, page_number int, text string")
+    asked = spark.createDataFrame([(q, " ".join(word() for _ in range(5))) for q in range(70)] + [(70, "x"), (71, None)], "query_id long, query string")
+    cosines = spark.createDataFrame([(q, i, rng.uniform(-1, 1)) for q in range(72) for i in range(305) if rng.random() < 0.1], "query_id long, chunk_id long, cosine double")
+    titles = spark.createDataFrame([(7, "beta"), (9, "alpha beta"), (9, "no such title")], "document_id long, title string")
+
+    def rows(df):
+        return {(r["query_id"], r["chunk_id"]): (round(r["score"], 9), r["method"]) for r in df.collect()}
+
+    best = lambda df: rows(retrieval.top_k(df.withColumn("score", F.round("score", 9)), "score", 4))
+    quick = retrieval.hybrid_scores(chunks, asked, cosines, titles)
+    all_, few = rows(quick), retrieval.hybrid_scores(chunks.repartition(3), asked, cosines, titles, k=4)
+    assert few.count() < len(all_) / 3  # before, every chunk with a word of the query was a row
+    over = rows(retrieval.hybrid_scores(chunks, asked, cosines, titles, least=0.3))
+    top = best(few)
+    monkeypatch.setattr(retrieval, "is_small", lambda df, rows=0: False)
+    slow = retrieval.hybrid_scores(chunks, asked, cosines, titles)
+    assert rows(slow) == all_ and best(slow) == top
+    assert {k: v for k, v in over.items() if v[0] >= 0.3} == {k: v for k, v in all_.items() if v[0] >= 0.3} and len(over) < len(all_)
