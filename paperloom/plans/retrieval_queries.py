@@ -8,7 +8,7 @@ from paperloom.functions import text as T
 from paperloom.operators import ingest, retrieval
 from paperloom.plans import sqltext as Q
 from paperloom.plans.registry import query, read
-from paperloom.session import scratch_path
+from paperloom.session import batches_of, kept, scratch_path
 from paperloom.sources import snapshot
 
 
@@ -194,9 +194,11 @@ SELECT count(*) AS n_labelled, count(good.query_id) AS n_hits, round(count(good.
 def r08_relevance(spark, sf):
     """Of the quotes that some document holds, the share whose best lexical hit holds it."""
     chunks, asked = doc_chunks(spark, sf), benchmark_queries(spark, sf)
-    scored = retrieval.lexical_scores(chunks, asked, k=1)
-    top = retrieval.top_k(scored, "lexical", 1).select("query_id", "chunk_id")
-    holds = retrieval.contains_pairs(chunks, asked)
+    tokens = retrieval.prepared(chunks)
+    with batches_of(spark):
+        scored = retrieval.lexical_scores(chunks, asked, tokens=tokens, k=1)
+        top = kept(retrieval.top_k(scored, "lexical", 1).select("query_id", "chunk_id"), "top")
+        holds = kept(retrieval.contains_pairs(chunks, asked, tokens), "holds")
     hit = top.join(holds, ["query_id", "chunk_id"]).select("query_id", F.lit(1).alias("hit"))
     held = holds.select("query_id").distinct().join(hit, "query_id", "left")
     return held.agg(F.count(F.lit(1)).alias("n_labelled"), F.count("hit").alias("n_hits"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("top1_rate"))

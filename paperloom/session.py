@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/paperloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
+    """What is written within gives Python workers Arrow batches of about ``most`` bytes, whatever the number of rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a scratch table: computed once, with a short plan, whatever executors are lost."""
     path = scratch_path(df.sparkSession, name)

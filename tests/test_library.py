@@ -9,6 +9,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,9 +18,10 @@ from paperloom.functions import intents
 from paperloom.functions import records as R
 from paperloom.functions import text as T
 from paperloom.functions import vectors as V
-from paperloom.operators import answers, canonical, ingest, retrieval, tables
+from paperloom.operators import answers, blocks, canonical, ingest, retrieval, tables
 from paperloom.plans import catalog
-from paperloom.sources import inventory, package, snapshot
+from paperloom.session import kept
+from paperloom.sources import inventory, package, snapshot, versions
 from paperloom.sources.versions import ConflictError, VersionedCorpus
 from paperloom.streaming import streams
 
@@ -873,3 +875,10 @@ def test_hybrid_parts_are_added_in_the_tasks(spark, monkeypatch):
     slow = retrieval.hybrid_scores(chunks, asked, cosines, titles)
     assert rows(slow) == all_ and best(slow) == top
     assert {k: v for k, v in over.items() if v[0] >= 0.3} == {k: v for k, v in all_.items() if v[0] >= 0.3} and len(over) < len(all_)
+
+
+def test_stretches_are_bounded_in_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(["x" * 1000] * 599 + ["y" * 50_000])], names=["chunk_id", "body"])
+    parts = list(blocks.stretches(iter([batch]), rows=256, most=20_000))
+    assert pa.Table.from_batches(parts).column("chunk_id").to_pylist() == list(range(600))
+    assert all(p.nbytes <= 20_000 or p.num_rows == 1 for p in parts)
