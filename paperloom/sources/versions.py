@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from paperloom.operators.retrieval import small
 from paperloom.session import kept
 
 TABLES = ("manifest", "pages", "chunks", "stories")
@@ -87,24 +88,39 @@ class VersionedCorpus:
     def replace(self, incoming: dict[str, DataFrame], stream: str | None = None, batch: int = 0) -> int:
         """Replace all rows of the sources in ``incoming["manifest"]`` by those of ``incoming``; returns the commit's number.
 
-        A ``batch`` of a ``stream`` that is in already, or one before it, changes nothing. Sources listed twice, of another owner than before, or
+        Each row is written once, by the task that has it, and is not shuffled; what is refused is written too, and deleted. A ``batch`` of a ``stream`` that is in already, or one before it, changes nothing. Sources listed twice, of another owner than before, or
         with rows but without a manifest row are refused.
         """
         state = self.state()
         if stream is not None and batch <= state["streams"].get(stream, -1):
             return state["commit"]
-        incoming = {t: kept(incoming[t], f"incoming-{t}") for t in self.tables}
-        self._check(incoming, state)
         bucket, folder = self._bucket(state), f"data/{uuid.uuid4().hex}"
-        sources = incoming["manifest"].select("source")
+        write = lambda t, rows: rows.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{folder}/{t}")
+        none = lambda schema: self.spark.createDataFrame([], schema)
+        incoming = incoming | {"manifest": kept(incoming["manifest"], "incoming-manifest")}
+        kinds = {t: StructType.fromJson(state["schemas"][t]) if t in state["schemas"] else None for t in self.tables}
+        told = {"manifest": incoming["manifest"]}
+        for t in self.tables:
+            new = incoming[t] if kinds[t] is None else none(kinds[t]).unionByName(incoming[t], allowMissingColumns=True)
+            write(t, new)
+            if t != "manifest":
+                told[t] = self.spark.read.schema(new.select("source").schema).parquet(f"{self.path}/{folder}/{t}") if self._names(f"{self.path}/{folder}/{t}") else none(new.select("source").schema)
+        try:
+            self._check(told, state)
+        except ConflictError:
+            fs, place = self._fs(f"{self.path}/{folder}")
+            fs.delete(place, True)
+            raise
+        sources = small(kept(incoming["manifest"].select("source"), "incoming-sources"))
         changed = sorted(r["b"] for r in sources.select(bucket.alias("b")).distinct().collect())  # buckets at most
         folders = {t: dict(state["folders"].get(t, {})) for t in self.tables}
         schemas = dict(state["schemas"])
         for t in self.tables:
-            old, new = self.read(t, state, changed), incoming[t]
+            old, new = self.read(t, state, changed), none(incoming[t].schema)
             rows = new if old is None else old.join(sources, "source", "left_anti").unionByName(new, allowMissingColumns=True)
             schemas[t] = json.loads(rows.schema.json())
-            rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{t}")
+            if old is not None:
+                write(t, rows)
             written = {int(n.partition("=")[2]): f"{folder}/{t}/{n}" for n in self._names(f"{self.path}/{folder}/{t}") if n.startswith("bucket=")}
             for b in changed:
                 folders[t].pop(str(b), None)

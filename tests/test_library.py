@@ -882,3 +882,26 @@ def test_stretches_are_bounded_in_bytes():
     parts = list(blocks.stretches(iter([batch]), rows=256, most=20_000))
     assert pa.Table.from_batches(parts).column("chunk_id").to_pylist() == list(range(600))
     assert all(p.nbytes <= 20_000 or p.num_rows == 1 for p in parts)
+
+
+def test_replaced_rows_are_written_where_they_are(spark, tmp_path, monkeypatch):
+    """A commit neither shuffles texts nor writes them twice; what it refuses is deleted."""
+    names = []
+    monkeypatch.setattr(versions, "kept", lambda df, name: names.append(name) or kept(df, name))
+    corpus = VersionedCorpus(spark, f"file://{tmp_path}/c", buckets=1)
+    rows = {t: df.repartition(3) for t, df in four_tables(spark, "abcdefghijkl", "old").items()}
+    corpus.replace(rows)
+    assert len(glob.glob(f"{tmp_path}/c/data/*/pages/bucket=0/*.parquet")) == 3
+    assert all(n in ("incoming-manifest", "incoming-sources") for n in names)
+    before, folders = seen(corpus), len(os.listdir(tmp_path / "c/data"))
+    with pytest.raises(ConflictError):
+        corpus.replace(four_tables(spark, "ab", "new") | {"chunks": four_tables(spark, "c", "new")["chunks"]})  # c is in, but not of this commit
+    assert seen(corpus) == before and len(os.listdir(tmp_path / "c/data")) == folders
+
+
+def test_lines_of_each_equal_paragraph_chunks(spark):
+    docs = spark.createDataFrame([(1, "a\n \nb\n\tc\n"), (2, ""), (3, None), (4, "\n\nx"), (5, "  y  \n\x0b\nz")], "doc_id long, text string")
+    columns = ["document_id", "page_number", "position", "text", "chunk_index"]
+    told, want = (sorted(map(tuple, f(docs).select(columns).collect())) for f in (ingest.lines_of_each, ingest.paragraph_chunks))
+    assert told == want and len(told) == 7
+    assert "Exchange" not in ingest.lines_of_each(docs)._jdf.queryExecution().executedPlan().toString()
