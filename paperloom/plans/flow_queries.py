@@ -43,7 +43,7 @@ def t01_ingest_stream(spark, sf):
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read(spark, sf, "documents").schema)
     out = scratch_path(spark, "stream")
     corpus = VersionedCorpus(spark, f"{out}/corpus", buckets=8)
-    lines = lambda pages: ingest.paragraph_chunks(pages.select(F.col("document_id").alias("doc_id"), F.col("raw_text").alias("text")))
+    lines = lambda pages: ingest.lines_of_each(pages.select(F.col("document_id").alias("doc_id"), F.col("raw_text").alias("text")))
     for turn in ("first", "again"):
         streams.ingest_stream(spark, f"{sf}/documents*.parquet", schema, corpus, f"{out}/{turn}", f"{out}/rejected-{turn}", turn, lines).awaitTermination()
     made = corpus.read("chunks").select("source", F.col("chunk_index").cast("int").alias("chunk_index"), F.md5("text").alias("text_md5"), F.lit(None).cast("string").alias("reason"))

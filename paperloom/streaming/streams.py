@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from paperloom.functions import text as T
 from paperloom.operators import ingest
+from paperloom.operators.retrieval import small
 from paperloom.session import kept
 from paperloom.sources.versions import VersionedCorpus
 
@@ -23,22 +24,30 @@ def ingest_batch(corpus: VersionedCorpus, docs: DataFrame, stream: str, batch: i
     the guards refuse are written to ``rejected`` with their reason, in a folder of the batch. A batch that comes again changes nothing.
     ``cut`` makes chunks (document_id, page_number, chunk_index, text) of pages.
     """
+    docs = docs.select("doc_id", "text", "source")
+    twice = small(kept(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("met")), "repeated"))
+    same = F.col("doc_id").eqNullSafe(F.col("met"))
     best = F.max(F.struct("text", F.col("source").alias("owner"))).alias("d")
-    rows = docs.groupBy("doc_id").agg(best).select("doc_id", F.coalesce("d.text", F.lit("")).alias("text"), F.col("d.owner").alias("source"))
+    rows = docs.join(twice, same, "left_semi").groupBy("doc_id").agg(best).select("doc_id", "d.text", F.col("d.owner").alias("source"))
+    rows = docs.join(twice, same, "left_anti").unionByName(rows).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("revision", T.content_hash(F.col("text")))
     known = corpus.read("manifest")
     if known is not None:
-        rows = rows.join(known.select(F.col("document_id").alias("doc_id"), "revision"), ["doc_id", "revision"], "left_anti")
+        fresh = rows.select("doc_id", "revision").join(known.select(F.col("document_id").alias("doc_id"), "revision"), ["doc_id", "revision"], "left_anti")
+        rows = rows.join(small(kept(fresh.select(F.col("doc_id").alias("met")), "fresh")), same, "left_semi")
     rows = kept(rows, "ingested")
     pages = ingest.pages(rows)
     chunks = kept((cut or ingest.chunks)(pages).select("document_id", "page_number", "chunk_index", "text"), "ingested-chunks")
-    counts = rows.join(chunks.groupBy(F.col("document_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("chunk_count")), "doc_id", "left")
-    told = counts.select("doc_id", "source", "revision", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.octet_length("text").alias("size"), F.length("text").alias("chars"))
+    sized = rows.select("doc_id", "source", "revision", F.octet_length("text").alias("size"), F.length("text").alias("chars"))
+    counts = sized.join(chunks.groupBy(F.col("document_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("chunk_count")), "doc_id", "left")
+    told = counts.withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
     reason = F.when(F.col("chars") > ingest.MAX_TEXT_CHARS, "text_too_long").otherwise(ingest.guard_reason(F.col("size"), F.lit(1), F.col("chunk_count")))
     told = kept(told.withColumn("reason", reason), "guarded")
     told.filter("reason IS NOT NULL").select(F.col("doc_id").alias("document_id"), "revision", "reason").write.mode("overwrite").parquet(f"{rejected}/batch={batch}")
     good = told.filter("reason IS NULL").select(F.concat(F.lit("doc_"), "doc_id").alias("source"), F.col("source").alias("owner"), F.col("doc_id").alias("document_id"), "revision", "chunk_count", F.lit("indexed").alias("status"))
-    name = lambda df: good.select("document_id", "source").join(df, "document_id")
+    refused = small(kept(told.filter("reason IS NOT NULL").select(F.col("doc_id").alias("document_id")), "refused"))
+    # the refused ones are few, so texts needn't be shuffled to leave them out
+    name = lambda df: df.join(refused, "document_id", "left_anti").select("document_id", F.concat(F.lit("doc_"), "document_id").alias("source"), *[c for c in df.columns if c != "document_id"])
     corpus.replace({
         "manifest": good,
         "pages": name(pages.select("document_id", "page_number", "total_pages", "raw_text", "content_hash")),
