@@ -18,10 +18,15 @@ _ESCAPES = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"} | {c: f"\\u{c:0
 def quoted(text: Column) -> Column:
     """A text as a JSON string: quotes, backslashes and control characters are escaped, nothing else."""
     plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    escaped = plain
-    for code, mark in _ESCAPES.items():
-        escaped = F.replace(escaped, F.lit(chr(code)), F.lit(mark))
-    return F.concat(F.lit('"'), F.when(plain.rlike(r"[\x00-\x1f]"), escaped).otherwise(plain), F.lit('"'))
+
+    def escaped(said: Column, codes: list[int]) -> Column:
+        for code in codes:
+            said = F.replace(said, F.lit(chr(code)), F.lit(_ESCAPES[code]))
+        return said
+
+    # most texts have none but white space
+    made = F.when(plain.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), escaped(plain, list(_ESCAPES))).when(plain.rlike(r"[\x09\x0a\x0d]"), escaped(plain, [9, 10, 13])).otherwise(plain)
+    return F.concat(F.lit('"'), made, F.lit('"'))
 
 
 def with_number(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -58,11 +63,11 @@ def canonical_json(rows: DataFrame, key: str, value: str) -> DataFrame:
     Keys are ordered by their UTF-16 code units. ``key`` names each row once.
     """
     spark = rows.sparkSession
-    level = kept(rows.select(F.col(key).alias("id"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("name"), F.try_parse_json(value).alias("v")), "json-level")
+    level = rows.select(F.col(key).alias("id"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("name"), F.try_parse_json(value).alias("v"))
     levels = []
     while True:
         kind, text = F.col("kind"), F.col("text")
-        level = level.withColumn("kind", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)).withColumn("text", F.variant_get("v", "$", "string"))
+        level = level.withColumn("kind", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)).withColumn("text", F.when(kind.isin("STRING", "BOOLEAN"), F.variant_get("v", "$", "string")))
         level = with_number(level.withColumn("x", F.when(~kind.isin("OBJECT", "ARRAY", "STRING", "BOOLEAN", "VOID"), F.try_variant_get("v", "$", "double"))), "x", "number")
         scalar = (
             F.when(kind == "VOID", "null")
@@ -70,13 +75,11 @@ def canonical_json(rows: DataFrame, key: str, value: str) -> DataFrame:
             .when(kind == "STRING", quoted(text))
             .otherwise(F.col("number"))
         )
-        level = kept(level.select("id", "path", "name", "v", "kind", scalar.alias("said")), "json-level")
-        levels.append(level.drop("v"))
-        inner = spark.sql("SELECT l.id, array_append(l.path, m.pos) AS path, m.key AS name, m.value AS v FROM {level} l, LATERAL variant_explode(l.v) m WHERE l.kind IN ('OBJECT', 'ARRAY')", level=level)
-        inner = kept(inner, "json-level")
-        if inner.isEmpty():
+        level = kept(level.select("id", "path", "name", F.when(kind.isin("OBJECT", "ARRAY"), F.col("v")).alias("v"), "kind", scalar.alias("said")), "json-level")
+        if levels and level.isEmpty():
             break
-        level = inner
+        levels.append(level.drop("v"))
+        level = spark.sql("SELECT l.id, array_append(l.path, m.pos) AS path, m.key AS name, m.value AS v FROM {level} l, LATERAL variant_explode(l.v) m WHERE l.kind IN ('OBJECT', 'ARRAY')", level=level)
     made = levels[-1].select("id", "path", "name", F.coalesce("said", F.when(F.col("kind") == "OBJECT", "{}").when(F.col("kind") == "ARRAY", "[]")).alias("said"))
     for above in reversed(levels[:-1]):
         member = F.when(F.col("name").isNull(), F.col("said")).otherwise(F.concat(quoted(F.col("name")), F.lit(":"), F.col("said")))

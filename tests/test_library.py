@@ -905,3 +905,11 @@ def test_lines_of_each_equal_paragraph_chunks(spark):
     told, want = (sorted(map(tuple, f(docs).select(columns).collect())) for f in (ingest.lines_of_each, ingest.paragraph_chunks))
     assert told == want and len(told) == 7
     assert "Exchange" not in ingest.lines_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_canonical_json_writes_a_level_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(canonical, "kept", lambda df, name: names.append(name) or kept(df, name))
+    rows = spark.createDataFrame([(1, '{"b": "line\\n\\u0001\\t", "a": [1.0, {"c": "\\r"}]}')], "k long, body string")
+    assert canonical.canonical_json(rows, "k", "body").first()["canonical"] == '{"a":[1,{"c":"\\r"}],"b":"line\\n\\u0001\\t"}'
+    assert len(names) == 5  # four levels and the empty one below
