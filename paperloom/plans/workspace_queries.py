@@ -11,7 +11,7 @@ from paperloom.plans import sqltext as Q
 from paperloom.plans.registry import SQL, query, read
 from paperloom.plans.retrieval_queries import _CONTAINS_SQL, BM25_SQL, benchmark_queries, doc_chunks
 from paperloom.plans.table_queries import _SHARD_SQL, _sharded
-from paperloom.session import scratch_path
+from paperloom.session import batches_of, kept, scratch_path
 from paperloom.sources import inventory, snapshot
 from paperloom.streaming import streams
 
@@ -162,8 +162,10 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY holds DESC, cover DESC
 """)
 def j12_quote_chunks(spark, sf):
     docs, quotes = read(spark, sf, "documents"), benchmark_queries(spark, sf)
-    found = retrieval.exact_quotes(ingest.pages(docs), quotes)
-    return retrieval.best_chunks(found, ingest.paragraph_chunks(docs), quotes)
+    with batches_of(spark):
+        found = kept(retrieval.exact_quotes(ingest.pages(docs), quotes), "found")
+    met = docs.join(retrieval.small(found.select(F.col("document_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    return retrieval.best_chunks(found, ingest.paragraph_chunks(met), quotes)
 
 
 @query(f"""

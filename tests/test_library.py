@@ -884,6 +884,22 @@ def test_stretches_are_bounded_in_bytes():
     assert all(p.nbytes <= 20_000 or p.num_rows == 1 for p in parts)
 
 
+def test_best_chunks_find_once(spark):
+    """What was found is computed once, however often the best chunks look at it."""
+    seen_rows = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen_rows.add(1)
+        return x
+
+    found = spark.createDataFrame([(1, 7)], "query_id long, d long").coalesce(1).select("query_id", counted("d").alias("document_id"), F.lit(1).alias("page_number"))
+    chunks = spark.createDataFrame([(7, 1, 0, "other words"), (7, 1, 1, "alpha beta gamma"), (8, 1, 0, "alpha beta")], "document_id long, page_number int, chunk_index int, text string")
+    quotes = spark.createDataFrame([(1, "alpha beta")], "query_id long, query string")
+    assert list(map(tuple, retrieval.best_chunks(found, chunks, quotes).collect())) == [(1, 7, 1, 1, True)]
+    assert seen_rows.value == 1
+
+
 def test_replaced_rows_are_written_where_they_are(spark, tmp_path, monkeypatch):
     """A commit neither shuffles texts nor writes them twice; what it refuses is deleted."""
     names = []
