@@ -19,7 +19,7 @@ Rows are first reduced to distinct fingerprints, so exact copies never meet in a
 anchor. At an anchor with n fingerprints, pairs are compared up to a few hundred;
 beyond, each probes the sorted cell with the 64-bit patterns of at most two bits, work in
 proportion to n. An anchor emits the chain that connects what it has linked, under
-n rows, never all pairs. Chains are joined into components by minimum labels, written to a scratch table in each round.
+n rows, never all pairs. Chains are joined into components in the tasks that read them, then by minimum labels, written to a scratch table in each round.
 
 Wide: of each member the pairs with its ``NEAREST`` are tried, then with its nearest of other components. One that had more of
 those is crowded, as pages of one template are, and all links between crowded ones of different components are found by an
@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,6 +56,8 @@ _GROUP = 4096
 NEAREST = 8
 #: So many of them come from one anchor with over ``NEAREST`` fingerprints; two that are near share many anchors.
 CELL_NEAREST = 1
+#: A task puts stars in place of so many edges at a time, and so bounds what it holds.
+HELD = 1 << 18
 #: The nearest are sought among so many fingerprints of a cell, in their order, at a time.
 SLICE = 4096
 
@@ -170,9 +173,10 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Component of each of n nodes under links a-b, named by its smallest member."""
     label = np.arange(n)
     while True:
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
+        of_a, of_b = label[a], label[b]
+        low = np.minimum(of_a, of_b)
+        np.minimum.at(label, of_a, low)
+        np.minimum.at(label, of_b, low)
         new = label[label]
         while not np.array_equal(new, label):
             label, new = new, new[new]
@@ -482,28 +486,71 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     return cells.mapInArrow(_compare(distance), "a bigint, b bigint").distinct()
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """``v, u``: stars in place of the ``edges(v, u)`` that a task reads, each from its members to the smallest; they connect what the edges do.
+
+    A task holds ``HELD`` edges at a time, and goes on with their stars while these are no more than half as many.
+    """
+    kind = dict(edges.dtypes)["v"]
+
+    def stars(parts: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(parts)
+        n = len(table)
+        codes = pa.chunked_array(table.column("v").chunks + table.column("u").chunks).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(codes.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ends = rank[codes.indices.to_numpy()]
+        root = _roots(len(order), ends[:n], ends[n:])
+        v = np.flatnonzero(root != np.arange(len(root)))
+        names = codes.dictionary.take(pa.array(order))
+        return pa.table([names.take(pa.array(v)), names.take(pa.array(root[v]))], names=["v", "u"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(map(len, held)) >= HELD:
+                held = [stars(held)]
+                if len(held[0]) > HELD // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from stars(held).to_batches()
+
+    return edges.mapInArrow(run, f"v {kind}, u {kind}")
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node of ``edges(v, u)`` is either a centre or has a single one."""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    counted = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counted.agg(F.max((F.col("up") > 0).cast("int") * (F.col("up") + F.col("down")))).first()[0] in (None, 1)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node that each node of ``edges(a, b)`` reaches.
 
-    Rounds of: every node links to the least of its neighbours, larger ones first
-    (large-star), then smaller ones (small-star), until nothing changes. Minima are
-    taken map-side and their joins can be split, so a node with very many links
-    is no one task's work.
+    Tasks put stars in place of the edges they read (:func:`contracted`), again and again while that leaves fewer; the later tasks are
+    as many as those edges fill, ``HELD`` to each.
+    Where that leaves more than stars: every node links to the least of its neighbours, larger ones first (large-star), then
+    smaller ones (small-star), and so on. Minima are taken map-side and their joins can be split, so a node with very
+    many links is no one task's work. Shuffles are few, whatever their number of partitions.
     """
-    edges = materialize(edges.filter("a <> b").selectExpr("greatest(a, b) AS v", "least(a, b) AS u"), "edges")
-    before = None
+    edges = edges.filter("a <> b").selectExpr("greatest(a, b) AS v", "least(a, b) AS u")
     while True:
+        before, n = None, None
+        while before is None or n < 0.9 * before:
+            some = edges if n is None else edges.coalesce(-(-n // HELD) or 1)
+            edges = materialize(contracted(some), "edges")
+            before, n = n, edges.count()
+        if _all_stars(edges):
+            return nodes.join(edges.select(F.col("v").alias("node"), F.col("u").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         both = edges.select("v", "u").unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = materialize(both.groupBy("v").agg(F.min("u").alias("m")).selectExpr("v", "least(v, m) AS m"), "least")
-        large = both.filter("u > v").join(least, "v").selectExpr("u AS v", "m AS u").filter("v <> u").distinct()
-        large = materialize(large, "large-star")
+        large = materialize(both.filter("u > v").join(least, "v").selectExpr("u AS v", "m AS u").filter("v <> u"), "large-star")
         down = materialize(large.groupBy("v").agg(F.min("u").alias("m")), "least")
         small = large.join(down, "v").selectExpr("explode(if(u = m, array(struct(v, m AS u)), array(struct(u AS v, m AS u)))) AS e").select("e.v", "e.u")
-        edges = materialize(small.filter("v <> u").distinct(), "small-star")
-        now = edges.agg(F.count(F.lit(1)), F.count_distinct("v"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == before:
-            return nodes.join(edges.select(F.col("v").alias("node"), F.col("u").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        before = now
+        edges = small.filter("v <> u").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, bits: int = 64, similarity: float | None = None, sets: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -517,15 +564,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, bits: in
     raw = fingerprints(docs, width, text, doc_id) if bits == 64 else wide_fingerprints(docs, width, bits, text, doc_id)
     found = materialize(raw, "fingerprints")
     nodes = materialize(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")), "distinct-fingerprints")
-    if bits == 64:
-        edges = links(nodes, distance)
-    else:
-        with tidy_shuffles(docs.sparkSession):
-            edges = similar_links(nodes, docs, width, bits, distance, sets, similarity, text)
-    whole = components(nodes.select(F.col("fp").alias("node")), edges)
-    whole = materialize(whole.join(nodes.select(F.col("fp").alias("node"), "least"), "node"), "components")
-    best = whole.groupBy("component").agg(F.min("least").alias("best"))
-    named = materialize(whole.join(materialize(best, "best"), "component").select(F.col("node").alias("fp"), "best"), "names")
+    with tidy_shuffles(docs.sparkSession):
+        edges = links(nodes, distance) if bits == 64 else similar_links(nodes, docs, width, bits, distance, sets, similarity, text)
+        whole = components(nodes.select(F.col("fp").alias("node")), edges)
+        whole = materialize(whole.join(nodes.select(F.col("fp").alias("node"), "least"), "node"), "components")
+        best = whole.groupBy("component").agg(F.min("least").alias("best"))
+        named = materialize(whole.join(materialize(best, "best"), "component").select(F.col("node").alias("fp"), "best"), "names")
     return found.join(named, "fp").select("doc_id", "fp", F.col("best.doc_id").alias("component_id"), "row", F.col("best.row").alias("best_row"))
 
 
