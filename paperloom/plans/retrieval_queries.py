@@ -180,7 +180,7 @@ def u01_r05_merged_search(spark, sf):
     tell = lambda scored: every.join(scored.select("query_id", "chunk_id", "score"), "chunk_id").select("query_id", "chunk_id", "document_id", "page_number", "content_hash", "text", "score")
     lexical = retrieval.lexical_scores(served, asked, k=16).withColumn("score", F.col("lexical") / 100)
     local = tell(retrieval.top_k(lexical, "score", 16))
-    merged = retrieval.merged_search(local, lambda: tell(snapshot.search(spark, written_snapshot(spark, sf), asked, exhaustive=True)), served)
+    merged = retrieval.merged_search(local, lambda: tell(snapshot.search(spark, written_snapshot(spark, sf), asked, exhaustive=True)), served, required=True)
     return merged.select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 

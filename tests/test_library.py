@@ -12,6 +12,8 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -1005,3 +1007,26 @@ def test_selection_reads_words_of_its_batches_alone(spark, monkeypatch):
     assert max(n for tables in seen.values() for c, n in tables if "tokens" in c) <= 4 * 3  # before, all candidates had theirs stored
     monkeypatch.setattr(retrieval, "is_small", lambda df, rows=0: False)
     assert walk() == sorted(want)
+
+
+def test_a_failed_pool_does_not_pass_for_a_result(spark, monkeypatch, tmp_path):
+    columns = "query_id long, chunk_id long, document_id long, page_number int, content_hash string, text string, score double"
+    local = spark.createDataFrame([(1, 1, 1, 1, "a", "x", 0.5)], columns)
+    served, gone = local.select("document_id"), lambda: spark.read.parquet("file:///no/such/snapshot")
+    assert [r["complete"] for r in retrieval.merged_search(local, lambda: local, served).collect()] == [True]
+    with pytest.warns(RuntimeWarning, match="local pool alone"):
+        assert [r["complete"] for r in retrieval.merged_search(local, gone, served).collect()] == [False]
+    os.makedirs(tmp_path / "torn")
+    (tmp_path / "torn" / "part-0.parquet").write_bytes(b"not a table")
+    torn = lambda: spark.read.schema(columns).parquet(f"file://{tmp_path}/torn")
+    wrong = lambda: local.withColumn("score", F.raise_error(F.lit("a bug")).cast("double"))
+    for failed, pool, options in ((wrong, local, {}), (torn, local, {}), (lambda: local.select("no_such_column"), local, {}), (gone, local.limit(0), {}), (gone, local, {"required": True})):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            retrieval.merged_search(pool, failed, served, **options)
+
+    def lost(*_, **__):
+        raise AnalysisException("[PATH_NOT_FOUND] Path does not exist: file:/gone.", errorClass="PATH_NOT_FOUND", messageParameters={"path": "file:/gone"})
+
+    monkeypatch.setattr(snapshot, "search", lost)
+    with pytest.raises(PySparkException):
+        catalog.queries()["u01_r05_merged_search"](spark, "/root/testdata/sf0.001")
